@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from meshquarry.llm.langid import op4_langid
+from meshquarry.llm.licenses import op10_licenses
 from meshquarry.llm.linededup import op9_line_dedup
 from meshquarry.llm.multiset import op8_multiset
 from meshquarry.llm.sharding import op7_sharding
@@ -15,7 +16,7 @@ from meshquarry.llm.sql import SQL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op4_langid, op7_sharding, op8_multiset, op9_line_dedup)}
+    return {f.__name__: f for f in (op2_simhash, op4_langid, op7_sharding, op8_multiset, op9_line_dedup, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
