@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meshquarry.llm.common import SPACES, documents, lower_az
+from meshquarry.llm.common import SPACES, cut, documents, lower_az
 
 LEAST_CHARS = 10
 #: Lines of one in so many documents are counted to find hot ones; a hot line has a share of HOT_SHARE or more of those, so
@@ -46,11 +46,11 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """(doc_id, row, runs): for documents that lose lines, their bitmap as lengths of runs, kept and dropped by turns,
     kept first (0 if the first line goes); lines after the last run stay. row: xxhash64 of the text.
 
-    Hot lines, found in a sample, take a route without a shuffle: their first documents are combined before the shuffle
+    Texts are read once here; the hashes, without text, are kept in the shared folder. Hot lines, found in a sample, take a route without a shuffle: their first documents are combined before the shuffle
     and joined back as a table of bounded size. All others share one shuffle by range; neither route drops a row.
     """
-    lines = _lines(_rows(docs), least_chars)
-    sample = _lines(_rows(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)), least_chars).groupBy("h1", "h2").count()
+    lines = cut(_lines(_rows(docs), least_chars))
+    sample = lines.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).groupBy("h1", "h2").count()
     total = sample.agg(F.sum("count")).first()[0] or 0
     hot = sample.where(F.col("count") >= max(HOT_LEAST, HOT_SHARE * total)).select("h1", "h2")
     hot = F.broadcast(hot)  # at most 1 / HOT_SHARE rows
