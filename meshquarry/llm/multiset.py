@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from meshquarry.llm.common import documents
 
 #: Lanes modulo 2^32, and lanes modulo 2^16 that hold signs.
-WIDE, SIGNS = 32, 128
+WIDE, SIGNS = 16, 256
 #: Paragraphs that are hashed at once, documents that are held at once.
 CHUNK, ROWS = 32_768, 128
 _CUT = re.compile(rb"\n+|(?<=[.!?]) +")

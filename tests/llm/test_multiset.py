@@ -24,10 +24,14 @@ def test_sums_do_not_depend_on_pieces(monkeypatch):
 
 
 def test_likeness_follows_the_share_of_common_paragraphs():
-    parts = [f"line {i}".encode() for i in range(200)]
-    _, signs = M.sums([parts, parts[:150] + [b"x%d" % i for i in range(50)], [b"y%d" % i for i in range(200)]])
-    like = M.likeness(signs[:1].repeat(3, 0), signs)
-    assert like[0] == 1 and abs(like[1] - 0.75) < 0.12 and like[2] < 0.25
+    """An estimate: right on average, and off by a few hundredths to a tenth for a single pair."""
+    likes = []
+    for k in range(60):
+        parts = [f"{k} line {i}".encode() for i in range(100)]
+        _, signs = M.sums([parts, parts[:75] + [b"%dx%d" % (k, i) for i in range(25)], [b"%dy%d" % (k, i) for i in range(100)]])
+        likes.append(M.likeness(signs[:1].repeat(3, 0), signs))
+    likes = np.array(likes)
+    assert (likes[:, 0] == 1).all() and abs(likes[:, 1].mean() - 0.75) < 0.03 and likes[:, 1].std() < 0.1 and likes[:, 2].mean() < 0.08
     assert M.likeness(*[np.zeros((1, M.SIGNS), np.uint16)] * 2).tolist() == [1]
 
 
