@@ -206,8 +206,10 @@ def personal_data(docs: DataFrame) -> DataFrame:
     return plain.unionByName(marked.mapInArrow(run, f"doc_id {kind}, row long, n_email long, n_ip long, n_card long, n_phone long, base_spans string, spans string, removed array<string>"))
 
 
-def redact(text: str, spans: str, removed: list[str]) -> str:
+def redact(text: str | None, spans: str | None, removed: list[str] | None) -> str | None:
     """The text with each span replaced: patterns by [KIND], removed terms by nothing, others by what they look like."""
+    if not spans:
+        return text
     gone, out, at = set(removed), [], 0
     for a, kind, b in _parsed(spans):
         if b <= at:
@@ -225,9 +227,9 @@ def redact(text: str, spans: str, removed: list[str]) -> str:
 def sanitise(docs: DataFrame) -> DataFrame:
     """All columns of `docs` with `text` redacted. Texts without a finding, nulls among them, stay as they are."""
     data = personal_data(docs).where("spans <> ''").select(F.col("row").alias("__row"), "spans", "removed").dropDuplicates(["__row"])
-    redacted = F.udf(redact, "string")  # only texts with findings get here
+    redacted = F.udf(redact, "string", useArrow=True)
     rows = docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(data.withColumnsRenamed({"spans": "__spans", "removed": "__removed"}), F.col("__key") == F.col("__row"), "left")
-    return rows.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(redacted("text", "__spans", "__removed"))).drop("__key", "__row", "__spans", "__removed")
+    return rows.withColumn("text", redacted("text", "__spans", "__removed")).drop("__key", "__row", "__spans", "__removed")
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
