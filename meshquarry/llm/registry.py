@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meshquarry.llm.decontam import op1_decontam
 from meshquarry.llm.langid import op4_langid
 from meshquarry.llm.licenses import op10_licenses
 from meshquarry.llm.linededup import op9_line_dedup
@@ -17,7 +18,7 @@ from meshquarry.llm.sql import SQL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_pii, op4_langid, op7_sharding, op8_multiset, op9_line_dedup, op10_licenses)}
+    return {f.__name__: f for f in (op1_decontam, op2_simhash, op3_pii, op4_langid, op7_sharding, op8_multiset, op9_line_dedup, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
