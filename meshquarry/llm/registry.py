@@ -11,6 +11,7 @@ from meshquarry.llm.langid import op4_langid
 from meshquarry.llm.licenses import op10_licenses
 from meshquarry.llm.linededup import op9_line_dedup
 from meshquarry.llm.multiset import op8_multiset
+from meshquarry.llm.packing import op5_packing
 from meshquarry.llm.pii import op3_pii
 from meshquarry.llm.sharding import op7_sharding
 from meshquarry.llm.simhash import op2_simhash
@@ -18,7 +19,7 @@ from meshquarry.llm.sql import SQL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontam, op2_simhash, op3_pii, op4_langid, op7_sharding, op8_multiset, op9_line_dedup, op10_licenses)}
+    return {f.__name__: f for f in (op1_decontam, op2_simhash, op3_pii, op4_langid, op5_packing, op7_sharding, op8_multiset, op9_line_dedup, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
