@@ -80,7 +80,8 @@ def test_neighbours_like_plain_bm25():
 
 
 def test_neighbours_share_a_window(spark):
-    topics = [[f"t{k}w{i}" for i in range(30)] for k in range(6)]
+    whole = sorted(w[:-4] for w in encoder(public_path()).tokenizer.get_vocab() if w.endswith("</w>") and w[:-4].isalpha() and w.isascii() and len(w) > 10)
+    topics = [whole[k * 30 : k * 30 + 30] for k in range(6)]  # each word one id
     rows = [(i, " ".join(topics[i % 6][(i * 7 + j) % 30] for j in range(60))) for i in range(240)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     same = total = 0
