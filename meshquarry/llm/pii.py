@@ -144,22 +144,24 @@ def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
     All counts are of documents, combined before each shuffle. Pairs exist only in the surroundings of entities; of the
     corpus, only the counts of terms that have the support are gathered.
     """
-    total = docs.count()
-    pairs = found.select("row", F.explode("pairs").alias("p")).select("row", "p.*")
-    pairs = pairs.groupBy("entity", "term").agg(F.count_distinct("row").alias("both"), F.count_distinct("around").alias("support")).where(F.col("support") >= SUPPORT).drop("support")
-    pairs = stored(pairs, "pairs")
+    n = F.lit(float(docs.count()))
+    raw = found.select("row", F.explode("pairs").alias("p")).select("row", "p.*")
+    pairs = raw.groupBy("entity", "term").agg(F.count_distinct("row").alias("both"), F.count_distinct("around").alias("support")).where(F.col("support") >= SUPPORT).drop("support")
     holders = found.select("row", F.explode(F.array_distinct(F.transform("pairs", lambda p: p["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    # A share of GENERALISE needs a term in both * (N / n_entity) ** (1 - GENERALISE) documents at most; those that have it near any
+    # entity are a lower bound, so common words go before the corpus is counted.
+    near = raw.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count_distinct("row").alias("n_near"))
+    few = F.col("n_near") <= F.col("both") * F.pow(n / F.col("n_entity"), 1 - GENERALISE) * 1.000001
+    pairs = stored(pairs.join(holders, "entity").join(near, "term").where(few).drop("n_near"), "pairs")
     terms = pairs.select("term").distinct()
     if terms.count() <= BROADCAST_TERMS:
         terms = F.broadcast(terms)
     words = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.explode(F.split(lower_az(F.col("text")), r"[\x20\x09-\x0D]+")).alias("word"))
     words = words.select("row", F.btrim("word", F.lit(EDGE)).alias("term")).join(terms, "term", "left_semi")
     known = words.distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    log = lambda a, b: F.log2(a / b)
-    n = F.lit(float(total))
-    pmi, ic = F.log2(F.col("both") * n / (F.col("n_term") * F.col("n_entity"))), log(n, F.col("n_entity"))
+    pmi, ic = F.log2(F.col("both") * n / (F.col("n_term") * F.col("n_entity"))), F.log2(n / F.col("n_entity"))
     share = F.when(ic > 0, pmi / ic).otherwise(0.0)
-    return pairs.join(holders, "entity").join(known, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
+    return pairs.join(known, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
 
 
 def term_spans(text: str, spans: list[tuple[int, int, int]], terms: set[str]) -> list[tuple[int, int, int]]:
