@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshquarry.llm.common import documents
+from meshquarry.llm.ranges import range_of
 
 #: Lanes modulo 2^32, and lanes modulo 2^16 that hold signs.
 WIDE, SIGNS = 16, 256
@@ -92,13 +93,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select("doc_id")
-    bounds = sorted({int(x) for x in ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)}) if n > 1 else []
-    powers = [1 << k for k in reversed(range(max(1, len(bounds).bit_length())))]
-    if bounds:
-        among = F.array(*map(F.lit, bounds)).cast("array<long>")
-        bucket = F.aggregate(F.array(*map(F.lit, powers)), F.lit(0), lambda s, p: s + F.when(F.coalesce(F.get(among, s + p - 1) <= F.col("doc_id"), F.lit(False)), p).otherwise(0))
-    else:
-        bucket = F.lit(0)
+    bucket = range_of(docs, n)
     heads = ids.groupBy(bucket.alias("bucket")).agg(F.min("doc_id").alias("head"), F.max(F.col("doc_id").isNull()).alias("nulls")).orderBy("bucket").collect()  # one row a bucket
     table = [(before.bucket, None if now.nulls else now.head) for before, now in zip([heads[-1], *heads[:-1]], heads, strict=True)] if heads else []
     table = docs.sparkSession.createDataFrame(table, f"bucket int, head {docs.schema['doc_id'].dataType.simpleString()}")

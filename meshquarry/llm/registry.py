@@ -16,10 +16,11 @@ from meshquarry.llm.pii import op3_pii
 from meshquarry.llm.sharding import op7_sharding
 from meshquarry.llm.simhash import op2_simhash
 from meshquarry.llm.sql import SQL
+from meshquarry.llm.tokenfile import op6_tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontam, op2_simhash, op3_pii, op4_langid, op5_packing, op7_sharding, op8_multiset, op9_line_dedup, op10_licenses)}
+    return {f.__name__: f for f in (op1_decontam, op2_simhash, op3_pii, op4_langid, op5_packing, op6_tokenfile, op7_sharding, op8_multiset, op9_line_dedup, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
