@@ -18,7 +18,7 @@ def test_blocks_come_back(sizes, kind):
     assert all((a == b).all() for a, b in zip(blocks, M.decode(coded, sizes, 1000), strict=True))
     for b, c in zip(blocks, coded, strict=True):
         if len(b) >= 70_000:  # in small blocks, the fresh model and the ends of the streams weigh most
-            assert len(c) * 8 / len(b) < {"noise": 11.5, "skewed": 3.5, "repeating": 0.8}[kind]
+            assert len(c) * 8 / len(b) < {"noise": 11.5, "skewed": 3.7, "repeating": 0.8}[kind]  # entropies: 10, 2.9, 0
         assert M.encode([b], 1000) == [c]  # a block doesn't depend on those beside it
 
 
