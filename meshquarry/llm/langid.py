@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,10 @@ ORDER = 3
 TRAIN_DOCS, TRAIN_BYTES = 3_000, 65_536
 #: Byte values told apart, most frequent first; others share one symbol. Least count of a context of three bytes.
 SYMBOLS, LEAST_CONTEXT = 111, 40
-CHUNK = 1 << 19
+#: Bytes and documents that are scored at once.
+CHUNK, ROWS = 1 << 19, 500
+#: Bits a byte beyond which a text is in no learned language; plain text takes two to four, random letters over five.
+MOST_BITS = 6.0
 _LETTER = re.compile(r"[^\W\d_]")
 _PAD = b"\0" * ORDER
 
@@ -132,28 +136,50 @@ def fit(docs: DataFrame) -> Model | None:
     return build(np.array(t["lang"].to_pylist(), object), t["code"].to_numpy(), t["n"].to_numpy()) if t.num_rows else None
 
 
+def _predicted(model: Model | None, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    pred, score, per_byte = np.full(len(texts), "und", object), np.zeros(len(texts)), np.full(len(texts), np.nan)
+    ok = [i for i, t in enumerate(texts) if model and t and _LETTER.search(t)]
+    if ok:
+        raw = [texts[i].encode() for i in ok]
+        bits = model.bits(raw)
+        pred[ok] = np.array(model.langs, object)[bits.argmin(1)]
+        score[ok] = 1 / np.exp2(np.maximum(bits.min(1)[:, None] - bits, -1000)).sum(1)
+        per_byte[ok] = bits.min(1) / [len(t) for t in raw]
+    return pred, score, per_byte
+
+
+def language(text: Column, model: Model | None, spark: SparkSession) -> Column:
+    """A struct (lang_pred, score, bits_per_byte) for each text, by the text alone: the language with the shortest code
+    length, its share of the posterior under equal priors, and that length by byte.
+
+    `und`, 0 and null for null texts, texts without a letter, or without a model; ties go to the language first by name.
+    """
+    sent = spark.sparkContext.broadcast(model)  # bounded by SYMBOLS, the sample and the number of languages
+
+    @F.pandas_udf("lang_pred string, score double, bits_per_byte double")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            parts = [_predicted(sent.value, batch.iloc[at : at + ROWS].tolist()) for at in range(0, len(batch), ROWS)]
+            yield pd.DataFrame({c: np.concatenate([p[k] for p in parts]) if parts else [] for k, c in enumerate(("lang_pred", "score", "bits_per_byte"))})
+
+    return run(text)
+
+
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, lang_pred, score, text) of every row, by the text alone: the language with the shortest code length and
-    its share of the posterior under equal priors. `und` and 0 for null texts, texts without a letter, or without a model;
-    ties go to the language first by name. Empty tables give empty ones; other columns are ignored."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SYMBOLS, the sample and the number of languages
+    """All columns of `docs`, with lang_pred, score and bits_per_byte of its text (see language()) in place of such columns.
+    Each row stands alone; an empty table gives an empty one."""
+    names = ["lang_pred", "score", "bits_per_byte"]
+    rows = docs.drop(*names, "__found").withColumn("__found", language(F.col("text"), model, docs.sparkSession))
+    return rows.withColumns({c: F.col("__found")[c] for c in names}).drop("__found")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
-            ok = [i for i, t in enumerate(texts) if m and t and _LETTER.search(t)]
-            if ok:
-                bits = m.bits([texts[i].encode() for i in ok])
-                best = bits.argmin(1)
-                pred[ok] = np.array(m.langs, object)[best]
-                score[ok] = 1 / np.exp2(np.maximum(bits.min(1)[:, None] - bits, -1000)).sum(1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of `docs` whose text is in a learned language: not `und`, and of at most MOST_BITS bits a byte, which text in
+    none of them exceeds."""
+    rows = docs.withColumn("__found", language(F.col("text"), model, docs.sparkSession))
+    return rows.where((F.col("__found.lang_pred") != "und") & (F.col("__found.bits_per_byte") <= MOST_BITS)).drop("__found")
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return identify(docs, fit(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return identify(docs.select("doc_id", "text"), fit(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from meshquarry.llm.decontam import op1_decontam
 from meshquarry.llm.langid import op4_langid
 from meshquarry.llm.licenses import op10_licenses
@@ -20,7 +21,7 @@ from meshquarry.llm.tokenfile import op6_tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontam, op2_simhash, op3_pii, op4_langid, op5_packing, op6_tokenfile, op7_sharding, op8_multiset, op9_line_dedup, op10_licenses)}
+    return {f.__name__: f for f in (op1_decontam, op2_simhash, op3_pii, op4_langid, op5_packing, op6_tokenfile, op7_sharding, op8_multiset, op9_line_dedup, op10_licenses)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
