@@ -6,10 +6,8 @@ import os
 
 import numpy as np
 
-#: Words whose ids a worker keeps; it starts anew beyond.
-KEPT_WORDS = 300_000
-#: Below this code point, lower-casing maps one code point to one and needs no normalisation.
-_PLAIN = "İ"
+#: Words whose ids a worker keeps, in about 200 MB; it starts anew beyond.
+KEPT_WORDS = 1_000_000
 
 
 def public_path(name: str = "word_bpe_49k.json") -> str:
@@ -18,13 +16,19 @@ def public_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+_LETTERS = bytes(b for b in range(256) if chr(b).isalpha())
+_SIMPLE = _LETTERS + b" \n.,"
+_LOWER = bytes(ord(chr(b).lower()) if chr(b).isalpha() and len(chr(b).lower()) == 1 and ord(chr(b).lower()) < 256 else b for b in range(256))
+
+
 class Encoder:
     """Ids of whole texts, equal to the tokenizer's own without special tokens.
 
     Words between blanks and line feeds are encoded once and looked up from then on: the tokenizer drops white space, so
     the ids of a text are those of its words in order. (Files for which that doesn't hold are encoded text by text.) Runs of
     letters, perhaps before one comma or full stop, share the ids of their lower case; new ones are encoded together and
-    told apart by the tokens that end a word.
+    told apart by the tokens that end a word. A text of Latin letters, blanks, commas and full stops alone is lower-cased
+    and split as bytes, its marks apart from its words.
     """
 
     def __init__(self, path: str):
@@ -37,11 +41,14 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
         probe = "ab cd\nef, gh. Éa"
         self.by_word = bool(self.ends.any()) and self._whole(probe) == b"".join(map(self._whole, probe.split()))
         self.marks = {c: self._whole(c) for c in ".,"}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words: dict[str, bytes] = {}
+        self.stems: dict[bytes, bytes] = {c.encode(): ids for c, ids in self.marks.items()}  # Latin-1, lower case
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
@@ -50,26 +57,40 @@ class Encoder:
         """Of each text its ids, in bytes of `kind`."""
         if not self.by_word:
             return [self._whole(t) for t in texts]
-        if len(self.words) > KEPT_WORDS:
-            self.words, self.stems = {}, {}
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        found = [list(map(self.words.get, ws)) for ws in split]
-        new: set[str] = set()
-        for ws, got in zip(split, found, strict=True):
-            if None in got:
-                new.update([w for w, x in zip(ws, got, strict=True) if x is None])
-        if new:
-            self._learn(new)
-            known = self.words.__getitem__
-            found = [map(known, ws) if None in got else got for ws, got in zip(split, found, strict=True)]
-        return [b"".join(got) for got in found]
-
-    def _learn(self, new: set[str]) -> None:
-        shared, stems, other = [], set(), []
+        if len(self.words) + len(self.stems) > KEPT_WORDS:
+            self._forget()
+        split, tables = [], []
+        for t in texts:
+            simple = self._simple(t)
+            split.append(t.replace("\n", " ").split(" ") if simple is None else simple)
+            tables.append(self.words if simple is None else self.stems)
+        found = [list(map(table.get, ws)) for table, ws in zip(tables, split, strict=True)]
+        gaps = [[i for i, x in enumerate(got) if x is None] if None in got else () for got in found]
+        new, stems = set(), set()
+        for table, ws, gap in zip(tables, split, gaps, strict=True):
+            (stems if table is self.stems else new).update([ws[i] for i in gap])
+        if new or stems:
+            self._learn(new, stems)
+            for table, ws, got, gap in zip(tables, split, found, gaps, strict=True):
+                for i in gap:
+                    got[i] = table[ws[i]]
+        return list(map(b"".join, found))
+
+    def _simple(self, text: str) -> list[bytes] | None:
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        if raw.translate(None, _SIMPLE) or b".." in raw or b".," in raw or b",." in raw or b",," in raw:
+            return None
+        return raw.translate(_LOWER).replace(b".", b" . ").replace(b",", b" , ").split()
+
+    def _learn(self, new: set[str], stems: set[bytes]) -> None:
+        shared, other = [], []
         for w in new:
             body = w[:-1] if w[-1:] in (".", ",") else w
-            if body.isalpha() and max(body) < _PLAIN:
-                low = body.lower()
+            if body.isalpha() and body.isascii():
+                low = body.lower().encode()
                 shared.append((w, low, w[len(body) :]))
                 if low not in self.stems:
                     stems.add(low)
@@ -77,7 +98,7 @@ class Encoder:
                 other.append(w)
         if stems:
             ordered = list(stems)
-            ids = np.frombuffer(self._whole(" ".join(ordered)), self.kind)
+            ids = np.frombuffer(self._whole(b" ".join(ordered).decode("latin-1")), self.kind)
             cuts = ((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()
             if len(cuts) == len(ordered):
                 raw, at = ids.tobytes(), 0
@@ -85,7 +106,7 @@ class Encoder:
                     self.stems[w] = raw[at:end]
                     at = end
             else:
-                self.stems.update((w, self._whole(w)) for w in ordered)
+                self.stems.update((w, self._whole(w.decode("latin-1"))) for w in ordered)
         for w, low, mark in shared:
             self.words[w] = self.stems[low] + self.marks[mark] if mark else self.stems[low]
         for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
