@@ -23,9 +23,6 @@ from meshquarry.llm.common import documents, lower_az, stored
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on either side of an entity that count as near; least surroundings; thresholds of PMI / IC.
 WINDOW, SUPPORT, GENERALISE, REMOVE = 6, 3, 0.5, 0.8
-#: Candidate terms up to which their table is broadcast while the corpus is counted (about 6 MB); beyond, it is joined by
-#: shuffling.
-BROADCAST_TERMS = 100_000
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -138,11 +135,20 @@ def base(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {_FOUND}")
 
 
+def term_counts(docs: DataFrame) -> DataFrame:
+    """(term, n_term): how many rows hold each term, combined before the shuffle. Texts are split between words, at blanks
+    with what is stripped around them, which gives the terms of _terms()."""
+    edge = "[" + re.sub(r"([\\\]\[^&-])", r"\\\1", EDGE) + "]*"
+    terms = F.split(F.btrim(lower_az(F.col("text")), F.lit(EDGE)), edge + r"[\x20\x09-\x0D]+" + edge)
+    words = docs.select(F.explode(F.array_distinct(terms)).alias("term")).where("term <> ''")
+    return words.groupBy("term").agg(F.count("*").alias("n_term"))
+
+
 def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(entity, term, share): the terms whose share PMI / IC of an entity reaches GENERALISE, over all of `docs`.
 
-    All counts are of documents, combined before each shuffle. Pairs exist only in the surroundings of entities; of the
-    corpus, only the counts of terms that have the support are gathered.
+    All counts are of documents, combined before each shuffle. Pairs exist only in the surroundings of entities; of the rest
+    of the corpus, each term's number of documents is counted.
     """
     n = F.lit(float(docs.count()))
     raw = found.select("row", F.explode("pairs").alias("p")).select("row", "p.*")
@@ -153,12 +159,7 @@ def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
     near = raw.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count_distinct("row").alias("n_near"))
     few = F.col("n_near") <= F.col("both") * F.pow(n / F.col("n_entity"), 1 - GENERALISE) * 1.000001
     pairs = stored(pairs.join(holders, "entity").join(near, "term").where(few).drop("n_near"), "pairs")
-    terms = pairs.select("term").distinct()
-    if terms.count() <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
-    words = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.explode(F.split(lower_az(F.col("text")), r"[\x20\x09-\x0D]+")).alias("word"))
-    words = words.select("row", F.btrim("word", F.lit(EDGE)).alias("term")).join(terms, "term", "left_semi")
-    known = words.distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    known = term_counts(docs)
     pmi, ic = F.log2(F.col("both") * n / (F.col("n_term") * F.col("n_entity"))), F.log2(n / F.col("n_entity"))
     share = F.when(ic > 0, pmi / ic).otherwise(0.0)
     return pairs.join(known, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
@@ -177,8 +178,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     comma-joined by start, then kind, in code points, end exclusive. spans holds the base spans and those of disclosing
     terms; removed lists the terms that are to go, the others are to be generalised. row: xxhash64 of doc_id and text.
 
-    Null and empty texts have none; texts without a base span get no other, whatever their words. Repeated rows are one
-    document to the counts. Other columns are ignored; an empty table gives an empty one.
+    Null and empty texts have none; texts without a base span get no other, whatever their words. Rows that repeat a doc_id and a
+    text are one document to the pairs. Other columns are ignored; an empty table gives an empty one.
 
     The texts in which something is found, with what is found in each, are kept in the shared folder: only they are read
     again, and only pairs and their terms are shuffled. A pair that a third of all rows hold is counted before the

@@ -52,6 +52,16 @@ def test_terms_that_reveal_an_entity(revealing):
     assert "joe@" not in clean[0] and "[EMAIL]" in clean[0] and "Widget" not in clean[0] and clean[65] == "widget alone" and clean[30] == texts[30]
 
 
+def test_term_counts_like_plain_words(spark, odd):
+    rows = [(900, "--a-- (b) ... c.d , ,x' \\y\\ [z] ^&- A a"), (901, "..."), (902, " \t lead\ntrail. ")]
+    df = odd.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = {}
+    for r in df.collect():
+        for term in {w for *_, w in P._terms(r.text or "")}:
+            want[term] = want.get(term, 0) + 1
+    assert {r.term: r.n_term for r in P.term_counts(df).collect()} == want
+
+
 def test_odd_rows(spark, odd, none):
     assert P.personal_data(none).collect() == [] and P.sanitise(none).collect() == []
     assert P.personal_data(odd).count() == P.sanitise(odd).count() == odd.count()
