@@ -68,3 +68,8 @@ def test_odd_rows(spark, odd, none):
     rows = [(1, "x@y.zz " * 3000), (1, "x@y.zz " * 3000), (None, "x@y.zz"), (2, None)]
     got = P.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.n_email for r in got) == [0, 1, 3000, 3000]
+
+
+def test_parts_of_very_many_zeros():
+    text = "at " + "0" * 6000 + "7.0.0.1"
+    assert pii.base_spans(text)[0] == (3, 1, len(text))
