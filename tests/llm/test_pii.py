@@ -72,4 +72,4 @@ def test_odd_rows(spark, odd, none):
 
 def test_parts_of_very_many_zeros():
     text = "at " + "0" * 6000 + "7.0.0.1"
-    assert pii.base_spans(text)[0] == (3, 1, len(text))
+    assert P.base_spans(text)[0] == (3, 1, len(text))
