@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from meshquarry.functions import grid, keys
 from meshquarry.operators import graph, metrics, ranking, relational, spatial
 from meshquarry.plans import bind
+from meshquarry.storage import shared_dir
+from meshquarry.streaming import reviews
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -398,3 +401,26 @@ def interleaved_parts(spark, sf_dir):
 def voxel_positions(spark, sf_dir):
     at = F.col("c_acctbal")
     return bind.table(spark, sf_dir, "customer").select("c_custkey", grid.to_voxel(at, 0.0, 8.0).alias("voxel"), grid.tile_of(at, 32).alias("tile"))
+
+
+@query(f"WITH {bind.EVENTS} SELECT time_bucket(INTERVAL 1 hour, ts) AS begins, decision, count(*) AS n, round(sum(value), 6) AS value FROM ev WHERE reviewer IS NOT NULL AND item IS NOT NULL AND decision IN ('view', 'click', 'purchase') GROUP BY 1, 2")
+def hourly_decisions(spark, sf_dir):
+    rows = reviews.once(reviews.valid(bind.events(spark, sf_dir), ("view", "click", "purchase")))
+    return reviews.per_window(rows).withColumn("value", F.round("value", 6))
+
+
+@query(f"""WITH {bind.EVENTS} SELECT item, count(*) AS n, arg_min(decision, ts::VARCHAR || lpad(event_id::VARCHAR, 20, '0')) AS first,
+  CASE WHEN count(DISTINCT decision) > 1 THEN 'mixed' ELSE arg_min(decision, ts::VARCHAR || lpad(event_id::VARCHAR, 20, '0')) END AS verdict
+FROM (SELECT event_id, ts, decision, item * 1000 + reviewer % 1000 AS item FROM ev) GROUP BY item""")
+def streamed_verdicts(spark, sf_dir):
+    """The events as a stream with state for each item; what each batch gives goes to the shared folder, the last row an item counts."""
+    kept = "event_id long, user_id long, event_type string, props string, value double, ts timestamp_ntz"
+    stream = spark.readStream.schema(kept).parquet(f"{sf_dir}/events[.]parquet")  # as a pattern, which may be a file or a folder
+    item = F.from_json("props", "k bigint")["k"] * 1000 + F.col("user_id") % 1000
+    rows = stream.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("decision"), item.alias("item"))
+    folder = f"{shared_dir(spark)}/verdicts-{uuid.uuid4().hex}"
+    write = lambda batch, _: batch.write.mode("append").parquet(f"{folder}/rows")
+    run = reviews.running_verdicts(rows).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    run.foreachBatch(write).start().awaitTermination()
+    last = F.max_by(F.struct("n", "first", "verdict"), "n").alias("r")
+    return spark.read.schema("item long, n long, first string, verdict string").parquet(f"{folder}/rows").groupBy("item").agg(last).select("item", "r.*")
