@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from meshquarry.functions import grid, keys
 from meshquarry.operators import graph, metrics, ranking, relational, spatial
 from meshquarry.plans import bind
-from meshquarry.storage import shared_dir
+from meshquarry.storage import scratch
 from meshquarry.streaming import reviews
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -418,7 +417,7 @@ def streamed_verdicts(spark, sf_dir):
     stream = spark.readStream.schema(kept).parquet(f"{sf_dir}/events[.]parquet")  # as a pattern, which may be a file or a folder
     item = F.from_json("props", "k bigint")["k"] * 1000 + F.col("user_id") % 1000
     rows = stream.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("decision"), item.alias("item"))
-    folder = f"{shared_dir(spark)}/verdicts-{uuid.uuid4().hex}"
+    folder = scratch(spark, "verdicts")
     write = lambda batch, _: batch.write.mode("append").parquet(f"{folder}/rows")
     run = reviews.running_verdicts(rows).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     run.foreachBatch(write).start().awaitTermination()
