@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshquarry.storage import cut, scratch, shared_dir, stored
+
+__all__ = ["cut", "documents", "lower_az", "scratch", "shared_dir", "stored", "union_all"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: `[\x20\x09-\x0D]`, the white space that the contracts name.
 SPACES = " \t\n\x0b\x0c\r"
@@ -25,37 +25,5 @@ def lower_az(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from `spark.checkpoint.dir`; only where that is unset, as in local
-    tests, a temporary one."""
-    sc = spark.sparkContext
-    if found := sc.getConf().get("spark.checkpoint.dir", None):
-        return found
-    if not (held := sc._jsc.sc().getCheckpointDir()).isDefined():
-        own = tempfile.mkdtemp(prefix="shared-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        sc.setCheckpointDir(f"file://{own}")
-        held = sc._jsc.sc().getCheckpointDir()
-    return held.get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the shared folder; lineage ends there. Spark's cleaner deletes the files when
-    the frame is no longer referenced (spark.cleaner.referenceTracking.cleanCheckpoints)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """As cut(), as compressed Parquet, for wide rows. Deleted when the session's driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

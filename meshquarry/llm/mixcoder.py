@@ -7,7 +7,8 @@ order-0 counts otherwise. These shares drive a range coder with 62-bit state and
 
 For speed in numpy a block is cut into STREAMS runs that are coded side by side, many blocks at once; each run has its own
 coder, all of a block share its model, and the model learns what was coded at the end of each short segment, in the decoder
-as in the encoder.
+as in the encoder. Memory is bounded by the callers, who give blocks of bounded size, a bounded number at once: a block's
+model takes about a megabyte for 50,000 ids.
 """
 
 from __future__ import annotations
@@ -31,18 +32,19 @@ class _Model:
     def __init__(self, blocks: int, size: int):
         self.blocks, self.size = blocks, size
         self.block = np.repeat(np.arange(blocks), STREAMS)
-        self.freq = np.ones((blocks, size), np.int64)
-        self.one, self.sure1 = np.full(blocks * size, -1, np.int64), np.zeros(blocks * size, np.int64)
-        self.two, self.sure2 = np.full(blocks * SLOTS, -1, np.int64), np.zeros(blocks * SLOTS, np.int64)
+        self.freq = np.ones((blocks, size), np.int32)
+        self.one, self.sure1 = np.full(blocks * size, -1, np.int32), np.zeros(blocks * size, np.uint8)
+        self.two, self.sure2 = np.full(blocks * SLOTS, -1, np.int32), np.zeros(blocks * SLOTS, np.uint8)
+        self.cum = np.zeros((blocks, size + 1), np.int32)
         self.hits = np.ones((blocks * 16, 3), np.int64)
         self._settle()
 
     def _settle(self) -> None:
         """What coding reads: cumulative counts, in a number range of its own for each block, and shares of the orders."""
-        self.cum = np.zeros((self.blocks, self.size + 1), np.int64)
+        self.cum[:, 0] = 0
         np.cumsum(self.freq, axis=1, out=self.cum[:, 1:])
-        self.total = self.cum[:, -1].copy()
-        self.cum += (np.arange(self.blocks, dtype=np.int64) * 2 * LIMIT)[:, None]
+        self.total = self.cum[:, -1].astype(np.int64)
+        self.cum += (np.arange(self.blocks, dtype=np.int32) * (2 * LIMIT))[:, None]
         self.flat = self.cum.ravel()
         h = self.hits.reshape(self.blocks, 4, 4, 3).astype(np.float64)
         h[:, 0, :, 0] = 0  # no order-2 prediction
@@ -58,17 +60,18 @@ class _Model:
         s2 = block * SLOTS + ((before * 40503 + last * 2654435761) >> 7) % SLOTS
         s1 = block * self.size + last
         p2, p1 = self.two[s2], self.one[s1]
-        standing = block * 16 + self.sure2[s2] * 4 + np.where(p1 == p2, 0, self.sure1[s1])
+        standing = block * 16 + self.sure2[s2].astype(np.int64) * 4 + np.where(p1 == p2, 0, self.sure1[s1])
         return s2, s1, p2, p1, standing
 
     def learn(self, x: np.ndarray, block: np.ndarray, s2: np.ndarray, s1: np.ndarray, standing: np.ndarray, kind: np.ndarray) -> None:
-        self.freq += INCREMENT * np.bincount(block * self.size + x, minlength=self.freq.size).reshape(self.freq.shape)
+        place, n = np.unique(block * self.size + x, return_counts=True)
+        self.freq.ravel()[place] += (INCREMENT * n).astype(np.int32)
         over = np.flatnonzero(self.freq.sum(axis=1) > LIMIT - 1)
         while len(over):
             self.freq[over] = (self.freq[over] + 1) // 2
             over = over[self.freq[over].sum(axis=1) > LIMIT - 1]
         for table, sure, s in ((self.two, self.sure2, s2), (self.one, self.sure1, s1)):
-            trust = np.where(table[s] == x, np.minimum(sure[s] + 1, 3), 1)
+            trust = np.where(table[s] == x, np.minimum(sure[s] + 1, 3), 1).astype(np.uint8)
             table[s], sure[s] = x, trust  # of equal slots the last one stays
         self.hits += np.bincount(standing * 3 + kind, minlength=self.hits.size).reshape(self.hits.shape)
         self._settle()
@@ -96,15 +99,15 @@ def encode(blocks: list[np.ndarray], size: int) -> list[bytes]:
         return []
     starts, lengths = _layout([len(b) for b in blocks])
     steps, lanes = int(lengths.max(initial=0)), len(starts)
-    data = np.zeros((lanes, steps + 2), np.int64)  # two zeros stand before each run
+    data = np.zeros((lanes, steps + 2), np.int32)  # two zeros stand before each run
     for i, (s, n) in enumerate(zip(starts.tolist(), lengths.tolist(), strict=True)):
         data[i, 2 : 2 + n] = blocks[i // STREAMS][s : s + n]
     model = _Model(len(blocks), size)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 62) - 1, np.uint64)
-    out, carry, at = np.zeros((lanes, steps + 3), np.int64), np.zeros((lanes, steps + 3), np.int64), np.zeros(lanes, np.int64)
+    out, carry, at = np.zeros((lanes, steps + 3), np.uint32), np.zeros((lanes, steps + 3), np.uint8), np.zeros(lanes, np.int64)
     for a, b in _segments(steps):
         live = np.flatnonzero(lengths > a)
-        x, last, before = (data[live, a + k : b + k] for k in (2, 1, 0))
+        x, last, before = (data[live, a + k : b + k].astype(np.int64) for k in (2, 1, 0))
         block = np.broadcast_to(model.block[live][:, None], x.shape)
         valid = np.arange(a, b)[None, :] < lengths[live][:, None]
         s2, s1, p2, p1, standing = model.predict(before, last, block)
@@ -113,8 +116,9 @@ def encode(blocks: list[np.ndarray], size: int) -> list[bytes]:
         base = np.choose(kind, (np.zeros_like(share2), share2, share12))
         part = np.choose(kind, (share2, share12 - share2, (1 << SHARE_BITS) - share12))
         place, literal = block * (size + 1) + x, kind == 2
-        base0 = np.where(literal, model.flat[place] - block * 2 * LIMIT, 0)
-        part0 = np.where(literal, model.flat[place + 1] - model.flat[place], 1)
+        under = model.flat[place].astype(np.int64)
+        base0 = np.where(literal, under - block * 2 * LIMIT, 0)
+        part0 = np.where(literal, model.flat[place + 1] - under, 1)
         total0 = np.where(literal, model.total[block], 1)
         columns = [np.ascontiguousarray(c.T).astype(np.uint64) for c in (base, part, base0, part0, total0)]
         for t in range(b - a):
@@ -142,8 +146,8 @@ def encode(blocks: list[np.ndarray], size: int) -> list[bytes]:
     for k in range(out.shape[1] - 1, 0, -1):
         if carry[:, k].any():
             out[:, k - 1] += carry[:, k]
-            carry[:, k - 1] += out[:, k - 1] >> 31
-            out[:, k - 1] &= (1 << 31) - 1
+            carry[:, k - 1] += (out[:, k - 1] >> np.uint32(31)).astype(np.uint8)
+            out[:, k - 1] &= np.uint32((1 << 31) - 1)
     at[lengths == 0] = 0
     words = [out[i, :n].astype("<u4") for i, n in enumerate(at.tolist())]
     return [at[i : i + STREAMS].astype("<u4").tobytes() + np.concatenate(words[i : i + STREAMS]).tobytes() for i in range(0, lanes, STREAMS)]
@@ -161,14 +165,14 @@ def decode(coded: list[bytes], sizes: list[int], size: int) -> list[np.ndarray]:
     at = np.cumsum(counts) - counts
     code, width = (words[at] << _WORD) | words[np.minimum(at + 1, len(words) - 1)], np.full(lanes, (1 << 62) - 1, np.uint64)
     at = at + 2
-    data = np.zeros((lanes, steps + 2), np.int64)
+    data = np.zeros((lanes, steps + 2), np.int32)
     model = _Model(len(coded), size)
     for a, b in _segments(steps):
         live = np.flatnonzero(lengths > a)
         shape = (b - a, len(live))
         kept = [np.zeros(shape, np.int64) for _ in range(5)]
         valid = np.arange(a, b)[:, None] < lengths[live][None, :]
-        before, last = data[live, a], data[live, a + 1]
+        before, last = data[live, a].astype(np.int64), data[live, a + 1].astype(np.int64)
         for t in range(b - a):
             whole = valid[t].all()
             rows = slice(None) if whole else np.flatnonzero(valid[t])
@@ -183,13 +187,13 @@ def decode(coded: list[bytes], sizes: list[int], size: int) -> list[np.ndarray]:
             base = np.where(literal, share12, np.where(first, 0, share2))
             part = np.where(literal, top, np.where(first, share2, share12)) - base
             c, w = c - unit * base.astype(np.uint64), unit * part.astype(np.uint64)
-            x = np.where(first, p2, p1)
+            x = np.where(first, p2, p1).astype(np.int64)
             if len(lit := np.flatnonzero(literal)):
                 own = block[lit]
                 unit = w[lit] // model.total[own].astype(np.uint64)
                 v = np.minimum((c[lit] // unit).astype(np.int64), model.total[own] - 1) + own * 2 * LIMIT
                 place = np.searchsorted(model.flat, v, side="right") - 1
-                lower = model.flat[place]
+                lower = model.flat[place].astype(np.int64)
                 x[lit] = place - own * (size + 1)
                 c[lit] -= unit * (lower - own * 2 * LIMIT).astype(np.uint64)
                 w[lit] = unit * (model.flat[place + 1] - lower).astype(np.uint64)
@@ -202,10 +206,10 @@ def decode(coded: list[bytes], sizes: list[int], size: int) -> list[np.ndarray]:
             data[on, a + t + 2] = x
             for k, v in zip(kept, (s2, s1, standing, np.where(first, 0, np.where(literal, 2, 1)), block), strict=True):
                 k[t, rows] = v
-            before, last = last, data[live, a + t + 2]
+            before, last = last, data[live, a + t + 2].astype(np.int64)
         flat = np.ascontiguousarray(valid.T).ravel()
         s2, s1, standing, kind, block = (np.ascontiguousarray(k.T).ravel()[flat] for k in kept)
-        model.learn(np.ascontiguousarray(data[live, a + 2 : b + 2]).ravel()[flat], block, s2, s1, standing, kind)
+        model.learn(np.ascontiguousarray(data[live, a + 2 : b + 2]).ravel()[flat].astype(np.int64), block, s2, s1, standing, kind)
     return [np.concatenate([data[i + k, 2 : 2 + lengths[i + k]] for k in range(STREAMS)]) for i in range(0, lanes, STREAMS)]
 
 

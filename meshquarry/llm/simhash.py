@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshquarry.llm.common import cut, documents, union_all
-from meshquarry.llm.components import components
+from meshquarry.operators.graph import components
 
 RADIUS, BITS, BLOCKS = 3, 64, 5
 #: Fingerprints in a bucket beyond which it is dealt out anew by the pairs of its other bits.

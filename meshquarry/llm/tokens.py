@@ -6,8 +6,8 @@ import os
 
 import numpy as np
 
-#: Words whose ids a worker keeps, in about 200 MB; it starts anew beyond.
-KEPT_WORDS = 1_000_000
+#: Bytes of words and ids that a worker keeps, and what an entry takes besides; it starts anew beyond.
+KEPT_BYTES, ENTRY_BYTES = 64_000_000, 200
 
 
 def public_path(name: str = "word_bpe_49k.json") -> str:
@@ -25,7 +25,8 @@ class Encoder:
     """Ids of whole texts, equal to the tokenizer's own without special tokens.
 
     Words between blanks and line feeds are encoded once and looked up from then on: the tokenizer drops white space, so
-    the ids of a text are those of its words in order. (Files for which that doesn't hold are encoded text by text.) Runs of
+    the ids of a text are those of its words in order. (Files for which that doesn't hold, or that tell cases apart, are encoded
+    text by text.) Runs of
     letters, perhaps before one comma or full stop, share the ids of their lower case; new ones are encoded together and
     told apart by the tokens that end a word. A text of Latin letters, blanks, commas and full stops alone is lower-cased
     and split as bytes, its marks apart from its words.
@@ -42,13 +43,14 @@ class Encoder:
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         probe = "ab cd\nef, gh. Éa"
-        self.by_word = bool(self.ends.any()) and self._whole(probe) == b"".join(map(self._whole, probe.split()))
+        self.by_word = bool(self.ends.any()) and self._whole(probe) == b"".join(map(self._whole, probe.split())) and self._whole(probe.upper()) == self._whole(probe.lower()) == self._whole(probe)
         self.marks = {c: self._whole(c) for c in ".,"}
         self._forget()
 
     def _forget(self) -> None:
         self.words: dict[str, bytes] = {}
         self.stems: dict[bytes, bytes] = {c.encode(): ids for c, ids in self.marks.items()}  # Latin-1, lower case
+        self.kept = 0
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
@@ -57,7 +59,7 @@ class Encoder:
         """Of each text its ids, in bytes of `kind`."""
         if not self.by_word:
             return [self._whole(t) for t in texts]
-        if len(self.words) + len(self.stems) > KEPT_WORDS:
+        if self.kept > KEPT_BYTES:
             self._forget()
         split, tables = [], []
         for t in texts:
@@ -71,6 +73,7 @@ class Encoder:
             (stems if table is self.stems else new).update([ws[i] for i in gap])
         if new or stems:
             self._learn(new, stems)
+            self.kept += sum(2 * len(self.words[w]) + ENTRY_BYTES for w in new) + sum(2 * len(self.stems[w]) + ENTRY_BYTES for w in stems) + 2 * sum(map(len, new)) + sum(map(len, stems))
             for table, ws, got, gap in zip(tables, split, found, gaps, strict=True):
                 for i in gap:
                     got[i] = table[ws[i]]

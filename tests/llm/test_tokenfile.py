@@ -1,7 +1,9 @@
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from meshquarry.llm import mixcoder as M
 from meshquarry.llm import tokenfile as T
@@ -70,7 +72,28 @@ def test_round_trip(spark, odd, none, tmp_path, monkeypatch, block):
 
 
 def test_very_long_text(spark, odd, tmp_path):
-    T.write_tokens(odd.where("doc_id = 11"), f"{tmp_path}/c")
-    text = odd.where("doc_id = 11").first().text
-    (row,) = T.read_tokens(spark, f"{tmp_path}/c").collect()
-    assert list(row.ids) == [*encoder(public_path()).tokenizer.encode(text, add_special_tokens=False).ids, T.END]
+    """A document of several blocks among small ones."""
+    long = odd.where("doc_id IN (4, 9, 11)").withColumn("text", F.when(F.col("doc_id") == 9, F.repeat(F.concat("text", F.lit(" two, ")), 100_000)).otherwise(F.col("text")))
+    T.write_tokens(long, f"{tmp_path}/c")
+    assert max(len(r.blocks) for r in spark.read.parquet(f"{tmp_path}/c").collect()) > 4
+    plain, at = encoder(public_path()).tokenizer, 0
+    rows = {r.doc_id: r for r in T.read_tokens(spark, f"{tmp_path}/c").collect()}
+    for r in sorted(long.collect(), key=lambda r: r.doc_id):
+        assert list(rows[r.doc_id].ids) == [*plain.encode(r.text, add_special_tokens=False).ids, T.END] and rows[r.doc_id].start == at
+        at += len(rows[r.doc_id].ids)
+
+
+def test_memory_is_bounded():
+    """A document of 2,000,000 ids beside 40 of usual size, with a vocabulary of 50,000."""
+    rng = np.random.default_rng(3)
+    rows = [(0, 0, [k], [rng.integers(0, 50_000, 60_000).astype("<u2")]) for k in range(40)]
+    rows.append((0, 0, [99], [rng.integers(0, 50_000, 2_000_000).astype("<u2")]))
+    tracemalloc.start()
+    blocks = T._coded(rows, 50_000).column(3).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    assert len(blocks[-1]) == 31 and peak < 150e6
+    frames = [M.unframe(f) for f in blocks[-1]]
+    back = np.concatenate(M.decode([f[3] for f in frames], [f[0] for f in frames], 50_000))
+    assert (back == rows[-1][3][0]).all() and tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
