@@ -1,11 +1,13 @@
 """Benchmark decontamination: passages of benchmark items in documents, up to an edit distance.
 
 Texts are words in lower case. An item of n words leaks into a document if some stretch of its words lies within
-floor(n (1 - SIMILARITY)) insertions, deletions and substitutions of words. Windows of an item's size, at every word, are
-embedded by the random walk of Chakraborty, Goldenberg and Koucky: step by step it writes the word it stands on and goes
-on to the next with a coin that depends on the step and the word, so that after an edit two walks soon meet again and
-words at few steps differ. Sampled steps of the embedding are the key of a hash table (bit sampling); REPEATS independent
-walks and samples reach the target recall. Candidates are verified by the exact edit distance.
+floor(n (1 - SIMILARITY)) insertions, deletions and substitutions of words. Items are cut into segments of about SEGMENT
+words: of the edits of a leak no more than its share can fall to every segment, so one lies within that share of its own
+words. Windows of a segment's size, at every word, are embedded by the random walk of Chakraborty, Goldenberg and Koucky:
+step by step it writes the word it stands on and goes on to the next with a coin that depends on the step and the word, so
+that after an edit two walks soon meet again and words at few steps differ. Sampled steps of the embedding are the key of a
+hash table (bit sampling); REPEATS independent walks and samples reach the target recall, whatever an item's length.
+Candidates are verified by the exact edit distance of the whole item. Items too short for an edit are looked up as they are.
 """
 
 from __future__ import annotations
@@ -19,20 +21,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from meshquarry.llm.common import documents, union_all
+from meshquarry.llm.common import documents, stored, union_all
 
 SIMILARITY = 0.8
-#: Items of fewer words are no passages, and are not looked for.
-LEAST_WORDS = 5
-#: Sampled steps of a key and repetitions. Measured in tests: recall over 0.95 at the largest distance, over 0.99 at half.
+#: Words of a segment, about; items of fewer than SHORT words allow no edit.
+SEGMENT, SHORT = 40, 5
+#: Sampled steps of a key and repetitions. Measured in tests, up to 600 words: recall over 0.95 at the largest distance, over
+#: 0.99 at half.
 SAMPLED, REPEATS = 2, 16
 #: Pairs of neighbouring words are looked up in a table of 2^PAIR_BITS places; a shared place only lets more windows pass.
 PAIR_BITS = 20
 #: Windows that are looked at together.
 BLOCK = 16_384
-#: Items of so many words at most are searched for at once; more go in further blocks over all documents.
-BLOCK_WORDS = 500_000
+#: An index holds items of about so many words; so many indexes go through the documents together, which bounds a task's memory.
+BLOCK_WORDS, TOGETHER = 500_000, 8
 #: Words of documents that are held at once.
 CHUNK_WORDS = 1_000_000
 _WORDS = re.compile(r"[^\W_]+")
@@ -54,12 +59,17 @@ class Index:
     ids: list
     vocabulary: dict[str, int]
     items: list[np.ndarray]
+    owner: np.ndarray  # by segment: its item, the word at which it begins, its length, the most edits
+    offset: np.ndarray
+    size: np.ndarray
+    edits: np.ndarray
     steps: list[np.ndarray]  # by repetition: the sampled steps of each length, in rows by length
     keys: list[np.ndarray]  # by repetition, sorted
-    owners: list[np.ndarray]
+    segments: list[np.ndarray]
     lengths: list[int]
-    pairs: np.ndarray  # at the hash of each pair of neighbouring words, a bit for each length (modulo 64) of its items
+    pairs: np.ndarray  # at the hash of each pair of neighbouring words, a bit for each length (modulo 64) of its segments
     needs: dict[int, tuple[int, int]]  # by length: how many pairs a window must hold, and how many different ones
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # by length: sorted keys of short items, and the items
 
     def numbers(self, ws: list[str]) -> np.ndarray:
         return np.fromiter(map(self.vocabulary.get, ws, repeat(0)), np.int32, len(ws))
@@ -94,29 +104,54 @@ def walk_keys(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rep: in
     return out
 
 
+def _exact_keys(data: np.ndarray, n: int) -> np.ndarray:
+    """A key for each window of n words."""
+    key = np.zeros(max(0, len(data) - n + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            key = (key ^ data[k : k + len(key)].astype(np.uint64)) * _ODD
+            key ^= key >> np.uint64(31)
+    return key
+
+
 def build(rows: list[tuple[object, list[str]]]) -> Index:
     vocabulary: dict[str, int] = {}
     items = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in ws], np.int64) for _, ws in rows]
-    lengths = sorted({len(x) for x in items})
-    steps, keys, owners = [], [], []
-    flat = np.concatenate([*items, np.zeros(1, np.int64)])
-    sizes = np.array([len(x) for x in items], np.int64)
+    short, cuts = {}, []
+    for o, x in enumerate(items):
+        if len(x) < SHORT:
+            short.setdefault(len(x), []).append(o)
+        else:
+            at = np.linspace(0, len(x), max(1, round(len(x) / SEGMENT)) + 1).astype(int).tolist()
+            cuts += [(o, i, j - i) for i, j in zip(at[:-1], at[1:], strict=True)]
+    exact = {}
+    for n, own in short.items():
+        if n:
+            key = np.concatenate([_exact_keys(items[o], n) for o in own])
+            order = np.argsort(key, kind="stable")
+            exact[n] = key[order], np.array(own)[order]
+    owner, offset, size = np.array(cuts, np.int64).reshape(-1, 3).T
+    parts = [items[o][i : i + n] for o, i, n in cuts]
+    lengths = sorted(set(size.tolist()))
+    steps, keys, segments = [], [], []
+    flat = np.concatenate([*parts, np.zeros(1, np.int64)])
     for rep in range(REPEATS):
         rng = np.random.default_rng(rep)
         table = np.zeros((max(lengths, default=0) + 1, SAMPLED), np.int64)
         for n in lengths:
             table[n] = rng.choice(max(SAMPLED, int(1.8 * n)), SAMPLED, replace=False)  # a walk over n words takes about 2 n steps
-        own = walk_keys(flat, np.cumsum(sizes) - sizes, sizes, rep, table[sizes])
+        own = walk_keys(flat, np.cumsum(size) - size, size, rep, table[size])
         order = np.argsort(own, kind="stable")
-        steps.append(table), keys.append(own[order]), owners.append(order)
+        steps.append(table), keys.append(own[order]), segments.append(order)
     pairs = np.zeros(1 << PAIR_BITS, np.uint64)
     needs: dict[int, tuple[int, int]] = {}
-    for x in items:
+    for x in parts:
         n, d, pair = len(x), most_edits(len(x)), _pair(x)
         pairs[pair] |= np.uint64(1 << n % 64)
         own = int(_fresh(pair).sum()) - 3 * d, len(np.unique(pair)) - 2 * d
         needs[n] = tuple(map(min, needs.get(n, own), own))
-    return Index([i for i, _ in rows], vocabulary, items, steps, keys, owners, lengths, pairs, needs)
+    edits = np.array([most_edits(n) for n in size.tolist()], np.int64)
+    return Index([i for i, _ in rows], vocabulary, items, owner, offset, size, edits, steps, keys, segments, lengths, pairs, needs, exact)
 
 
 def _fresh(pair: np.ndarray) -> np.ndarray:
@@ -141,42 +176,81 @@ def distance(item: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return row.min(axis=1), row.argmin(axis=1)
 
 
+def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each i and each k from lo[i] to hi[i]: i and k."""
+    n = hi - lo
+    i = np.repeat(np.arange(len(n)), n)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + lo[i]
+
+
 def search(index: Index, texts: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
     """(text, item, distance, word): for each text, given as word numbers, and item within reach, the least distance found
     and about where."""
     if not index.items or not texts:
         return []
-    pad = 2 * index.lengths[-1] + 2  # no window reaches into another text
+    pad = 2 * max(index.lengths, default=SHORT) + 2  # no window reaches into another text
     sizes = np.array([len(t) for t in texts], np.int64)
     begins = np.cumsum(sizes + pad) - sizes
     data = np.zeros(int(begins[-1] + sizes[-1]) + pad, np.int64)
     for b, t in zip(begins.tolist(), texts, strict=True):
         data[b : b + len(t)] = t
-    starts, lengths = _windows(index, data)
-    hits: dict[int, set[int]] = {}
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    for n, (keys, owners) in index.short.items():
+        at, k = _spread(*(np.searchsorted(keys, _exact_keys(data, n), side=s) for s in ("left", "right")))
+        for p, o in zip(at.tolist(), owners[k].tolist(), strict=True):
+            if (data[p : p + n] == index.items[o]).all():
+                text = int(np.searchsorted(begins, p, side="right")) - 1
+                best.setdefault((text, o), (0, p - int(begins[text])))
+    starts, lengths = _windows(index, data) if index.lengths else (np.zeros(0, np.int64),) * 2
+    hits = []
     for rep in range(REPEATS) if len(starts) else ():
         key = walk_keys(data, starts, lengths, rep, index.steps[rep][lengths])
-        lo, hi = np.searchsorted(index.keys[rep], key), np.searchsorted(index.keys[rep], key, side="right")
-        for w in np.flatnonzero(lo < hi).tolist():
-            for o in index.owners[rep][lo[w] : hi[w]].tolist():
-                if (n := len(index.items[o])) == lengths[w]:
-                    hits.setdefault(o, set()).add(int(starts[w]) // (most_edits(n) + 1))
-    best: dict[tuple[int, int], tuple[int, int]] = {}
-    for o, places in hits.items():
-        n, d = (n := len(index.items[o])), most_edits(n)
-        first = np.array(sorted(places), np.int64) * (d + 1)
-        for at in range(0, len(first), 4096):
-            some = first[at : at + 4096]
-            window = some[:, None] - d + np.arange(n + 4 * d + 2)
-            dist, end = distance(index.items[o], data[np.clip(window, 0, len(data) - 1)])
-            end += some - d
-            for w in np.flatnonzero(dist <= d).tolist():
-                text = int(np.searchsorted(begins, end[w] - 1, side="right")) - 1
-                hit = (int(dist[w]), max(0, int(end[w] - begins[text]) - n))
-                best[text, o] = min(best.get((text, o), hit), hit)
+        w, k = _spread(*(np.searchsorted(index.keys[rep], key, side=s) for s in ("left", "right")))
+        segment = index.segments[rep][k]
+        w, segment = w[(same := index.size[segment] == lengths[w])], segment[same]
+        text = np.searchsorted(begins, starts[w] + lengths[w], side="right") - 1
+        hits.append(np.stack([segment, text, starts[w] // (index.edits[segment] + 1)]))
+
+    def near(pattern: np.ndarray, d: int, text: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of those places whose words hold the pattern within d edits: which, the edits, and where they end."""
+        wide, out = np.arange(-d, len(pattern) + 3 * d + 2), []
+        batch = max(1, 3_000_000 // len(wide))
+        for at in range(0, len(first), batch):
+            t, window = text[at : at + batch], first[at : at + batch, None] + wide
+            inside = (window >= begins[t][:, None]) & (window < (begins + sizes)[t][:, None])
+            dist, end = distance(pattern, np.where(inside, data[np.clip(window, 0, len(data) - 1)], 0))
+            ok = np.flatnonzero(dist <= d)
+            out.append((at + ok, dist[ok], end[ok] + first[at + ok] - d))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def by_first(rows: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        found = np.unique(np.concatenate(rows, axis=1), axis=1) if rows else np.zeros((3, 0), np.int64)
+        ids = np.unique(found[0])
+        return zip(ids.tolist(), np.split(found[1:], np.searchsorted(found[0], ids[1:]), axis=1), strict=True) if len(ids) else iter(())
+
+    whole = []  # items of several segments, where one of them was found
+    for g, (text, at) in by_first(hits):
+        o, d = int(index.owner[g]), int(index.edits[g])
+        item, i = index.items[o], int(index.offset[g])
+        ok, dist, end = near(item[i : i + index.size[g]], d, text, at * (d + 1))
+        if index.size[g] < len(item):
+            reach = most_edits(len(item)) + 1
+            whole.append(np.stack([np.full(len(ok), o), text[ok], (end - index.size[g] - i) // reach]))
+        else:
+            _keep(best, o, len(item), text[ok], dist, end - begins[text[ok]])
+    for o, (text, at) in by_first(whole):
+        item, d = index.items[o], most_edits(len(index.items[o]))
+        ok, dist, end = near(item, d, text, at * (d + 1))
+        _keep(best, o, len(item), text[ok], dist, end - begins[text[ok]])
     return [(t, o, *hit) for (t, o), hit in best.items()]
 
 
+def _keep(best: dict, item: int, n: int, text: np.ndarray, dist: np.ndarray, end: np.ndarray) -> None:
+    for t, d, e in zip(text.tolist(), dist.tolist(), end.tolist(), strict=True):
+        hit = (d, max(0, e - n))
+        best[t, item] = min(best.get((t, item), hit), hit)
+
+
 def _windows(index: Index, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, length) of the windows that may hold an item: those with enough pairs of neighbouring words of any item.
 
@@ -206,7 +280,7 @@ def blocks(benchmark: DataFrame) -> Iterator[Index]:
     rows, size = [], 0
     for r in benchmark.where("text IS NOT NULL").select("item_id", "text").toLocalIterator():
         ws = words(r.text)
-        if len(ws) < LEAST_WORDS:
+        if not ws:
             continue
         if rows and size + len(ws) > BLOCK_WORDS:
             yield build(rows)
@@ -216,48 +290,64 @@ def blocks(benchmark: DataFrame) -> Iterator[Index]:
     yield build(rows)
 
 
+def _scan(docs: DataFrame, indexes: list[Index], item: T.DataType) -> DataFrame:
+    """Leaks of the items of some indexes in one pass over the documents (doc_id, text, and any key columns after them)."""
+    sent = docs.sparkSession.sparkContext.broadcast(indexes)
+    keys = docs.schema.fields[2:]
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("item_id", item), *(T.StructField(c, t) for c, t in (("distance", T.IntegerType()), ("similarity", T.DoubleType()), ("word", T.LongType()))), *keys])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for text, *row in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), *(c.to_pylist() for c in b.columns[2:]), strict=True):
+                held.append((row, words(text or "")))
+                size += len(held[-1][1]) + 100
+                if size > CHUNK_WORDS:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
+
+    def flush(held: list) -> pa.RecordBatch:
+        rows = []
+        for index in sent.value:
+            for t, o, distance, word in search(index, [index.numbers(ws) for _, ws in held]):
+                doc_id, *rest = held[t][0]
+                rows.append((doc_id, index.ids[o], distance, 1 - distance / len(index.items[o]), word, *rest))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(arrow), arrow, strict=True)], schema=arrow)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    item, parts, some = benchmark.schema["item_id"].dataType, [], []
+    for index in blocks(benchmark):
+        if len(some) == TOGETHER:  # what was found is written, so that no more than TOGETHER indexes are held at once
+            parts.append(stored(_scan(docs, some, item), "leaks"))
+            some = []
+        some.append(index)
+    return union_all([*parts, _scan(docs, some, item)])
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, distance, similarity, word): a row for each document and item that leaks into it, with the least
     distance in words, 1 - distance / n, and the word from which on it was found.
 
-    Null texts hold nothing; null or short items are not looked for; repeated documents or items give repeated rows, ties
-    the first place. Other columns are ignored; an empty table on either side gives an empty one. Nothing is shuffled: each
-    block of items, of bounded size, goes to all tasks.
+    Null texts hold nothing; null items and items without a word are not looked for; an item of fewer than SHORT words leaks
+    where it stands word for word. Repeated documents or items give repeated rows, ties the first place. Other columns are
+    ignored; an empty table on either side gives an empty one. Nothing is shuffled: indexes of bounded size go to all tasks,
+    and a pass over the documents looks for TOGETHER * BLOCK_WORDS words of items.
     """
-    kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, distance int, similarity double, word long"
-
-    def one(index: Index) -> DataFrame:
-        sent = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, held, size = sent.value, [], 0
-            for b in batches:
-                for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    held.append((doc_id, index.numbers(words(text or ""))))
-                    size += len(held[-1][1]) + 100
-                    if size > CHUNK_WORDS:
-                        yield flush(index, held)
-                        held, size = [], 0
-            if held:
-                yield flush(index, held)
-
-        def flush(index: Index, held: list) -> pa.RecordBatch:
-            hits = search(index, [x for _, x in held])
-            n = [len(index.items[o]) for _, o, _, _ in hits]
-            columns = [[held[t][0] for t, *_ in hits], [index.ids[o] for _, o, _, _ in hits], [d for *_, d, _ in hits], [1 - h[2] / k for h, k in zip(hits, n, strict=True)], [w for *_, w in hits]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "distance", "similarity", "word"])
-
-        return docs.select("doc_id", "text").mapInArrow(run, schema)
-
-    return union_all([one(index) for index in blocks(benchmark)])
+    return _leaks(docs.select("doc_id", "text"), benchmark)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` into which no item leaks, with all their columns; rows with a null doc_id stay only if no other
-    such row leaks."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    """The rows of `docs` into which no item leaks, with all their columns. A row goes by its own text, whatever other rows
+    share its doc_id, null among them."""
+    keys = {"__row": F.xxhash64("doc_id", "text"), "__text": F.xxhash64("text")}
+    bad = stored(_leaks(docs.select("doc_id", "text", *(k.alias(c) for c, k in keys.items())), benchmark).select(*keys).distinct(), "leaking")  # its size is known then
+    return docs.withColumns(keys).join(bad, [*keys], "left_anti").select(*docs.columns)
 
 
 def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
