@@ -2,34 +2,35 @@
 
 For each language a tree of byte contexts up to three bytes long holds how often each byte followed. A byte that a context
 has seen n of N times, d different ones, costs -log2(n / (N + d)) bits there; one that it has not seen costs an escape,
--log2(d / (N + d)), and is coded in the context that is a byte shorter, at last as one of 256. Counts stay frozen while
-scoring, so a text's code length in a language is a sum of table entries, exact and independent of the order of rows.
+-log2(d / (N + d)), and is coded in the context that is a byte shorter, at last as one of 256. All byte values and all
+contexts of the sample are kept. Counts stay frozen while scoring, so a text's code length in a language is a sum of table
+entries, exact and independent of the order of rows.
 """
 
 from __future__ import annotations
 
-import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshquarry.llm.common import documents
 
 ORDER = 3
-#: The model is fitted to at most about so many documents of each language, each of at most so many bytes, chosen by hash.
+#: The model is fitted to at most about so many documents of each language, chosen by hash; of a longer one, to a piece of so
+#: many bytes whose place a hash chooses.
 TRAIN_DOCS, TRAIN_BYTES = 3_000, 65_536
-#: Byte values told apart, most frequent first; others share one symbol. Least count of a context of three bytes.
-SYMBOLS, LEAST_CONTEXT = 111, 40
 #: Bytes and documents that are scored at once.
 CHUNK, ROWS = 1 << 19, 500
 #: Bits a byte beyond which a text is in no learned language; plain text takes two to four, random letters over five.
 MOST_BITS = 6.0
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _PAD = b"\0" * ORDER
 
 
@@ -43,6 +44,14 @@ def _codes(data: np.ndarray) -> np.ndarray:
     return x[:-3] << 24 | x[1:-2] << 16 | x[2:-1] << 8 | x[3:]
 
 
+def _piece(text: bytes) -> bytes:
+    """The text after ORDER zero bytes; of a longer one than TRAIN_BYTES a piece with the ORDER bytes before it."""
+    if len(text) <= TRAIN_BYTES:
+        return _PAD + text
+    at = zlib.crc32(text) % (len(text) - TRAIN_BYTES + 1)
+    return (_PAD + text)[at : at + ORDER + TRAIN_BYTES]
+
+
 def grams(training: DataFrame) -> DataFrame:
     """(lang, code, n): how often each run of four bytes occurs in each language; texts begin with three zero bytes."""
 
@@ -50,7 +59,7 @@ def grams(training: DataFrame) -> DataFrame:
         for b in batches:
             langs, texts = np.array(b.column(0).to_pylist(), object), b.column(1).cast(pa.binary()).to_pylist()
             for lang in set(langs):
-                parts = [np.unique(_codes(np.frombuffer(_PAD + texts[i], np.uint8)), return_counts=True) for i in np.flatnonzero(langs == lang) if texts[i]]
+                parts = [np.unique(_codes(np.frombuffer(_piece(texts[i]), np.uint8)), return_counts=True) for i in np.flatnonzero(langs == lang) if texts[i]]
                 if parts:
                     code, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
                     n = np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
@@ -59,79 +68,95 @@ def grams(training: DataFrame) -> DataFrame:
     return training.select("lang", "text").mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
+@dataclass
+class Level:
+    """Contexts of one length: runs of the context and a byte that any language has seen, in order, with their code lengths by
+    language; and the contexts in order, with the cost of an escape by language (0 where it hasn't seen the context)."""
+
+    codes: np.ndarray
+    bits: np.ndarray
+    contexts: np.ndarray
+    escapes: np.ndarray
+
+
+def _among(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each x is, and whether it is."""
+    at = np.minimum(np.searchsorted(sorted_, x), max(0, len(sorted_) - 1))
+    return at, sorted_[at] == x if len(sorted_) else np.zeros(len(x), bool)
+
+
 @dataclass
 class Model:
     langs: list[str]
-    symbol: np.ndarray  # of each byte value
-    deep: np.ndarray  # of each context of three symbols: 0, or its place among those that have a table
-    table: np.ndarray  # code lengths in bits by language; first by three symbols, then by deep context and symbol
+    levels: list[Level]  # contexts of 3, 2, 1 and 0 bytes
+
+    def code_bits(self, codes: np.ndarray, level: int = 0) -> np.ndarray:
+        """Code lengths, by language, of the last byte of each run."""
+        if level == len(self.levels):
+            return np.full((len(codes), len(self.langs)), 8.0)
+        own = self.levels[level]
+        at, known = _among(own.codes, codes)
+        out = own.bits[at].astype(np.float64) if len(own.codes) else np.zeros((len(codes), len(self.langs)))
+        if len(rest := np.flatnonzero(~known)):
+            below = codes[rest] & ((1 << 8 * (ORDER - level)) - 1)
+            at, known = _among(own.contexts, codes[rest] >> 8)
+            out[rest] = np.where(known[:, None], own.escapes[at], 0) + self.code_bits(below, level + 1)
+        return out
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
-        """Code lengths by text and language, of whole texts, in pieces of bounded size."""
-        s = int(self.symbol.max()) + 1
+        """Code lengths by text and language, of whole texts, in pieces of bounded size. Each different run of four bytes of a
+        piece is looked up once."""
         lengths = np.array([len(t) for t in texts], np.int64)
         ends = np.cumsum(lengths + ORDER)
-        data = self.symbol[np.frombuffer(b"".join(x for t in texts for x in (_PAD, t)), np.uint8)]
+        data = np.frombuffer(b"".join(x for t in texts for x in (_PAD, t)), np.uint8)
         out = np.zeros((len(texts), len(self.langs)))
         for at in range(ORDER, len(data), CHUNK):
-            x = data[at - ORDER : at + CHUNK].astype(np.int64)
-            context = (x[:-3] * s + x[1:-2]) * s + x[2:-1]
-            deep, now = self.deep[context], x[3:]
-            rows = self.table[np.where(deep > 0, s**3 + deep * s, context % s**2 * s) + now]
-            owner = np.searchsorted(ends, np.arange(at, at + len(now)), side="right")
-            rows[(np.arange(at, at + len(now)) - (ends - lengths - ORDER)[owner]) < ORDER] = 0  # the padding itself
+            codes, which = np.unique(_codes(data[at - ORDER : at + CHUNK]), return_inverse=True)
+            rows = self.code_bits(codes.astype(np.int64)).astype(np.float32)[which]
+            owner = np.searchsorted(ends, np.arange(at, at + len(which)), side="right")
+            rows[(np.arange(at, at + len(which)) - (ends - lengths - ORDER)[owner]) < ORDER] = 0  # the padding itself
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             out[owner[starts]] += np.add.reduceat(rows, starts, axis=0, dtype=np.float64)
         return out
 
 
-def _level(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Code lengths of the last axis in each context, given those of the next shorter context."""
-    total, kinds = counts.sum(-1, keepdims=True), (counts > 0).sum(-1, keepdims=True)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        seen, escape = -np.log2(counts / (total + kinds)), -np.log2(kinds / (total + kinds))
-    return np.where(total == 0, lower, np.where(counts > 0, seen, escape + lower))
+def _level(langs: np.ndarray, names: list[str], code: np.ndarray, n: np.ndarray, below: Model, context_bytes: int) -> Level:
+    codes, contexts = np.unique(code), np.unique(code >> 8)
+    level = ORDER - context_bytes + 1
+    lower = below.code_bits(codes & ((1 << 8 * context_bytes) - 1), level)
+    bits, escapes = np.empty((len(codes), len(names)), np.float32), np.zeros((len(contexts), len(names)), np.float32)
+    for k, name in enumerate(names):
+        own, at = np.unique(code[langs == name], return_inverse=True)
+        count = np.bincount(at, n[langs == name])
+        context = np.searchsorted(contexts, own >> 8)
+        total, kinds = np.bincount(context, count, len(contexts)), np.bincount(context, minlength=len(contexts))
+        seen = np.flatnonzero(total)
+        escapes[seen, k] = -np.log2(kinds[seen] / (total + kinds)[seen])
+        bits[:, k] = escapes[np.searchsorted(contexts, codes >> 8), k] + lower[:, k]
+        bits[np.searchsorted(codes, own), k] = -np.log2(count / (total + kinds)[context])
+    return Level(codes, bits, contexts, escapes)
 
 
 def build(langs: np.ndarray, code: np.ndarray, n: np.ndarray) -> Model:
+    """From how often each run of four bytes occurs in each language; shorter runs are their ends."""
     names = sorted(set(langs.tolist()))
-    raw = [(code >> s & 255).astype(np.int64) for s in (24, 16, 8, 0)]
-    often = np.bincount(raw[3], n, minlength=256)
-    often[0] = np.inf  # the padding has symbol 0
-    ranked = np.argsort(-often, kind="stable")[: min(SYMBOLS, 1 + int((often[1:] > 0).sum()))]
-    symbol = np.full(256, len(ranked), np.uint8)
-    symbol[ranked] = np.arange(len(ranked))
-    s = len(ranked) + 1
-    a, b, c, d = (symbol[r].astype(np.int64) for r in raw)
-    tables = []
-    total = np.bincount((a * s + b) * s + c, n, minlength=s**3)
-    kept = np.flatnonzero(total >= LEAST_CONTEXT)
-    deep = np.zeros(s**3, np.int32)
-    deep[kept] = np.arange(1, len(kept) + 1)
-    at = deep[(a * s + b) * s + c].astype(np.int64)
-    for name in names:
-        own = langs == name
-        grid = np.bincount(((b * s + c) * s + d)[own], n[own], minlength=s**3).reshape(s, s, s)
-        zero = _level(grid.sum((0, 1)), np.full(s, 8.0))
-        one = _level(grid.sum(0), zero[None, :])
-        two = _level(grid, one[None, :, :])
-        lower = two[(kept // s) % s, kept % s]
-        at_own, d_own = at[own], d[own]
-        three = np.bincount(at_own * s + d_own, n[own], minlength=(len(kept) + 1) * s).reshape(-1, s)
-        three = _level(three[1:], lower)
-        tables.append(np.concatenate([two.ravel(), np.zeros(s), three.ravel()]).astype(np.float32))
-    return Model(names, symbol, deep, np.ascontiguousarray(np.stack(tables, 1)))
+    none = Level(np.zeros(0, np.int64), np.zeros((0, len(names))), np.zeros(0, np.int64), np.zeros((0, len(names))))
+    model = Model(names, [none] * (ORDER + 1))
+    for context_bytes in range(ORDER + 1):
+        short = code & ((1 << 8 * (context_bytes + 1)) - 1)
+        model.levels[ORDER - context_bytes] = _level(langs, names, short, n, model, context_bytes)
+    return model
 
 
 def fit(docs: DataFrame) -> Model | None:
     """From text and lang of rows with both that are not held out. The sample is bounded by TRAIN_DOCS documents of a
-    language, in expectation, and TRAIN_BYTES each: a hash of the text picks a share of each language. None without rows."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    language, in expectation, and TRAIN_BYTES of each: a hash of the text picks a share of each language. None without rows."""
+    rows = docs.where(F.col("text") != "").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     share = {r.lang: TRAIN_DOCS / r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
     if not share:
         return None
     chosen = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))[F.col("lang")]
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < chosen * 1_000_003).where(F.octet_length("text") <= TRAIN_BYTES)
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < chosen * 1_000_003)
     t = grams(sample).toArrow()  # bounded by the sample
     return build(np.array(t["lang"].to_pylist(), object), t["code"].to_numpy(), t["n"].to_numpy()) if t.num_rows else None
 
@@ -154,7 +179,7 @@ def language(text: Column, model: Model | None, spark: SparkSession) -> Column:
 
     `und`, 0 and null for null texts, texts without a letter, or without a model; ties go to the language first by name.
     """
-    sent = spark.sparkContext.broadcast(model)  # bounded by SYMBOLS, the sample and the number of languages
+    sent = spark.sparkContext.broadcast(model)  # bounded by the sample
 
     @F.pandas_udf("lang_pred string, score double, bits_per_byte double")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -37,20 +37,41 @@ def test_only_rows_that_are_not_held_out_teach(spark):
     df = spark.createDataFrame(rows(), "doc_id long, text string, lang string")
     kept = df.where(~L.held_out(df.doc_id))
     a, b = L.fit(df), L.fit(kept)
-    assert (a.table == b.table).all() and (a.symbol == b.symbol).all()
+    assert all((x.codes == y.codes).all() and (x.bits == y.bits).all() and (x.escapes == y.escapes).all() for x, y in zip(a.levels, b.levels, strict=True))
+
+
+def test_a_language_of_long_documents_is_learned(spark):
+    long = [(i, t * 400 if lang == "aa" else t, lang) for i, t, lang in rows(60)]
+    assert len(L._piece(long[0][1].encode() * 2 + b"x" * 200_000)) == L.ORDER + L.TRAIN_BYTES and min(len(t) for _, t, lang in long if lang == "aa") > L.TRAIN_BYTES
+    df = spark.createDataFrame(long, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in L.identify(df, L.fit(df)).collect()}
+    assert sum(got[i] == lang for i, _, lang in long) / len(got) > 0.95
+
+
+def test_letters(spark):
+    model = L.fit(spark.createDataFrame(rows(), "doc_id long, text string, lang string"))
+    odd = [(1, "½ ² 12"), (2, "_ 7 !"), (3, "Ⅷ ①"), (4, "é"), (5, "字")]
+    got = {r.doc_id: r.lang_pred for r in L.identify(spark.createDataFrame(odd, "doc_id long, text string"), model).collect()}
+    assert [got[i] == "und" for i in range(1, 6)] == [True, True, True, False, False]
+
+
+def test_query_columns(spark, tmp_path):
+    df = spark.createDataFrame([(*r, "s", 1) for r in [*rows(), (None, None, "aa"), (9001, "", None)]], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = L.op4_langid(spark, str(tmp_path)).collect()
+    assert len(got) == df.count() and {"doc_id", "held_out", "lang_pred", "score"} <= set(got[0].asDict())
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
 
 
 def test_code_lengths_like_a_plain_tree():
-    """Against a walk over the text with dictionaries; symbols and contexts are all kept here."""
-    texts = {"aa": [b"abracadabra", b"banana"], "bb": [b"xyzzy xyz"]}
+    """Against a walk over the text with dictionaries, with all byte values."""
+    texts = {"aa": [b"abracadabra", b"banana", bytes(range(256)) * 2], "bb": [b"xyzzy xyz", "字文字".encode()]}
     langs, codes, n = [], [], []
     for lang, ts in texts.items():
         for t in ts:
             for c in L._codes(np.frombuffer(L._PAD + t, np.uint8)).tolist():
                 langs.append(lang), codes.append(c), n.append(1)
-    old, L.LEAST_CONTEXT = L.LEAST_CONTEXT, 1
     model = L.build(np.array(langs, object), np.array(codes), np.array(n))
-    L.LEAST_CONTEXT = old
 
     def cost(lang, text):
         seen = {}
@@ -71,7 +92,7 @@ def test_code_lengths_like_a_plain_tree():
                     bits -= math.log2(len(set(at)) / (len(at) + len(set(at))))
         return bits
 
-    tries = [b"banana", b"xyz", b"abz", b"", b"zzzz", b"abracadabra" * 9]
+    tries = ["字 ab 文".encode(), bytes(range(250, 256)), b"banana", b"xyz", b"abz", b"", b"zzzz", b"abracadabra" * 9]
     want = [[cost(lang, t) for lang in ("aa", "bb")] for t in tries]
     assert np.allclose(model.bits(tries), want, rtol=1e-5)
     old, L.CHUNK = L.CHUNK, 5
