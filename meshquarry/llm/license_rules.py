@@ -1,7 +1,7 @@
 """Signatures of licences: one line a rule family, written by hand.
 
-A line is `label | priority | weight | keyword | pattern`, over words in lower case joined by single spaces. The keyword must
-stand in a text before the pattern is tried, and every match of the pattern holds it. Priority 1 is the strongest. In patterns
+A line is `label | priority | weight | keywords | pattern`, over words in lower case joined by single spaces. One of the
+keywords (parted by `/`) must be a word of a text before the pattern is tried, and every match of the pattern holds one. Priority 1 is the strongest. In patterns
 a blank is one word boundary; `(?:...)?` with its blank inside makes words optional. `{a/b/c}` makes one rule for each
 alternative, also in the label.
 """
@@ -16,28 +16,33 @@ from itertools import product
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
 RULES = """
-spdx-{mit/isc/zlib/unlicense/wtfpl/x11/ntp/beerware} | 1 | 1.0 | spdx | spdx license identifier {mit/isc/zlib/unlicense/wtfpl/x11/ntp/beerware}
-spdx-apache-{1 0/1 1/2 0} | 1 | 1.0 | spdx | spdx license identifier apache {1 0/1 1/2 0}
-spdx-gpl-{1 0/2 0/3 0}-only | 1 | 1.0 | spdx | spdx license identifier gpl {1 0/2 0/3 0}(?: only)?
-spdx-gpl-{1 0/2 0/3 0}-or-later | 1 | 1.0 | spdx | spdx license identifier gpl {1 0/2 0/3 0} or later
-spdx-lgpl-{2 0/2 1/3 0} | 1 | 1.0 | spdx | spdx license identifier lgpl {2 0/2 1/3 0}(?: only| or later)?
-spdx-agpl-3 0 | 1 | 1.0 | spdx | spdx license identifier agpl 3 0(?: only| or later)?
-spdx-bsd-{2/3/4}-clause | 1 | 1.0 | spdx | spdx license identifier bsd {2/3/4} clause
-spdx-mpl-{1 0/1 1/2 0} | 1 | 1.0 | spdx | spdx license identifier mpl {1 0/1 1/2 0}
-spdx-epl-{1 0/2 0} | 1 | 1.0 | spdx | spdx license identifier epl {1 0/2 0}
-spdx-cc0-1 0 | 1 | 1.0 | spdx | spdx license identifier cc0 1 0
-spdx-cc-{by/by sa/by nc/by nd/by nc sa/by nc nd}-{1 0/2 0/2 5/3 0/4 0} | 1 | 1.0 | spdx | spdx license identifier cc {by/by sa/by nc/by nd/by nc sa/by nc nd} {1 0/2 0/2 5/3 0/4 0}
-gpl-{1/2/3}-or-later | 2 | 1.0 | gnu | gnu general public license(?: as published by the free software foundation)?(?: either)? (?:v|version )?{1/2/3}(?: 0)?(?: of the license)? or (?:at your option )?any later version
-gpl-{1/2/3} | 3 | 0.9 | gnu | gnu general public license(?: as published by the free software foundation)?(?: either)? (?:v|version )?{1/2/3}(?: 0)?
-lgpl-{2/2 1/3}-or-later | 2 | 1.0 | gnu | gnu (?:lesser|library) general public license(?: as published by the free software foundation)?(?: either)? (?:v|version )?{2/2 1/3}(?: 0)?(?: of the license)? or (?:at your option )?any later version
-lgpl-{2/2 1/3} | 3 | 0.9 | gnu | gnu (?:lesser|library) general public license(?: as published by the free software foundation)?(?: either)? (?:v|version )?{2/2 1/3}(?: 0)?
+{mit/isc/zlib/unlicense/wtfpl/x11/ntp/beerware} | 1 | 1.0 | spdx | spdx license identifier {mit/isc/zlib/unlicense/wtfpl/x11/ntp/beerware}
+apache-{1 0/1 1/2 0} | 1 | 1.0 | spdx | spdx license identifier apache {1 0/1 1/2 0}
+gpl-{1/2/3}.0 | 1 | 1.0 | spdx | spdx license identifier gpl {1/2/3} 0(?: only)?
+gpl-{1/2/3}.0-or-later | 1 | 1.0 | spdx | spdx license identifier gpl {1/2/3} 0 or later
+lgpl-{2 0/2 1/3 0} | 1 | 1.0 | spdx | spdx license identifier lgpl {2 0/2 1/3 0}(?: only| or later)?
+agpl-3 0 | 1 | 1.0 | spdx | spdx license identifier agpl 3 0(?: only| or later)?
+bsd-{2/3/4}-clause | 1 | 1.0 | spdx | spdx license identifier bsd {2/3/4} clause
+mpl-{1 0/1 1/2 0} | 1 | 1.0 | spdx | spdx license identifier mpl {1 0/1 1/2 0}
+epl-{1 0/2 0} | 1 | 1.0 | spdx | spdx license identifier epl {1 0/2 0}
+cc0-1 0 | 1 | 1.0 | spdx | spdx license identifier cc0 1 0
+cc-{by/by sa/by nc/by nd/by nc sa/by nc nd}-{1 0/2 0/2 5/3 0/4 0} | 1 | 1.0 | spdx | spdx license identifier cc {by/by sa/by nc/by nd/by nc sa/by nc nd} {1 0/2 0/2 5/3 0/4 0}
+gpl-{1/2/3}.0-or-later | 2 | 1.0 | gnu | gnu general public license(?: as published by the free software foundation)?(?: either)? (?:v|version )?{1/2/3}(?: 0)?(?: of the license)? or (?:at your option )?any later version
+gpl-{1/2/3}.0 | 3 | 0.9 | gnu | gnu general public license(?: as published by the free software foundation)?(?: either)? (?:v|version )?{1/2/3}(?: 0)?
+lgpl-{2/3}.0-or-later | 2 | 1.0 | gnu | gnu (?:lesser|library) general public license(?: as published by the free software foundation)?(?: either)? (?:v|version )?{2/3}(?: 0)?(?: of the license)? or (?:at your option )?any later version
+lgpl-2.1-or-later | 2 | 1.0 | gnu | gnu (?:lesser|library) general public license(?: as published by the free software foundation)?(?: either)? (?:v|version )?2 1(?: of the license)? or (?:at your option )?any later version
+lgpl-{2/3}.0 | 3 | 0.9 | gnu | gnu (?:lesser|library) general public license(?: as published by the free software foundation)?(?: either)? (?:v|version )?{2/3}(?: 0)?
+lgpl-2.1 | 3 | 0.9 | gnu | gnu (?:lesser|library) general public license(?: as published by the free software foundation)?(?: either)? (?:v|version )?2 1
 lgpl | 4 | 0.7 | gnu | gnu (?:lesser|library) general public license
-agpl-3 | 3 | 0.9 | affero | gnu affero general public license (?:v|version )?3(?: 0)?
+agpl-3.0 | 3 | 0.9 | affero | gnu affero general public license (?:v|version )?3(?: 0)?
 agpl | 4 | 0.7 | affero | (?:gnu )?affero general public license
 gfdl-{1 1/1 2/1 3} | 3 | 0.9 | gnu | gnu free documentation license (?:v|version )?{1 1/1 2/1 3}
 gfdl | 4 | 0.7 | gnu | gnu free documentation license
 gpl | 5 | 0.6 | gnu | gnu general public license
-gpl-{1/2/3} | 4 | 0.7 | gpl | (?:l|a)?gpl ?v{1/2/3}(?: 0)?
+gpl-{1/2/3}.0 | 4 | 0.7 | gpl/gplv1/gplv2/gplv3 | gpl ?v{1/2/3}(?: 0)?
+lgpl-{2/3}.0 | 4 | 0.7 | lgpl/lgplv2/lgplv3 | lgpl ?v{2/3}(?: 0)?
+lgpl-2.1 | 4 | 0.7 | lgpl/lgplv2 | lgpl ?v2 1
+agpl-3.0 | 4 | 0.7 | agpl/agplv3 | agpl ?v3(?: 0)?
 gpl | 6 | 0.4 | gpl | (?:gnu )?gpl(?: license| licence)
 lgpl | 6 | 0.4 | lgpl | (?:gnu )?lgpl(?: license| licence)
 agpl | 6 | 0.4 | agpl | (?:gnu )?agpl(?: license| licence)
@@ -93,15 +98,17 @@ perl | 4 | 0.7 | perl | same terms as perl(?: itself)?
 unlicense | 1 | 1.0 | unencumbered | this is free and unencumbered software released into the public domain
 unlicense | 5 | 0.6 | unlicense | the unlicense
 wtfpl | 4 | 0.8 | fuck | do what the fuck you want to public license
-beerware | 4 | 0.8 | beer | beer ?ware license
+beerware | 4 | 0.8 | beer/beerware | beer ?ware license
 json | 3 | 0.8 | evil | the software shall be used for good not evil
 public-domain | 4 | 0.7 | domain | (?:released|placed|dedicated) (?:in|into|to) the public domain
 cc0-1 0 | 3 | 0.9 | cc0 | cc0(?: 1 0)?(?: universal)?
 cc0 | 3 | 0.9 | creative | creative commons (?:zero|cc0)
 cc-by | 4 | 0.8 | creative | creative commons attribution(?: international| unported| generic)?
-cc-by-{sharealike/share alike}-long | 3 | 0.9 | creative | creative commons attribution {sharealike/share alike}
-cc-by-nc-{noncommercial/non commercial} | 3 | 0.9 | creative | creative commons attribution {noncommercial/non commercial}(?: sharealike| noderivatives| noderivs)?
-cc-by-nd-{noderivatives/noderivs/no derivatives} | 3 | 0.9 | creative | creative commons attribution {noderivatives/noderivs/no derivatives}
+cc-by-sa | 3 | 0.9 | creative | creative commons attribution(?: sharealike| share alike)
+cc-by-nc | 3 | 0.9 | creative | creative commons attribution (?:noncommercial|non commercial)
+cc-by-nc-sa | 3 | 0.9 | creative | creative commons attribution (?:noncommercial|non commercial) (?:sharealike|share alike)
+cc-by-nc-nd | 3 | 0.9 | creative | creative commons attribution (?:noncommercial|non commercial) (?:noderivatives|noderivs|no derivatives)
+cc-by-nd | 3 | 0.9 | creative | creative commons attribution (?:noderivatives|noderivs|no derivatives)
 cc | 6 | 0.4 | creative | creative commons (?:license|licence)
 cc-{by sa/by nc/by nd/by nc sa/by nc nd}-{1 0/2 0/2 5/3 0/4 0} | 2 | 1.0 | cc | cc {by sa/by nc/by nd/by nc sa/by nc nd} (?:v|version )?{1 0/2 0/2 5/3 0/4 0}
 cc-{by sa/by nc/by nd/by nc sa/by nc nd} | 3 | 0.8 | cc | cc {by sa/by nc/by nd/by nc sa/by nc nd}
@@ -142,7 +149,7 @@ class Rule:
     label: str
     priority: int
     weight: float
-    keyword: str
+    keywords: tuple[str, ...]
     pattern: str
 
 
@@ -156,5 +163,5 @@ def rules(text: str = RULES) -> list[Rule]:
             name, pat = label, pattern
             for brace, took in zip(braces, choice, strict=True):
                 name, pat = name.replace(brace, took), pat.replace(brace, took)
-            out.append(Rule(name.replace(" ", "."), int(priority), float(weight), keyword, pat))
+            out.append(Rule(re.sub(r"(?<=\d) (?=\d)", ".", name).replace(" ", "-"), int(priority), float(weight), tuple(keyword.split("/")), pat))
     return out

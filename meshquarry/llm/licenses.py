@@ -1,7 +1,8 @@
 """License scans by ordered signature rules, in DataFrame functions alone.
 
-Texts become words in lower case joined by single blanks. A first test for any rule's keyword leaves most texts at once; in
-the others each rule is tried whose keyword occurs. Detections are sorted by start, longest first, and one fold over them
+Texts become words in lower case joined by single blanks. A first test, for any rule's keyword among the text's distinct
+words, leaves most texts at once; in the others each rule is tried whose keyword occurs, by a literal pattern that is
+compiled once. Detections are sorted by start, longest first, and one fold over them
 drops those that lie within an earlier one of the same or a stronger priority. All of it happens within a row: nothing is
 shuffled and no key can be hot.
 """
@@ -17,6 +18,7 @@ from meshquarry.llm.license_rules import BASE, Rule, rules
 #: Runs of what is no word character: `[^\x00-\x2F\x3A-\x60\x7B-\x7F]` are words, after A-Z are lower-cased.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _MARK = "\x01"
+_PLACES = "array<struct<start:int,words:int>>"
 _DETECTION = "array<struct<start:int,till:int,priority:int,weight:double,label:string>>"
 
 
@@ -30,16 +32,21 @@ def _places(padded: Column, pattern: Column) -> Column:
     found = F.regexp_extract_all(padded, whole, F.lit(0))
     marked = F.split(F.btrim(F.regexp_replace(padded, whole, F.lit(_MARK + "$0"))), " ", -1)
     starts = F.filter(F.transform(marked, lambda w, i: F.when(F.startswith(w, F.lit(_MARK)), i)), lambda i: i.isNotNull())
-    return F.when(F.size(found) == 0, F.array().cast("array<struct<start:int,words:int>>")).otherwise(
-        F.zip_with(starts, found, lambda s, m: F.struct(s.alias("start"), (_blanks(m) + 1).alias("words")))
-    )
+    return F.when(F.size(found) == 0, F.array().cast(_PLACES)).otherwise(F.zip_with(starts, found, lambda s, m: F.struct(s.alias("start"), (_blanks(m) + 1).alias("words"))))
 
 
 def _detections(padded: Column, table: list[Rule]) -> Column:
-    known = F.array(*(F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern")) for r in table))
-    tried = F.filter(known, lambda r: F.contains(padded, r["keyword"]) & F.rlike(padded, r["pattern"]))
-    hits = F.transform(tried, lambda r: F.transform(_places(padded, r["pattern"]), lambda p: F.struct(p["start"].alias("start"), (p["start"] + p["words"]).alias("till"), r["priority"].alias("priority"), r["weight"].alias("weight"), r["label"].alias("label"))))
-    return F.flatten(hits).cast(_DETECTION)
+    """Of the rules whose keyword is among `__words`, all matches. The rules are one SQL expression: as many columns built one by
+    one take the driver longer than the scan takes the executors."""
+    by_keyword: dict[tuple, list[str]] = {}
+    for i, r in enumerate(table):
+        by_keyword.setdefault(r.keywords, []).append(f"if(rlike(__padded, r' (?:{r.pattern}) '), {i}, null)")
+    words = lambda k: ", ".join(f"'{w}'" for w in k)
+    found = F.expr(f"concat({', '.join(f'if(arrays_overlap(__words, array({words(k)})), array({", ".join(rs)}), array())' for k, rs in by_keyword.items())}, array(cast(null as int)))")
+    rows = ", ".join(f"named_struct('label', '{r.label}', 'priority', {r.priority}, 'weight', {r.weight}D, 'pattern', r'{r.pattern}')" for r in table)
+    hit = F.transform(F.array_compact(found), lambda i: F.get(F.expr(f"array({rows})"), i)) if table else F.array()
+    one = lambda r: F.transform(_places(padded, r["pattern"]), lambda p: F.struct(p["start"].alias("start"), (p["start"] + p["words"]).alias("till"), r["priority"].alias("priority"), r["weight"].alias("weight"), r["label"].alias("label")))
+    return F.flatten(F.transform(hit, one)).cast(_DETECTION)
 
 
 def _unsuppressed(found: Column, priorities: list[int]) -> Column:
@@ -66,24 +73,24 @@ def scan(docs: DataFrame, table: list[Rule] | None = None) -> DataFrame:
     alone, so repeated rows, ties and tables of any size make no difference; the rules are literals of the plan.
     """
     table = rules() if table is None else table
-    gate = "|".join(sorted({r.keyword for r in table} | {p.split()[0] for p, _ in BASE}))
     padded = F.col("__padded")
-    none = F.array().cast("array<struct<start:int,words:int>>")
 
     def fixed(phrase: str, label: str) -> Column:
-        places = F.when(F.contains(padded, F.lit(f" {phrase} ")), _places(padded, F.lit(phrase))).otherwise(none)
+        places = F.when(F.contains(padded, F.lit(f" {phrase} ")), _places(padded, F.lit(phrase))).otherwise(F.array().cast(_PLACES))
         return F.transform(places, lambda p: F.struct(p["start"].alias("start"), p["words"].alias("words"), F.lit(label).alias("label")))
 
     base = F.concat(*(fixed(*b) for b in BASE))
+    gate = sorted({k for r in table for k in r.keywords} | {p.split()[0] for p, _ in BASE})
     rows = docs.drop("n_words", "base", "detections").withColumn("__padded", F.concat(F.lit(" "), F.btrim(F.regexp_replace(lower_az(F.coalesce(F.col("text"), F.lit(""))), _BETWEEN, " ")), F.lit(" ")))
-    gated = F.rlike(padded, F.lit(gate))
+    rows = rows.withColumn("__words", F.array_intersect(F.split("__padded", " ", -1), F.array(*map(F.lit, gate))))
+    gated = F.size("__words") > 0
     rows = rows.withColumns({
         "n_words": F.when(padded == "  ", 0).otherwise(_blanks(padded) - 1).cast("long"),
         "base": F.when(gated, F.array_sort(base)).otherwise(F.array().cast("array<struct<start:int,words:int,label:string>>")),
         "__found": F.when(gated, _detections(padded, table)).otherwise(F.array().cast(_DETECTION)),
     })
     kept = F.when(F.size("__found") == 0, F.array().cast(_DETECTION)).otherwise(_unsuppressed(F.col("__found"), sorted({r.priority for r in table})))
-    return rows.withColumn("detections", kept).drop("__padded", "__found")
+    return rows.withColumn("detections", kept).drop("__padded", "__words", "__found")
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

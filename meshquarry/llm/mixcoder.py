@@ -64,8 +64,7 @@ class _Model:
         return s2, s1, p2, p1, standing
 
     def learn(self, x: np.ndarray, block: np.ndarray, s2: np.ndarray, s1: np.ndarray, standing: np.ndarray, kind: np.ndarray) -> None:
-        place, n = np.unique(block * self.size + x, return_counts=True)
-        self.freq.ravel()[place] += (INCREMENT * n).astype(np.int32)
+        np.add.at(self.freq.ravel(), block * self.size + x, np.int32(INCREMENT))
         over = np.flatnonzero(self.freq.sum(axis=1) > LIMIT - 1)
         while len(over):
             self.freq[over] = (self.freq[over] + 1) // 2
@@ -192,7 +191,7 @@ def decode(coded: list[bytes], sizes: list[int], size: int) -> list[np.ndarray]:
                 own = block[lit]
                 unit = w[lit] // model.total[own].astype(np.uint64)
                 v = np.minimum((c[lit] // unit).astype(np.int64), model.total[own] - 1) + own * 2 * LIMIT
-                place = np.searchsorted(model.flat, v, side="right") - 1
+                place = np.searchsorted(model.flat, v.astype(np.int32), side="right") - 1  # of the table's type: else it is copied
                 lower = model.flat[place].astype(np.int64)
                 x[lit] = place - own * (size + 1)
                 c[lit] -= unit * (lower - own * 2 * LIMIT).astype(np.uint64)

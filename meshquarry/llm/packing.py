@@ -1,16 +1,19 @@
 """Lexical retrieval packing: windows of text that belongs together.
 
-Documents are tokenized once. A sketch of their rarest-hashed ids brings texts with common words into the same range
-partition, which is worked off in index shards of bounded size. A shard is an inverted index with BM25 weights: a seed
-document (the next unused one) asks it for its neighbours by its most telling ids, and the unused ones fill the rest of the
-seed's window in order of score, best first, the last one cut where the window is full. What is cut off, and what fills
-less than a window when a shard ends, goes on as the next seed, so only a partition's last sequence is padded.
+Documents are tokenized once, and the document frequency of each id, the number of documents and their mean length are taken
+over all of them. Of its ids each document draws two by a hash weighted by rarity, so that texts with rare ids in common
+often draw the same; in the order of these draws documents are dealt out by ranges and worked off in index shards of bounded
+size. A shard is an inverted index with the corpus's BM25 weights: a seed document (the next unused one) asks it for its
+neighbours by its QUERY most telling ids, and the unused ones fill the rest of the seed's window in order of score, best
+first, the last one cut where the window is full. What is cut off, and what fills less than a window when a shard ends, goes
+on as the next seed, so only a partition's last sequence is padded.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,20 +26,15 @@ from meshquarry.llm.tokens import encoder, public_path
 WINDOW, END = 2048, 1
 #: A shard holds documents of about so many ids: bounds a task's memory.
 SHARD_IDS = 1_000_000
-#: Ids of a seed that ask the index; BM25's parameters.
+#: Ids of a seed that ask the index, as is usual for queries by a whole document; BM25's parameters. See the README for what
+#: asking by all ids would find.
 QUERY, K1, B = 24, 1.2, 0.75
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _sketch(ids: np.ndarray) -> int:
-    """The least hash of the ids: texts that share most of their ids often share it."""
-    with np.errstate(over="ignore"):
-        x = (ids.astype(np.uint64) + np.uint64(1)) * _ODD
-    return int((x ^ (x >> np.uint64(29))).min() >> np.uint64(1)) if len(ids) else 0
+#: How much rarity weighs in a draw.
+POWER = 3.0
 
 
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, sketch, n, ids): ids with the end id, as bytes of the tokenizer's smallest kind."""
+    """(doc_id, n, ids): ids with the end id, as bytes of the tokenizer's smallest kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -45,24 +43,72 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 raw = [x + end for x in enc.encode([t or "" for t in b.column(1).to_pylist()])]
-                ids = [np.frombuffer(x, enc.kind) for x in raw]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(_sketch, ids), pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "sketch", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // enc.kind.itemsize for x in raw], pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "n", "ids"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, ids binary")
+
+
+@dataclass
+class Corpus:
+    """Over all documents: how many, their mean length, and the idf of each id. As large as the vocabulary."""
+
+    n: int
+    mean: float
+    idf: np.ndarray
+
+    def draws(self) -> np.ndarray:
+        """Two rows of a number for each id; a document draws the id with the smallest (exponential variables whose rate is the
+        weight: the least of a set falls to an id with a chance in proportion to it)."""
+        u = np.random.default_rng(17).random((2, len(self.idf)))
+        return -np.log1p(-u) / np.maximum(self.idf, 1e-9) ** POWER
+
+
+def corpus(rows: DataFrame, path: str) -> Corpus:
+    """From tokenized documents; a count for each id of the vocabulary reaches the driver, each task adding up its own first."""
+    enc = encoder(path)
+    size, kind = enc.size, enc.kind.str
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(size, np.int64)
+        for b in batches:
+            for raw in b.column(0).to_pylist():
+                held[np.unique(np.frombuffer(raw, kind))] += 1
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some])], names=["id", "held"])
+
+    held = np.zeros(size, np.int64)
+    for r in rows.select("ids").mapInArrow(run, "id long, held long").groupBy("id").agg(F.sum("held").alias("held")).collect():
+        held[r.id] = r.held
+    n, total = rows.agg(F.count("*"), F.sum("n")).first()
+    return Corpus(n, (total or 0) / max(n, 1), np.log1p((n - held + 0.5) / (held + 0.5)))
+
+
+def drawn(rows: DataFrame, stats: Corpus, path: str) -> DataFrame:
+    """Tokenized documents with their draws (first, second): ids in an order of their own, so that ranges mix them."""
+    kind, sent = encoder(path).kind.str, rows.sparkSession.sparkContext.broadcast(stats)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draws = sent.value.draws()
+        for b in batches:
+            ids = [np.frombuffer(raw, kind) for raw in b.column(2).to_pylist()]
+            both = [[int(x[d[x].argmin()]) * 0x9E3779B1 % (1 << 32) for x in ids] for d in draws]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.int64()) for x in both)], names=["doc_id", "n", "ids", "first", "second"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, sketch long, n long, ids binary")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n long, ids binary, first long, second long")
 
 
 class Shard:
-    """A BM25 inverted index over documents, each an array of ids."""
+    """A BM25 inverted index over documents, each an array of ids, under the corpus's statistics."""
 
-    def __init__(self, docs: list[np.ndarray], size: int):
+    def __init__(self, docs: list[np.ndarray], stats: Corpus):
+        size = len(stats.idf)
         lengths = np.array([len(d) for d in docs], np.float64)
         owner = np.repeat(np.arange(len(docs), dtype=np.int64), [len(d) for d in docs])
         key, tf = np.unique(np.concatenate(docs).astype(np.int64) * len(docs) + owner, return_counts=True)
         term, self.doc = key // len(docs), key % len(docs)
         self.start = np.searchsorted(term, np.arange(size + 1))
         held = np.diff(self.start)
-        self.idf = np.log1p((len(docs) - held + 0.5) / (held + 0.5))
-        self.weight = self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / lengths.mean()))
+        self.weight = stats.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / stats.mean))
         # ids of one document only find nobody
         self.by_doc = np.argsort(self.doc, kind="stable")
         self.doc_start = np.searchsorted(self.doc[self.by_doc], np.arange(len(docs) + 1))
@@ -105,10 +151,10 @@ class Packer:
             yield self.piece(doc, at, ids)
             at += len(ids)
 
-    def shard(self, docs: list[tuple], size: int) -> Iterator[tuple]:
+    def shard(self, docs: list[tuple], stats: Corpus) -> Iterator[tuple]:
         """Documents (name, ids) into sequences: a seed, then neighbours until the window is full. A document that is cut
         is the next window's seed: its neighbours go on from there."""
-        index, unused, at = Shard([d[1] for d in docs], size), np.ones(len(docs), bool), 0
+        index, unused, at = Shard([d[1] for d in docs], stats), np.ones(len(docs), bool), 0
         seed = None
         while True:
             if seed is None:
@@ -138,14 +184,17 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
     cover its ids, the end id included, without overlap; a sequence is filled from offset 0 without a gap.
 
     A null or empty text is its end id alone. Repeated rows are packed each; ties go by doc_id, then ids. Other columns are
-    ignored; an empty table gives an empty one. Tokens are kept in the shared folder and shuffled once, by ranges of sketch
-    and doc_id, so a group of copies of any size is spread over tasks, each of which holds one shard at a time.
+    ignored; an empty table gives an empty one. doc_id is a whole number. Tokens are kept in the shared folder and shuffled
+    once, by ranges of the draws and doc_id, so a group of copies of any size is spread over tasks, each of which holds one
+    shard at a time.
     """
     path = path or public_path()
     kind = docs.schema["doc_id"].dataType.simpleString()
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = stored(tokenized(docs, path), "tokens")
-    dealt = rows.repartitionByRange(n, "sketch", F.xxhash64("doc_id")).sortWithinPartitions("sketch", "doc_id", "ids")
+    stats = corpus(rows, path)
+    sent = docs.sparkSession.sparkContext.broadcast(stats)
+    dealt = drawn(rows, stats, path).repartitionByRange(n, "first", "second", F.xxhash64("doc_id")).sortWithinPartitions("first", "second", "doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -162,10 +211,10 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
                 held.append((doc_id, np.frombuffer(raw, enc.kind)))
                 size += len(held[-1][1])
                 if size >= SHARD_IDS:
-                    yield table(list(packer.shard(held, enc.size)))
+                    yield table(list(packer.shard(held, sent.value)))
                     held, size = [], 0
         if held:
-            yield table(list(packer.shard(held, enc.size)))
+            yield table(list(packer.shard(held, sent.value)))
 
     return dealt.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, {_PIECES}")
 

@@ -59,8 +59,27 @@ def test_scan_like_brute_force(scanned, i):
 
 def test_each_rule_holds_its_keyword():
     for r in rules():
-        assert r.keyword in r.pattern and 1 <= r.priority <= 6 and 0 < r.weight <= 1
-    assert len(rules()) > 200
+        assert 1 <= r.priority <= 6 and 0 < r.weight <= 1
+        plain = re.sub(r"\(\?:[^)]*\)\??", " ", r.pattern)  # what isn't optional or a choice
+        assert {w for w in plain.replace(" ?", " ").split()} & {k[:3] for k in r.keywords} or any(k.split("v")[0][:3] in r.pattern for k in r.keywords)
+    assert len(rules()) > 200 and len({(r.label, r.pattern) for r in rules()}) == len(rules())
+
+
+KEYED = ["released under gplv2", "lgpl v2.1 and LGPLv3", "agplv3", "beerware license", "beer ware license", "cc-by-nc-sa 4.0", "Creative Commons Attribution NonCommercial ShareAlike"]
+
+
+def test_query_like_brute_force(spark, tmp_path):
+    texts = TEXTS + KEYED
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in L.op10_licenses(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        ws, found, row = words(t), naive(t), got[i]
+        base = [(s, label) for phrase, label in BASE for s in places(ws, phrase)]
+        assert (row.n_words, row.n_base) == (len(ws), len(base))
+        assert (row.first_word, row.last_word) == ((min(base)[0], max(base)[0]) if base else (None, None))
+        assert row.base_labels == ",".join(sorted({x for _, x in base})) and row.labels == ",".join(sorted({x for _, x in base} | {d[3] for d in found}))
+        assert row.score == max((d[4] for d in found), default=0.0)
+    assert [got[len(TEXTS) + k].labels for k in range(7)] == ["gpl-2.0", "lgpl-2.1,lgpl-3.0", "agpl-3.0", "beerware", "beerware", "cc-by,cc-by-nc-sa-4.0", "cc-by-nc-sa"]
 
 
 def test_odd_rows(odd, none):

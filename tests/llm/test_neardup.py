@@ -63,3 +63,11 @@ def test_odd_rows(spark, odd, none):
     assert len(got) == odd.count()
     at = {r.doc_id: r.component_id for r in got}
     assert at[6] == at[5] == at[4] == 4 and at[1] == at[2] == at[3] == 1 and at[9] == 9
+
+
+def test_one_row_of_each_group_stays(spark, odd, none):
+    t, u = (" ".join(f"{x}{i}" for i in range(40)) for x in "tu")
+    rows = [(5, t, "a"), (5, t, "a"), (3, t, "b"), (None, t, "c"), (None, u, "d"), (None, u, "d"), (8, None, "e"), (9, "", "f"), (7, "alone", "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id string")
+    assert sorted((tuple(r) for r in N.representatives(df).collect()), key=repr) == sorted([(3, t, "b"), (None, u, "d"), (8, None, "e"), (7, "alone", "g")], key=repr)
+    assert N.representatives(none).collect() == [] and N.representatives(odd).columns == odd.columns
