@@ -4,7 +4,7 @@ Documents are tokenized once, and the document frequency of each id, the number
 over all of them. Of its ids each document draws two by a hash weighted by rarity, so that texts with rare ids in common
 often draw the same; in the order of these draws documents are dealt out by ranges and worked off in index shards of bounded
 size. A shard is an inverted index with the corpus's BM25 weights: a seed document (the next unused one) asks it for its
-neighbours by its QUERY most telling ids, and the unused ones fill the rest of the seed's window in order of score, best
+neighbours by all its ids, and the unused ones fill the rest of the seed's window in order of score, best
 first, the last one cut where the window is full. What is cut off, and what fills less than a window when a shard ends, goes
 on as the next seed, so only a partition's last sequence is padded.
 """
@@ -24,11 +24,11 @@ from meshquarry.llm.common import documents, stored
 from meshquarry.llm.tokens import encoder, public_path
 
 WINDOW, END = 2048, 1
-#: A shard holds documents of about so many ids: bounds a task's memory.
-SHARD_IDS = 1_000_000
-#: Ids of a seed that ask the index, as is usual for queries by a whole document; BM25's parameters. See the README for what
-#: asking by all ids would find.
-QUERY, K1, B = 24, 1.2, 0.75
+#: A shard holds documents of about so many ids, and so many documents at most; terms are scored in blocks: all three bound a
+#: task's memory.
+SHARD_IDS, SHARD_DOCS, TERMS = 1_000_000, 3_000, 4_096
+#: BM25's parameters.
+K1, B = 1.2, 0.75
 #: How much rarity weighs in a draw.
 POWER = 3.0
 
@@ -101,31 +101,26 @@ class Shard:
     """A BM25 inverted index over documents, each an array of ids, under the corpus's statistics."""
 
     def __init__(self, docs: list[np.ndarray], stats: Corpus):
-        size = len(stats.idf)
-        lengths = np.array([len(d) for d in docs], np.float64)
-        owner = np.repeat(np.arange(len(docs), dtype=np.int64), [len(d) for d in docs])
-        key, tf = np.unique(np.concatenate(docs).astype(np.int64) * len(docs) + owner, return_counts=True)
-        term, self.doc = key // len(docs), key % len(docs)
-        self.start = np.searchsorted(term, np.arange(size + 1))
-        held = np.diff(self.start)
-        self.weight = stats.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / stats.mean))
-        # ids of one document only find nobody
-        self.by_doc = np.argsort(self.doc, kind="stable")
-        self.doc_start = np.searchsorted(self.doc[self.by_doc], np.arange(len(docs) + 1))
-        self.term, self.held = term, held
-        self.n = len(docs)
+        n, lengths = len(docs), np.array([len(d) for d in docs], np.float64)
+        owner = np.repeat(np.arange(n, dtype=np.int64), [len(d) for d in docs])
+        key, tf = np.unique(np.concatenate(docs).astype(np.int64) * n + owner, return_counts=True)
+        term, doc = key // n, key % n
+        weight = stats.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / stats.mean))
+        first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])  # postings of a term stand together
+        held = np.diff(np.r_[first, len(term)])
+        shared = np.repeat(held > 1, held)  # ids of one document only find nobody
+        rank, doc, weight = np.repeat(np.cumsum(held > 1) - 1, held)[shared], doc[shared], weight[shared]
+        self.score = np.zeros((n, n), np.float32)  # of each document for each query document, term block by term block
+        for at in range(0, int(rank[-1]) + 1 if len(rank) else 0, TERMS):
+            lo, hi = np.searchsorted(rank, (at, at + TERMS))
+            query, posting = (np.zeros((n, min(TERMS, int(rank[hi - 1]) - at + 1)), np.float32) for _ in range(2))
+            query[doc[lo:hi], rank[lo:hi] - at] = 1
+            posting[doc[lo:hi], rank[lo:hi] - at] = weight[lo:hi]
+            self.score += query @ posting.T
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share the seed's most telling ids, by score, then place."""
-        own = self.by_doc[self.doc_start[seed] : self.doc_start[seed + 1]]
-        own = own[self.held[self.term[own]] > 1]
-        if len(own) > QUERY:
-            own = own[np.argpartition(-self.weight[own], QUERY)[:QUERY]]
-        posts = [slice(self.start[t], self.start[t + 1]) for t in self.term[own].tolist()]
-        if not posts:
-            return np.zeros(0, np.int64)
-        score = np.bincount(np.concatenate([self.doc[p] for p in posts]), np.concatenate([self.weight[p] for p in posts]), minlength=self.n)
-        score[~unused] = 0
+        """Unused documents that share ids with the seed, by score, then place."""
+        score = np.where(unused, self.score[seed], 0)
         some = np.flatnonzero(score)
         return some[np.argsort(-score[some], kind="stable")]
 
@@ -184,8 +179,7 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
     cover its ids, the end id included, without overlap; a sequence is filled from offset 0 without a gap.
 
     A null or empty text is its end id alone. Repeated rows are packed each; ties go by doc_id, then ids. Other columns are
-    ignored; an empty table gives an empty one. doc_id is a whole number. Tokens are kept in the shared folder and shuffled
-    once, by ranges of the draws and doc_id, so a group of copies of any size is spread over tasks, each of which holds one
+    ignored; an empty table gives an empty one. Tokens are kept in the shared folder and shuffled once, by ranges of the draws and doc_id, so a group of copies of any size is spread over tasks, each of which holds one
     shard at a time.
     """
     path = path or public_path()
@@ -203,14 +197,16 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
         packer = Packer(TaskContext.get().partitionId() << 40)
 
         def table(pieces: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pieces, strict=True)], names=["doc_id", *(x.split()[0] for x in _PIECES.split(", "))])
+            columns = list(zip(*pieces, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], named), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["doc_id", *(x.split()[0] for x in _PIECES.split(", "))])
 
-        held, size = [], 0
+        held, size, named = [], 0, pa.int64()
         for b in batches:
+            named = b.column(0).type
             for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 held.append((doc_id, np.frombuffer(raw, enc.kind)))
                 size += len(held[-1][1])
-                if size >= SHARD_IDS:
+                if size >= SHARD_IDS or len(held) == SHARD_DOCS:
                     yield table(list(packer.shard(held, sent.value)))
                     held, size = [], 0
         if held:
