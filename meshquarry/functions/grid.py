@@ -22,8 +22,8 @@ def _spread(n: Column) -> Column:
 
 
 def morton(z: Column, y: Column, x: Column) -> Column:
-    """The Z-order place of three numbers below 2^21: x in the lowest bit."""
-    return _spread(x).bitwiseOR(F.shiftleft(_spread(y), 1)).bitwiseOR(F.shiftleft(_spread(z), 2))
+    """The Z-order place of three numbers below 2^21: z in the lowest bit."""
+    return _spread(z).bitwiseOR(F.shiftleft(_spread(y), 1)).bitwiseOR(F.shiftleft(_spread(x), 2))
 
 
 def row_major(z: Column, y: Column, x: Column, ny: int, nx: int) -> Column:

@@ -36,3 +36,18 @@ def finite(*values: Column) -> Column:
     for v in values:
         out = out & F.coalesce(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), F.lit(False))
     return out
+
+
+def opaque_id(prefix: str, *parts: Column) -> Column:
+    """The prefix and the first 12 digits, in upper case, of the SHA-256 of the parts joined by `|`."""
+    return F.concat(F.lit(prefix), F.upper(F.substring(F.sha2(F.concat_ws("|", *(p.cast("string") for p in parts)), 256), 1, 12)))
+
+
+def tile_key(z: Column, y: Column, x: Column) -> Column:
+    return F.format_string("z%03d_y%03d_x%03d", z, y, x)
+
+
+def tile_index(key: Column) -> Column:
+    """The three numbers of a tile key, as an array; null for what is none."""
+    found = F.regexp_extract_all(key, F.lit("[zyx]([0-9]+)"), F.lit(1)).cast("array<int>")
+    return F.when(F.size(found) == 3, found)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +32,12 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def levels(edges: DataFrame, seeds: DataFrame, most: int = 100) -> DataFrame:
-    """(node, level): the fewest steps along directed edges (a, b) from any seed (node), up to `most`. A frontier join a level,
-    against what has been reached; cycles end by themselves."""
+def levels(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, level): the fewest steps along directed edges (a, b) from any seed (node), until nothing new is reached, or up to
+    `most` steps where that is asked for. A frontier join a level, against what has been reached; cycles end by themselves."""
     reached = cut(seeds.select("node").distinct().withColumn("level", F.lit(0)))
     frontier = reached
-    for level in range(1, most + 1):
+    for level in count(1) if most is None else range(1, most + 1):
         step = frontier.join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
         frontier = cut(step.join(reached, "node", "left_anti").withColumn("level", F.lit(level)))
         if frontier.isEmpty():
@@ -44,6 +46,15 @@ def levels(edges: DataFrame, seeds: DataFrame, most: int = 100) -> DataFrame:
     return reached
 
 
+def ancestors(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, level) of what leads to any seed, the seeds left out: levels() against the edges."""
+    return levels(edges.select(F.col("b").alias("a"), F.col("a").alias("b")), seeds, most).where("level > 0")
+
+
+def descendants(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
+    return levels(edges, seeds, most).where("level > 0")
+
+
 def tree_edges(nodes: DataFrame) -> DataFrame:
     """(tree, child, parent, length) of nodes (tree, node, parent, z, y, x); nodes whose parent is absent have none."""
     up = nodes.select("tree", F.col("node").alias("parent"), *(F.col(a).alias(f"p{a}") for a in "zyx"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from meshquarry.operators.relational import running
+
 
 def contingency(df: DataFrame, truth: str, predicted: str, background: int = 0) -> DataFrame:
     """(truth, predicted, n), without the cell where both are background."""
@@ -38,15 +41,29 @@ def object_errors(cells: DataFrame, background: int = 0) -> DataFrame:
 def rank_auc(df: DataFrame, score: str, positive: Column) -> DataFrame:
     """One row: the chance that a positive scores above a negative, ties counting half (Mann and Whitney, 1947).
 
-    Rows are first counted by distinct score; the running number of negatives below needs an order over the scores alone.
+    Rows are first counted by distinct score; the running number of negatives goes by ranges of the scores.
     """
     by = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
-    below = by.withColumn("below", F.sum("neg").over(W.orderBy(score)) - F.col("neg"))
+    below = running(by, score, "neg", "upto").withColumn("below", F.col("upto") - F.col("neg"))
     won = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
     pairs = F.sum("pos") * F.sum("neg")
     return below.agg(F.when(pairs > 0, won / pairs).alias("auc"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
 
 
+def quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:
+    """One row with an array of exact percentiles (linear between values) of all rows, without a state of all values: values are
+    counted, and the counts summed up by ranges."""
+    by = running(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n")), value, "__n", "__upto")
+    total = by.agg(F.max("__upto").alias("__total"))
+    by = by.join(F.broadcast(total))  # one row
+    out = []
+    for p in shares:
+        at = (F.col("__total") - 1) * p
+        lo, hi = (F.min(F.when(F.col("__upto") > k, F.col(value))) for k in (F.floor(at), F.ceil(at)))
+        out.append(lo + (hi - lo) * (F.max(at) - F.floor(F.max(at))))
+    return by.agg(F.array(*out).alias("quantiles"))
+
+
 def summary(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Count, mean, population deviation and exact percentiles (linear between values)."""
     q = lambda p: F.percentile(value, F.lit(p))
@@ -82,3 +99,22 @@ def merge_pairs(df: DataFrame, object_: str, owner: str) -> DataFrame:
     """One row: over all objects, the pairs of distinct owners that meet in one."""
     by = df.groupBy(object_).agg(F.count_distinct(owner).alias("k"))
     return by.agg(F.sum(F.expr("k * (k - 1) div 2")).alias("pairs"), F.count_if(F.col("k") > 1).alias("objects"))
+
+
+def pooled(df: DataFrame, by: list[str], mean: str, n: str) -> DataFrame:
+    """(by, pooled): means weighed by their counts."""
+    return df.groupBy(*by).agg((F.sum(F.col(mean) * F.col(n)) / F.sum(n)).alias("pooled"))
+
+
+def item_accuracy(df: DataFrame, item: str, truth: str, probability: str) -> DataFrame:
+    """(truth, items, mean, accuracy, margin): an item's probabilities are averaged first, so that each counts once."""
+    by = df.groupBy(item, truth).agg(F.avg(probability).alias("p"))
+    right = ((F.col("p") >= 0.5) == F.col(truth)).cast("double")
+    return by.groupBy(truth).agg(F.count("*").alias("items"), F.avg("p").alias("mean"), F.avg(right).alias("accuracy"), F.avg(F.abs(F.col("p") - 0.5)).alias("margin"))
+
+
+def histogram_features(df: DataFrame, key: str, bin_: str, low: int, high: int) -> DataFrame:
+    """(key, tissue, information): the share of values in the bins from low to high, and the entropy of the bins."""
+    counts = df.groupBy(key, bin_).agg(F.count("*").alias("n"))
+    by = counts.groupBy(key).agg(F.sum("n").alias("total"), F.sum(F.when(F.col(bin_).between(low, high), F.col("n")).otherwise(0)).alias("inside"), F.sum(F.col("n") * F.log2("n")).alias("weighed"))
+    return by.select(key, (F.col("inside") / F.col("total")).alias("tissue"), (F.log2("total") - F.col("weighed") / F.col("total")).alias("information"))

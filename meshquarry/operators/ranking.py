@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from meshquarry.operators.metrics import quantiles
+
 
 def top(df: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first k rows: a heap a task, then one of k rows a task."""
@@ -24,7 +26,7 @@ def strata(df: DataFrame, value: str, names: Sequence[str] = ("Q1", "Q2", "Q3",
     """Rows with the stratum of a value among equal percentile ranges of all values, half-open but for the last. Equal values
     share a stratum."""
     n = len(names)
-    cuts = df.agg(F.percentile(value, F.array(*(F.lit(i / n) for i in range(1, n)))).alias("__cuts"))
+    cuts = quantiles(df, value, [i / n for i in range(1, n)]).withColumnRenamed("quantiles", "__cuts")
     name = F.lit(names[-1])
     for i in reversed(range(n - 1)):
         name = F.when(F.col(value) < F.col("__cuts")[i], names[i]).otherwise(name)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from meshquarry.storage import cut
+
 
 def connections(sites: DataFrame, accepted: Sequence[str]) -> DataFrame:
     """Directed edges (pre, post) from sites (id, pre, post, evidence, verified, review): number of sites, number of distinct
@@ -25,16 +27,27 @@ def connections(sites: DataFrame, accepted: Sequence[str]) -> DataFrame:
     )
 
 
-def numbered(df: DataFrame, order: Sequence[str], name: str, groups: int = 256) -> DataFrame:
-    """A 1-based serial number in the order of unique keys, without a task that sees all rows: ranges of the first key are
-    counted, and rows are numbered within their range. Range bounds (at most `groups`) come from approximate quantiles."""
-    first = order[0]
-    bounds = sorted({float(x) for x in df.select(first).approxQuantile(first, [i / groups for i in range(1, groups)], 0.5 / groups)})
-    rows = df.withColumn("__range", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(first))) if bounds else F.lit(0))
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """A 1-based serial number in the order of unique keys, without a task that sees all rows: rows are sorted within ranges of
+    the whole key, however heavy its first column, and each range starts where the ones before it end. The rows are computed
+    once and kept in the shared folder; one count a range passes a single task."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
+    rows = rows.withColumns({"__range": F.shiftright("__id", 33), "__at": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))})
     counts = rows.groupBy("__range").count()
     start = counts.select("__range", (F.sum("count").over(W.orderBy("__range")) - F.col("count")).alias("__start"))  # a row a range
-    at = F.row_number().over(W.partitionBy("__range").orderBy(*order))
-    return rows.withColumn("__at", at).join(F.broadcast(start), "__range").withColumn(name, F.col("__start") + F.col("__at")).drop("__range", "__at", "__start")
+    return rows.join(F.broadcast(start), "__range").withColumn(name, F.col("__start") + F.col("__at") + 1).drop("__id", "__range", "__at", "__start")
+
+
+def running(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """Rows with the sum of a value over all rows up to them, in the order of a column of distinct values; as numbered(), by
+    ranges."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(df.repartitionByRange(n, order).withColumn("__range", F.spark_partition_id()))
+    sums = rows.groupBy("__range").agg(F.sum(value).alias("__sum"))
+    start = sums.select("__range", (F.sum("__sum").over(W.orderBy("__range")) - F.col("__sum")).alias("__start"))  # a row a range
+    own = F.sum(value).over(W.partitionBy("__range").orderBy(order))
+    return rows.withColumn(name, own).join(F.broadcast(start), "__range").withColumn(name, F.col(name) + F.col("__start")).drop("__range", "__start")
 
 
 def resolve_links(links: DataFrame, pre: int = 15, post: int = 16) -> DataFrame:
@@ -49,10 +62,11 @@ def resolve_links(links: DataFrame, pre: int = 15, post: int = 16) -> DataFrame:
     )
 
 
-def expanded_links(resolved: DataFrame) -> DataFrame:
-    """(connector, pre, post): each pre node with each post node of a resolved connector."""
-    rows = resolved.where("resolved").select("connector", F.explode("pre_nodes").alias("pre"), "post_nodes")
-    return rows.select("connector", "pre", F.explode("post_nodes").alias("post"))
+def expanded_links(links: DataFrame, pre: int = 15, post: int = 16) -> DataFrame:
+    """(connector, pre, post): each distinct pre node of a connector with each post node; those of one side alone have none. The
+    sides are joined, not collected, so adaptive execution can split a connector of many nodes."""
+    side = lambda relation, name: links.where(F.col("relation") == relation).select("connector", F.col("node").alias(name)).distinct()
+    return side(pre, "pre").join(side(post, "post"), "connector").select("connector", "pre", "post")
 
 
 def orphans(rows: DataFrame, key: str, parents: DataFrame, parent_key: str) -> DataFrame:
@@ -133,3 +147,33 @@ def leave_one_out(df: DataFrame, key: str) -> DataFrame:
     """(held_out, key): for each distinct key all others. For the few keys of a validation plan: quadratic in them."""
     keys = df.select(key).distinct()
     return keys.select(F.col(key).alias("held_out")).join(keys, F.col("held_out") != F.col(key))
+
+
+def with_hint(rows: DataFrame, hints: Sequence[tuple[str, DataFrame]], value: str, default: float) -> DataFrame:
+    """Rows with the value of the first table of hints (key, value) that has their key, else the default."""
+    found = []
+    for i, (key, hint) in enumerate(hints):
+        rows = rows.join(hint.select(key, F.col(value).alias(f"__hint{i}")), key, "left")
+        found.append(f"__hint{i}")
+    return rows.withColumn(value, F.coalesce(*found, F.lit(default))).drop(*found)
+
+
+def fresh(eligible: DataFrame, key: Sequence[str], *used: DataFrame) -> DataFrame:
+    """The eligible rows whose key is in none of the used tables."""
+    for table in used:
+        eligible = eligible.join(table.select(*key).distinct(), list(key), "left_anti")
+    return eligible
+
+
+def union_with_origin(parts: dict[str, DataFrame], key: Sequence[str]) -> DataFrame:
+    """(key..., first, origins): the keys of all parts, the first part by name that has each, and how many have it."""
+    rows = None
+    for name, part in parts.items():
+        one = part.select(*key).withColumn("__origin", F.lit(name))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.groupBy(*key).agg(F.min("__origin").alias("first"), F.count_distinct("__origin").alias("origins"))
+
+
+def stale(rows: DataFrame, at: str, now: Column, most_s: int) -> DataFrame:
+    """Rows with their age in whole seconds and whether it is over the limit."""
+    return rows.withColumn("age", F.unix_timestamp(now) - F.unix_timestamp(at)).withColumn("stale", F.col("age") > most_s)

@@ -8,10 +8,12 @@ from itertools import product
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshquarry.functions import boxes
 from meshquarry.functions.grid import morton, row_major, tile_of
+from meshquarry.storage import cut
 
 
 def tiles(spark: SparkSession, shape: tuple[int, int, int], size: tuple[int, int, int]) -> DataFrame:
@@ -83,34 +85,41 @@ def coverage(tiles_: DataFrame, done: tuple[str, ...]) -> DataFrame:
 
 
 def separated(points: DataFrame, group: str, radius: float, limit: int | None = None) -> DataFrame:
-    """Of points (group, id, score, z, y, x), by group, the ones a greedy walk keeps: best score first, then id, each at least
-    `radius` from all kept before; at most `limit` a group. The walk is sequential by nature, so groups are the unit of
-    parallel work: a group must fit in a task."""
-    schema = points.schema
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "id"], ascending=[False, True], kind="stable")
-        at = pdf[["z", "y", "x"]].to_numpy(float)
-        cells: dict[tuple, list[int]] = {}
-        taken: list[int] = []
-        for i, p in enumerate(at):
-            cell = tuple(np.floor(p / radius).astype(int))
-            near = [j for d in product((-1, 0, 1), repeat=3) for j in cells.get((cell[0] + d[0], cell[1] + d[1], cell[2] + d[2]), ())]
-            if all(((at[j] - p) ** 2).sum() >= radius**2 for j in near):
-                taken.append(i)
-                cells.setdefault(cell, []).append(i)
-                if limit is not None and len(taken) == limit:
-                    break
-        return pdf.iloc[taken]
-
-    return points.groupBy(group).applyInPandas(keep, schema)
+    """Of points (group, id, score, z, y, x), by group, the ones a greedy walk keeps: best score first, then the smallest id,
+    each at least `radius` from all kept before; the first `limit` of them. Ids are numbers, unique within a group; points
+    with a null have no place and are left out.
+
+    The walk goes in rounds over all groups at once. Cells have half the radius for a side, so two points of one cell are never
+    both kept: each cell puts up its best point, and it is kept if it is the best of all cells within reach, as nothing
+    undecided can stand before it. What lies near it goes, and the rest decides anew; the best of each group goes in every
+    round, so they end. No group or cell is collected, and a round costs in proportion to what is undecided.
+    """
+    cells, at = [f"__c{a}" for a in boxes.AXES], ["__g", *(f"__c{a}" for a in boxes.AXES)]
+    reach = F.explode(F.array(*(F.struct(*(F.lit(d).alias(c) for c, d in zip(cells, s, strict=True))) for s in product(range(-2, 3), repeat=3)))).alias("__d")
+
+    def around(df: DataFrame, *columns: str) -> DataFrame:
+        return df.select(*at, *columns, reach).select("__g", *columns, *((F.col(c) + F.col(f"__d.{c}")).alias(c) for c in cells))
+
+    rest = points.dropna(subset=["id", "score", *boxes.AXES]).withColumns({c: F.floor(F.col(a) / (radius / 2)).cast("long") for c, a in zip(cells, boxes.AXES, strict=True)})
+    rest, kept = cut(rest.withColumns({"__p": F.struct("score", -F.col("id")), "__g": F.coalesce(F.col(group).cast("string"), F.lit("\0"))})), None
+    while not rest.isEmpty():
+        best = rest.groupBy(*at).agg(F.max("__p").alias("__p"))
+        first = around(best, "__p").groupBy(*at).agg(F.max("__p").alias("__most"))
+        taken = cut(rest.join(best.join(first, at).where("__p = __most").select(*at, "__p"), [*at, "__p"]).select(*rest.columns))
+        kept = taken if kept is None else kept.unionByName(taken)
+        near = around(taken.select(*at, *(F.col(a).alias(f"__{a}") for a in boxes.AXES)), *(f"__{a}" for a in boxes.AXES))
+        square = sum(((rest[a] - near[f"__{a}"]) * (rest[a] - near[f"__{a}"]) for a in ("y", "x")), (rest["z"] - near["__z"]) * (rest["z"] - near["__z"]))
+        rest = cut(rest.join(near, [*(rest[c] == near[c] for c in at), square < radius * radius], "left_anti"))
+    kept = (points.limit(0) if kept is None else kept).select(*points.columns)
+    if limit is None:
+        return kept
+    rank = F.row_number().over(W.partitionBy(group).orderBy(F.desc("score"), "id"))
+    return kept.withColumn("__at", rank).where(F.col("__at") <= limit).drop("__at")
 
 
 def faces(voxels: DataFrame, *keys: str) -> DataFrame:
     """(keys, lo, hi, n): contacts of unlike labels across voxel faces; label 0 is background. voxels: (keys, z, y, x, label),
     whole within the keys. Three windows with lead(), one an axis, instead of self joins."""
-    from pyspark.sql import Window as W
-
     parts = []
     for axis in boxes.AXES:
         rest = [a for a in boxes.AXES if a != axis]
@@ -151,3 +160,44 @@ def smoothed(blocks: DataFrame, id_: str, values: str, shape: tuple[int, int, in
 
 def row_major_key(df: DataFrame, ny: int, nx: int) -> DataFrame:
     return df.withColumn("key", row_major(F.col("iz"), F.col("iy"), F.col("ix"), ny, nx))
+
+
+def steps(voxels: DataFrame, key: str, value: str, *more: str) -> DataFrame:
+    """(key, axis, value, next, and next of more columns): each voxel with the one after it along each axis. Voxels meet by
+    their places, in one exchange for all axes."""
+    shift = F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), *((F.col(b) - (1 if a == b else 0)).alias(b) for b in boxes.AXES)) for a in boxes.AXES)))
+    after = voxels.select(key, F.col(value).alias("next"), *(F.col(m).alias(f"next_{m}") for m in more), shift.alias("at")).select(key, "next", *(f"next_{m}" for m in more), "at.*")
+    return voxels.select(key, *boxes.AXES, value, *more).join(after, [key, *boxes.AXES]).drop(*boxes.AXES)
+
+
+def contacts(voxels: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, lo, hi, value): a row for each face between unlike labels other than 0, with the mean of the two values."""
+    rows = steps(voxels, key, value, "label").where("label <> next_label AND label <> 0 AND next_label <> 0")
+    return rows.select(key, F.least("label", "next_label").alias("lo"), F.greatest("label", "next_label").alias("hi"), ((F.col(value) + F.col("next")) / 2).alias("value"))
+
+
+def contact_figures(rows: DataFrame, *by: str) -> DataFrame:
+    """(by, n, mean, low, high, percentiles) of the values of contacts."""
+    q = {f"p{t}": F.percentile("value", F.lit(p)) for t, p in (("01", 0.01), ("05", 0.05), ("50", 0.5), ("95", 0.95), ("99", 0.99))}
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"), *(v.alias(c) for c, v in q.items()))
+
+
+def with_halo(grid: DataFrame, shape: tuple[int, int, int], size: tuple[int, int, int], halo: tuple[int, int, int]) -> DataFrame:
+    """Tiles with the box to read (r...), wider by the halo within the volume, and how many tiles share a face with them."""
+    faces = F.lit(0)
+    for axis, whole, step, more in zip(boxes.AXES, shape, size, halo, strict=True):
+        grid = grid.withColumns({f"r{axis}0": F.greatest(F.lit(0), F.col(f"{axis}0") - more), f"r{axis}1": F.least(F.lit(whole), F.col(f"{axis}1") + more)})
+        faces = faces + (F.col(f"i{axis}") > 0).cast("int") + (F.col(f"i{axis}") < -(-whole // step) - 1).cast("int")
+    return grid.withColumn("faces", faces)
+
+
+def far_from(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:
+    """The points (id, z, y, x) with none of the others closer than the radius. Points meet in cells of the radius's size."""
+    cell = {f"c{a}": F.floor(F.col(a) / radius).cast("long") for a in boxes.AXES}
+    own = points.withColumns(cell)
+    reach = F.explode(F.array(*(F.struct(*(F.lit(d).alias(f"d{a}") for a, d in zip(boxes.AXES, s, strict=True))) for s in product((-1, 0, 1), repeat=3)))).alias("d")
+    near = others.distinct().withColumns(cell).select(*(F.col(a).alias(f"o{a}") for a in boxes.AXES), *cell, reach)
+    near = near.select(*(f"o{a}" for a in boxes.AXES), *((F.col(f"c{a}") + F.col(f"d.d{a}")).alias(f"c{a}") for a in boxes.AXES))
+    square = sum(((F.col(a) - F.col(f"o{a}")) * (F.col(a) - F.col(f"o{a}")) for a in ("y", "x")), (F.col("z") - F.col("oz")) * (F.col("z") - F.col("oz")))
+    close = [own[c] == near[c] for c in cell]
+    return own.join(near, [*close, square < radius * radius], "left_anti").drop(*cell)

@@ -96,12 +96,12 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes (tree, node, parent, z, y, x): a tree a supplier, where each part hangs from one with a smaller number."""
-    rows = table(spark, sf_dir, "lineitem").where("l_suppkey <= 40").select(F.col("l_suppkey").alias("tree"), (F.col("l_partkey") % 64).alias("node")).distinct()
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("tree"), (F.col("l_partkey") % 64).alias("node")).distinct()
     n = F.col("node")
     return rows.select("tree", "node", F.when(n > 0, F.expr("node div 2")).alias("parent"), (n % 7).cast("double").alias("z"), (n % 5).cast("double").alias("y"), (n % 3).cast("double").alias("x"))
 
 
 TREE = """nodes AS (
   SELECT tree, node, CASE WHEN node > 0 THEN node // 2 END AS parent, CAST(node % 7 AS DOUBLE) AS z, CAST(node % 5 AS DOUBLE) AS y, CAST(node % 3 AS DOUBLE) AS x
-  FROM (SELECT DISTINCT l_suppkey AS tree, l_partkey % 64 AS node FROM lineitem WHERE l_suppkey <= 40)
+  FROM (SELECT DISTINCT l_suppkey AS tree, l_partkey % 64 AS node FROM lineitem)
 )"""

@@ -52,7 +52,7 @@ def link_resolution(spark, sf_dir):
 
 @query(f"WITH {bind.LINKS}, d AS (SELECT DISTINCT * FROM links) SELECT a.node AS pre, b.node AS post, count(*) AS n FROM d a JOIN d b ON a.connector = b.connector AND a.relation = 15 AND b.relation = 16 GROUP BY 1, 2")
 def link_edges(spark, sf_dir):
-    rows = relational.expanded_links(relational.resolve_links(bind.links(spark, sf_dir)))
+    rows = relational.expanded_links(bind.links(spark, sf_dir))
     return rows.groupBy("pre", "post").agg(F.count("*").alias("n"))
 
 
@@ -254,7 +254,7 @@ _GRID = """grid AS (
 
 
 @query(f"""WITH {_GRID} SELECT tile, iz, iy, ix, z0, z1, y0, y1, x0, x1, (z1 - z0) * (y1 - y0) * (x1 - x0) AS voxels,
-  list_sum([((ix >> b) & 1) * (1 << (3 * b)) + ((iy >> b) & 1) * (1 << (3 * b + 1)) + ((iz >> b) & 1) * (1 << (3 * b + 2)) FOR b IN range(8)])::BIGINT AS morton FROM grid""")
+  list_sum([((iz >> b) & 1) * (1 << (3 * b)) + ((iy >> b) & 1) * (1 << (3 * b + 1)) + ((ix >> b) & 1) * (1 << (3 * b + 2)) FOR b IN range(8)])::BIGINT AS morton FROM grid""")
 def tile_grid(spark, sf_dir):
     return spatial.tiles(spark, SHAPE, TILE)
 
@@ -283,11 +283,11 @@ def split_buffer(spark, sf_dir):
     return spatial.buffer_violations(bind.parts(spark, sf_dir), TILE, 5)
 
 
-_STATUS = f"WITH {_GRID}, seen AS (SELECT o_orderkey % 97 AS tile, max(o_orderstatus) AS status FROM orders WHERE o_orderkey % 97 < 70 GROUP BY 1), m AS (SELECT g.*, (z1 - z0) * (y1 - y0) * (x1 - x0) AS voxels, coalesce(status, 'absent') AS status FROM grid g LEFT JOIN seen USING (tile))"
+_STATUS = f"WITH {_GRID}, seen AS (SELECT o_custkey % 53 AS tile, max(o_orderstatus) AS status FROM orders GROUP BY 1), m AS (SELECT g.*, (z1 - z0) * (y1 - y0) * (x1 - x0) AS voxels, coalesce(status, 'absent') AS status FROM grid g LEFT JOIN seen USING (tile))"
 
 
 def _status(spark, sf_dir):
-    seen = bind.table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 97).alias("tile"), "o_orderstatus").where("tile < 70").groupBy("tile").agg(F.max("o_orderstatus").alias("status"))
+    seen = bind.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 53).alias("tile"), "o_orderstatus").groupBy("tile").agg(F.max("o_orderstatus").alias("status"))
     return spatial.missing_tiles(spatial.tiles(spark, SHAPE, TILE), seen)
 
 
@@ -328,26 +328,20 @@ def block_smoothing(spark, sf_dir):
     return spatial.unrolled(rows, "vec_id", "embedding", (4, 4, 4)).select(F.col("vec_id").alias("block"), "z", "y", "x", F.round("value", 6).alias("value"))
 
 
-_CHAIN = "e AS (SELECT DISTINCT o_custkey AS a, o_orderkey % 1000 + 1000000 AS b FROM orders WHERE o_orderkey % 5 = 0)"
-
-
-def _chain(spark, sf_dir):
-    return bind.table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 1000 + 1000000).alias("b")).distinct()
-
-
-@query(f"""WITH RECURSIVE {_CHAIN}, both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(node, root) AS (
-  SELECT a, a FROM both_ UNION SELECT both_.b, reach.root FROM reach JOIN both_ ON both_.a = reach.node)
-SELECT node, min(root) AS root FROM reach GROUP BY node""")
+@query()
 def order_components(spark, sf_dir):
-    return graph.components(_chain(spark, sf_dir))
+    """Orders and customers linked by who ordered, over the whole table."""
+    edges_ = bind.table(spark, sf_dir, "orders").select((F.col("o_custkey") * 2).alias("a"), (F.col("o_orderkey") * 2 + 1).alias("b"))
+    return graph.components(edges_)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 97 AS b FROM lineitem WHERE l_quantity > 40), w(node, level) AS (
-  SELECT 1::BIGINT, 0 UNION SELECT e.b, w.level + 1 FROM w JOIN e ON e.a = w.node WHERE w.level < 6)
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 97 AS b FROM lineitem), w(node, level) AS (
+  SELECT 1::BIGINT, 0 UNION SELECT e.b, w.level + 1 FROM w JOIN e ON e.a = w.node WHERE w.level < 5)
 SELECT node, min(level) AS level FROM w GROUP BY node""")
 def reach_levels(spark, sf_dir):
-    rows = bind.table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 97).alias("b")).distinct()
-    return graph.levels(rows, spark.createDataFrame([(1,)], "node long"), 6)
+    """SQL stops at five steps, which reach all of this dense graph; the operator stops where nothing new is reached."""
+    rows = bind.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 97).alias("b")).distinct()
+    return graph.levels(rows, spark.createDataFrame([(1,)], "node long"))
 
 
 _TREE_EDGES = f"{bind.TREE}, te AS (SELECT c.tree, c.node AS child, c.parent, sqrt((c.z - p.z) ** 2 + (c.y - p.y) ** 2 + (c.x - p.x) ** 2) AS length FROM nodes c JOIN nodes p ON p.tree = c.tree AND p.node = c.parent)"

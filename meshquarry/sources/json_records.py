@@ -18,8 +18,8 @@ def collection(spark: SparkSession, path: str, name: str, schema: str) -> DataFr
 
 
 def event_log(spark: SparkSession, path: str, schema: str, streaming: bool = False) -> DataFrame:
-    """Events, one JSON object a line; blank lines are none. The same schema for batch and stream."""
-    reader = (spark.readStream if streaming else spark.read).schema(schema)
+    """Events, one JSON object a line; blank lines are none, damaged ones fail the read. The same schema for batch and stream."""
+    reader = (spark.readStream if streaming else spark.read).schema(schema).option("mode", "FAILFAST")
     return reader.json(path)
 
 

@@ -35,7 +35,10 @@ def test_collections(spark, tmp_path):
 
 def test_event_log(spark, tmp_path):
     (tmp_path / "log.jsonl").write_text('{"id": 1}\n\n{"id": 2}\n')
-    assert sorted(r.id for r in json_records.event_log(spark, str(tmp_path / "log.jsonl"), "id long").where("id IS NOT NULL").collect()) == [1, 2]
+    assert sorted(r.id for r in json_records.event_log(spark, str(tmp_path / "log.jsonl"), "id long").collect()) == [1, 2]
+    (tmp_path / "bad.jsonl").write_text('{"id": 1}\n{"id": \n')
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        json_records.event_log(spark, str(tmp_path / "bad.jsonl"), "id long").collect()
 
 
 def test_payloads_are_stored_once(spark, tmp_path):

@@ -52,3 +52,10 @@ def test_running_verdicts(spark, files, tmp_path):
     rows = collected(spark, reviews.running_verdicts(reader(spark, files).where("item IS NOT NULL")), tmp_path, "update")
     last = {r["item"]: r for r in sorted(rows, key=lambda r: r["n"])}
     assert [(r["n"], r["first"], r["verdict"]) for _, r in sorted(last.items())] == [(2, "same", "same"), (3, "different", "mixed"), (3, "same", "mixed")]
+
+
+def test_no_decision_decides_nothing(spark, tmp_path):
+    rows = [event(1, 0, None, 7), event(2, 5, "same", 7), event(3, 6, None, 8), event(4, 7, "same", 7)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/part=0")
+    got = {r["item"]: (r["n"], r["first"], r["verdict"]) for r in collected(spark, reviews.running_verdicts(reader(spark, f"{tmp_path}/in")), tmp_path, "update")}
+    assert got == {7: (3, "same", "same"), 8: (1, None, None)}
