@@ -26,7 +26,7 @@ from meshquarry.llm.tokens import encoder, public_path
 WINDOW, END = 2048, 1
 #: A shard holds documents of about so many ids, and so many documents at most; terms are scored in blocks: all three bound a
 #: task's memory.
-SHARD_IDS, SHARD_DOCS, TERMS = 1_000_000, 3_000, 4_096
+SHARD_IDS, SHARD_DOCS, TERMS = 300_000, 2_000, 4_096
 #: BM25's parameters.
 K1, B = 1.2, 0.75
 #: How much rarity weighs in a draw.
