@@ -1,10 +1,12 @@
-"""Personal data: patterns, and the terms around them that reveal them.
-
-A protected entity is one value that a pattern finds (an address, a card). A term near it discloses it as far as knowing
-the term tells the entity: with shares of documents, PMI = log2(p(term, entity) / (p(term) p(entity))), of at most
-IC = -log2 p(entity). Where PMI / IC reaches GENERALISE the term is replaced by its kind in documents that hold the entity,
-where it reaches REMOVE it is removed. A pair needs SUPPORT different surroundings in the corpus: copies of one passage
-are one piece of evidence, and what occurs once tells nothing about a term.
+"""Personal data: patterns, and the terms of the corpus that reveal them.
+
+A protected entity is one value that a pattern finds (an address, a card). A term discloses it as far as knowing the term
+tells the entity: with shares of documents, PMI = log2(p(term, entity) / (p(term) p(entity))), of at most
+IC = -log2 p(entity). PMI / IC is lowered by both / (both + 1), where both documents hold the two together, so that few
+joint occurrences count for little: one proves nothing, and an entity of two documents can have terms that hardly any
+other document holds. Where this exceeds GENERALISE the term is replaced by its kind, where it exceeds REMOVE it is
+removed, in every document that holds it, with the entity or without. An entity needs two unlike surroundings: copies of
+one passage are one piece of evidence.
 """
 
 from __future__ import annotations
@@ -21,8 +23,11 @@ from pyspark.sql import functions as F
 from meshquarry.llm.common import documents, lower_az, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words on either side of an entity that count as near; least surroundings; thresholds of PMI / IC.
-WINDOW, SUPPORT, GENERALISE, REMOVE = 6, 3, 0.5, 0.8
+COUNTS = ["n_email", "n_ip", "n_card", "n_phone"]
+#: Words on either side of an entity that count as together with it, and as its surroundings; thresholds of the lowered share.
+WINDOW, AROUND, GENERALISE, REMOVE = 128, 6, 0.6, 0.8
+#: Candidate terms up to this number of bytes are sent to all tasks before words are counted; more are joined after it.
+SENT = 16_000_000
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -98,71 +103,99 @@ def _outside(words: list[tuple[int, int, str]], spans: list[tuple[int, int, int]
     return [w for w in words if (i := bisect_right(starts, w[1] - 1)) == 0 or ends[i - 1] <= w[0]]
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, str]]:
-    """(entity, hash of its surroundings, term), each once, for the words near each base span."""
+def entities(text: str, spans: list[tuple[int, int, int]]) -> dict[str, tuple[int, int]]:
+    """The least and the largest hash of each entity's surroundings, by entity."""
     words = _outside(_terms(text), spans)
     starts, out = [w[0] for w in words], {}
     for s in spans:
         i = bisect_right(starts, s[0])
-        near = [w[2] for w in words[max(0, i - WINDOW) : i + WINDOW]]
-        around = xxhash.xxh64_intdigest(" ".join(near)) >> 1
-        name = entity(text, s)
-        for term in near:
-            out[name, around, term] = None
-    return list(out)
+        around = xxhash.xxh64_intdigest(" ".join(w[2] for w in words[max(0, i - AROUND) : i + AROUND])) >> 1
+        low, high = out.get(name := entity(text, s), (around, around))
+        out[name] = min(low, around), max(high, around)
+    return out
 
 
-_FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_spans string, pairs array<struct<entity:string,around:long,term:string>>, held string"
+def near_terms(text: str, spans: list[tuple[int, int, int]], wanted: set[str]) -> list[tuple[str, str]]:
+    """(entity, term), each once, for the words near the base spans of `wanted` entities."""
+    words = _outside(_terms(text), spans)
+    starts, out = [w[0] for w in words], {}
+    for s in spans:
+        if (name := entity(text, s)) in wanted:
+            i = bisect_right(starts, s[0])
+            out.update(((name, w[2]), None) for w in words[max(0, i - WINDOW) : i + WINDOW])
+    return list(out)
 
 
 def base(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_spans, pairs, held): what the patterns find in every row, the terms
-    near that, and the text where they find anything (else null). Nulls count as empty."""
+    """(doc_id, row, n_email, n_ip, n_card, n_phone, base_spans, entities, held): what the patterns find in every row, and
+    the text where they find anything (else null). row: xxhash64 of doc_id and text. Nulls count as empty."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    pairs = pa.list_(pa.struct([("entity", pa.string()), ("around", pa.int64()), ("term", pa.string())]))
+    several = pa.list_(pa.struct([("entity", pa.string()), ("low", pa.int64()), ("high", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                texts = [t or "" for t in b.column(1).to_pylist()]
+                texts = [t or "" for t in b.column(2).to_pylist()]
                 spans = [base_spans(t) for t in texts]
                 counts = [pa.array([sum(x[1] == k for x in s) for s in spans], pa.int64()) for k in range(4)]
-                near = [[{"entity": e, "around": a, "term": w} for e, a, w in near_terms(t, s)] if s else [] for t, s in zip(texts, spans, strict=True)]
+                found = [[{"entity": e, "low": lo, "high": hi} for e, (lo, hi) in entities(t, s).items()] if s else [] for t, s in zip(texts, spans, strict=True)]
                 held = pa.array([t if s else None for t, s in zip(texts, spans, strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([b.column(0), *counts, pa.array(map(spelled, spans), pa.string()), pa.array(near, pairs), held], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_spans", "pairs", "held"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *counts, pa.array(map(spelled, spans), pa.string()), pa.array(found, several), held], names=["doc_id", "row", *COUNTS, "base_spans", "entities", "held"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {_FOUND}")
+    schema = f"doc_id {kind}, row long, {', '.join(c + ' long' for c in COUNTS)}, base_spans string, entities array<struct<entity:string,low:long,high:long>>, held string"
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(run, schema)
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """(term, n_term): how many rows hold each term, combined before the shuffle. Texts are split between words, at blanks
-    with what is stripped around them, which gives the terms of _terms()."""
+def words(docs: DataFrame) -> DataFrame:
+    """(row, term): the distinct terms of each row. Texts are split between words, at blanks with what is stripped around
+    them, which gives the terms of _terms()."""
     edge = "[" + re.sub(r"([\\\]\[^&-])", r"\\\1", EDGE) + "]*"
     terms = F.split(F.btrim(lower_az(F.col("text")), F.lit(EDGE)), edge + r"[\x20\x09-\x0D]+" + edge)
-    words = docs.select(F.explode(F.array_distinct(terms)).alias("term")).where("term <> ''")
-    return words.groupBy("term").agg(F.count("*").alias("n_term"))
+    return docs.select(F.xxhash64("doc_id", "text").alias("row"), F.explode(F.array_distinct(terms)).alias("term")).where("term <> ''")
+
+
+def term_counts(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(term, n_term): how many rows hold each term (each of `wanted`), combined before the shuffle."""
+    held = words(docs).select("term")
+    if wanted is not None and (wanted.agg(F.sum(F.octet_length("term") + 40)).first()[0] or 0) <= SENT:
+        held, wanted = held.join(F.broadcast(wanted), "term", "left_semi"), None
+    counts = held.groupBy("term").agg(F.count("*").alias("n_term"))
+    return counts if wanted is None else counts.join(wanted, "term", "left_semi")
 
 
 def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(entity, term, share): the terms whose share PMI / IC of an entity reaches GENERALISE, over all of `docs`.
+    """(entity, term, share): the terms whose lowered share of an entity exceeds GENERALISE, over all of `docs`.
 
-    All counts are of documents, combined before each shuffle. Pairs exist only in the surroundings of entities; of the rest
-    of the corpus, each term's number of documents is counted.
+    All counts are of rows, combined before each shuffle. Pairs are formed only for entities that recur in unlike
+    surroundings, since no other can reach a threshold, and only within their windows.
     """
     n = F.lit(float(docs.count()))
-    raw = found.select("row", F.explode("pairs").alias("p")).select("row", "p.*")
-    pairs = raw.groupBy("entity", "term").agg(F.count_distinct("row").alias("both"), F.count_distinct("around").alias("support")).where(F.col("support") >= SUPPORT).drop("support")
-    holders = found.select("row", F.explode(F.array_distinct(F.transform("pairs", lambda p: p["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    # A share of GENERALISE needs a term in both * (N / n_entity) ** (1 - GENERALISE) documents at most; those that have it near any
-    # entity are a lower bound, so common words go before the corpus is counted.
-    near = raw.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count_distinct("row").alias("n_near"))
-    few = F.col("n_near") <= F.col("both") * F.pow(n / F.col("n_entity"), 1 - GENERALISE) * 1.000001
-    pairs = stored(pairs.join(holders, "entity").join(near, "term").where(few).drop("n_near"), "pairs")
-    known = term_counts(docs)
-    pmi, ic = F.log2(F.col("both") * n / (F.col("n_term") * F.col("n_entity"))), F.log2(n / F.col("n_entity"))
-    share = F.when(ic > 0, pmi / ic).otherwise(0.0)
-    return pairs.join(known, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
+    held = found.select("row", F.explode("entities").alias("e")).select("row", "e.*")
+    known = held.groupBy("entity").agg(F.count("*").alias("n_entity"), F.min("low").alias("low"), F.max("high").alias("high"))
+    known = stored(known.where("n_entity > 1 AND low <> high").select("entity", "n_entity"), "entities")
+    wanted = held.select("row", "entity").distinct().join(known.select("entity"), "entity").groupBy("row").agg(F.collect_list("entity").alias("wanted"))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(whole.num_rows):
+                b = whole.slice(at, 1)
+                held, wanted, e = (b.column(i)[0].as_py() for i in range(3))
+                low = {x["entity"]: (x["low"], x["high"]) for x in e}
+                pairs = near_terms(held, base_spans(held), set(wanted))
+                for i in range(0, len(pairs), 50_000):
+                    part = pairs[i : i + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.string()), pa.array([x[1] for x in part], pa.string()), pa.array([low[x[0]][0] for x in part], pa.int64()), pa.array([low[x[0]][1] for x in part], pa.int64())], names=["entity", "term", "low", "high"])
+
+    pairs = found.join(wanted, "row").select("held", "wanted", "entities").mapInArrow(near, "entity string, term string, low long, high long")
+    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), F.min("low").alias("low"), F.max("high").alias("high"))
+    pairs = pairs.where("both > 1 AND low <> high").drop("low", "high")
+    lowered = F.col("both") / (F.col("both") + 1)
+    ic = F.log2(n / F.col("n_entity"))
+    pairs = stored(pairs.join(known, "entity").where(ic > 0), "pairs")
+    counts = term_counts(docs, stored(pairs.select("term").distinct(), "terms"))
+    share = lowered * F.log2(F.col("both") * n / (F.col("n_term") * F.col("n_entity"))) / ic
+    return pairs.join(counts, "term").select("entity", "term", share.alias("share")).where(F.col("share") > GENERALISE)
 
 
 def term_spans(text: str, spans: list[tuple[int, int, int]], terms: set[str]) -> list[tuple[int, int, int]]:
@@ -173,40 +206,46 @@ def _parsed(spans: str) -> list[tuple[int, int, int]]:
     return [(int(a), KINDS.index(k), int(b)) for k, a, b in (s.split(":") for s in spans.split(","))] if spans else []
 
 
+_RESULT = ["doc_id", "row", *COUNTS, "base_spans", "spans", "removed"]
+
+
 def personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, row, n_email, n_ip, n_card, n_phone, base_spans, spans, removed) of every row; spans as `kind:start:end`,
     comma-joined by start, then kind, in code points, end exclusive. spans holds the base spans and those of disclosing
     terms; removed lists the terms that are to go, the others are to be generalised. row: xxhash64 of doc_id and text.
 
-    Null and empty texts have none; texts without a base span get no other, whatever their words. Rows that repeat a doc_id and a
-    text are one document to the pairs. Other columns are ignored; an empty table gives an empty one.
+    Null and empty texts have none. Rows that repeat count as so many documents, and get the same spans. Other columns are
+    ignored; an empty table gives an empty one.
 
-    The texts in which something is found, with what is found in each, are kept in the shared folder: only they are read
-    again, and only pairs and their terms are shuffled. A pair that a third of all rows hold is counted before the
-    shuffle, and adaptive execution splits its join back.
+    The texts in which patterns find something are kept in the shared folder. Disclosing terms are then looked up among
+    the words of all rows; only rows that hold one are marked anew. Spark sends the terms, or the rows' own terms, to all
+    tasks only while they are small, and else joins by shuffles that adaptive execution splits.
     """
     docs = docs.select("doc_id", "text")
-    found = stored(base(docs).withColumn("row", F.xxhash64("doc_id", "held")), "found")
-    some = found.where(F.col("held").isNotNull())
-    shares = disclosing(docs, some)
-    own = some.select("row", F.explode("pairs").alias("p")).select("row", "p.entity", "p.term").distinct()
-    own = own.join(shares, ["entity", "term"]).groupBy("row", "term").agg(F.max("share").alias("share"))
-    own = own.groupBy("row").agg(F.collect_list(F.struct("term", "share")).alias("terms"))  # a document's own terms
-    marked = some.drop("pairs").join(own, "row", "left")
+    found = stored(base(docs), "found")
+    shares = disclosing(docs, found.where(F.col("held").isNotNull()))
+    shares = stored(shares.groupBy("term").agg(F.max("share").alias("share")), "shares")
+    own = words(docs).join(shares, "term").groupBy("row", "term").agg(F.max("share").alias("share"))
+    own = stored(own.groupBy("row").agg(F.collect_list(F.struct("term", "share")).alias("terms")), "marks")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            held, at, terms = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("held", "base_spans", "terms"))
-            spans, removed = [], []
-            for t, s, x in zip(held, map(_parsed, at), terms, strict=True):
-                share = {y["term"]: y["share"] for y in x or ()}
-                spans.append(spelled(sorted(s + term_spans(t, s, set(share)))) if share else spelled(s))
-                removed.append(sorted(w for w, v in share.items() if v >= REMOVE))
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in ("doc_id", "row", "n_email", "n_ip", "n_card", "n_phone", "base_spans")), pa.array(spans, pa.string()), pa.array(removed, pa.list_(pa.string()))], names=["doc_id", "row", "n_email", "n_ip", "n_card", "n_phone", "base_spans", "spans", "removed"])
-
-    plain = found.where(F.col("held").isNull()).select("doc_id", "row", "n_email", "n_ip", "n_card", "n_phone", "base_spans", F.lit("").alias("spans"), F.array().cast("array<string>").alias("removed"))
-    return plain.unionByName(marked.mapInArrow(run, f"doc_id {kind}, row long, n_email long, n_ip long, n_card long, n_phone long, base_spans string, spans string, removed array<string>"))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                base, spans, removed = [], [], []
+                for t, x in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                    share = {y["term"]: y["share"] for y in x}
+                    base.append(base_spans(t))
+                    spans.append(spelled(sorted(base[-1] + term_spans(t, base[-1], set(share)))))
+                    removed.append(sorted(w for w, v in share.items() if v > REMOVE))
+                counts = [pa.array([sum(x[1] == k for x in s) for s in base], pa.int64()) for k in range(4)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *counts, pa.array(map(spelled, base), pa.string()), pa.array(spans, pa.string()), pa.array(removed, pa.list_(pa.string()))], names=_RESULT)
+
+    schema = f"doc_id {kind}, row long, {', '.join(c + ' long' for c in COUNTS)}, base_spans string, spans string, removed array<string>"
+    marked = docs.withColumn("row", F.xxhash64("doc_id", "text")).join(own, "row").select("doc_id", "row", "text", "terms").mapInArrow(run, schema)
+    plain = found.join(own.select("row"), "row", "left_anti").withColumns({"spans": F.col("base_spans"), "removed": F.array().cast("array<string>")})
+    return plain.select(*_RESULT).unionByName(marked)
 
 
 def redact(text: str | None, spans: str | None, removed: list[str] | None) -> str | None:

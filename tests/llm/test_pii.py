@@ -1,3 +1,5 @@
+import math
+import random
 import re
 
 import pytest
@@ -45,11 +47,65 @@ def test_terms_that_reveal_an_entity(revealing):
     got = {r.doc_id: r for r in P.personal_data(revealing).collect()}
     texts = {r.doc_id: r.text for r in revealing.collect()}
     named = {i: [texts[i][a:b] for a, k, b in P._parsed(r.spans) if k == 4] for i, r in got.items()}
-    assert all("Widget" in named[i] and "common" not in named[i] for i in range(4)) and got[0].removed.count("widget") == 1
-    assert named[61] == named[65] == [] and got[65].spans == ""
-    assert all(set(r.base_spans.split(",")) <= set(r.spans.split(",")) for r in got.values())
+    assert all("Widget" in named[i] and "common" not in named[i] for i in range(4))
+    assert named[65] == ["widget"] and got[65].base_spans == ""  # without the entity too
+    assert all(named[i] == [] for i in [*range(4, 60), *range(61, 65)])  # copies of one passage are one piece of evidence
+    assert all(set(r.base_spans.split(",")) <= set(r.spans.split(",")) for r in got.values() if r.base_spans)
     clean = {r.doc_id: r.text for r in P.sanitise(revealing).collect()}
-    assert "joe@" not in clean[0] and "[EMAIL]" in clean[0] and "Widget" not in clean[0] and clean[65] == "widget alone" and clean[30] == texts[30]
+    assert "joe@" not in clean[0] and "[EMAIL]" in clean[0] and "Widget" not in clean[0] and clean[65] == "[TERM] alone" and clean[30] == texts[30]
+
+
+def test_an_entity_of_two_documents_has_terms(spark):
+    rows = [(1, "seldom one two x@y.zz three"), (2, "four five seldom x@y.zz six"), *((i, f"plain words {i}") for i in range(3, 400))]
+    got = {r.doc_id: r.spans for r in P.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.spans}
+    assert got == {1: "term:0:6,email:15:21", 2: "term:10:16,email:17:23"}
+
+
+def plain_terms(rows):
+    """term -> the largest lowered share of PMI, counted document by document."""
+    n, holds, ents = len(rows), {}, {}
+    for i, text in enumerate(rows):
+        spans = P.base_spans(text)
+        outside = [w for w in P._terms(text) if not any(w[0] < b and a < w[1] for a, _, b in spans)]
+        for *_, w in P._terms(text):
+            holds.setdefault(w, set()).add(i)
+        for s in spans:
+            before, after = [w[2] for w in outside if w[0] < s[0]], [w[2] for w in outside if w[0] >= s[0]]
+            around = (*before[-P.AROUND :], *after[: P.AROUND])
+            ents.setdefault(P.entity(text, s), []).append((i, around, {*before[-P.WINDOW :], *after[: P.WINDOW]}))
+    out = {}
+    for found in ents.values():
+        n_e = len({i for i, *_ in found})
+        if n_e < 2 or n_e == n:
+            continue
+        around = {i: {a for j, a, _ in found if j == i} for i, *_ in found}
+        for term in set().union(*(t for *_, t in found)):
+            with_it = {i for i, _, t in found if term in t}
+            if len(with_it) > 1 and len(set().union(*(around[i] for i in with_it))) > 1:
+                both = len(with_it)
+                share = both / (both + 1) * math.log2(both * n / (len(holds[term]) * n_e)) / math.log2(n / n_e)
+                out[term] = max(share, out.get(term, 0))
+    return {t for t, v in out.items() if v > P.GENERALISE}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_terms_like_plain_counting(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    names = [f"n{i}@site.org" for i in range(6)]
+    rows = []
+    for _ in range(150):
+        words = [f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.randint(1, 300))]
+        for name in rng.sample(names, rng.choice([0, 0, 0, 1, 2])):
+            words.insert(rng.randrange(len(words) + 1), name)
+            words.insert(rng.randrange(len(words) + 1), f"of-{name[:2]}-{rng.randrange(3)}")
+        rows.append(" ".join(words))
+    want = plain_terms(rows)
+    assert len(want) > 5
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for sent in (P.SENT, 0):
+        monkeypatch.setattr(P, "SENT", sent)
+        got = {rows[r.doc_id][a:b] for r in P.personal_data(df).collect() for a, k, b in P._parsed(r.spans) if k == 4}
+        assert got == want
 
 
 def test_term_counts_like_plain_words(spark, odd):
