@@ -2,11 +2,10 @@
 
 A protected entity is one value that a pattern finds (an address, a card). A term discloses it as far as knowing the term
 tells the entity: with shares of documents, PMI = log2(p(term, entity) / (p(term) p(entity))), of at most
-IC = -log2 p(entity). PMI / IC is lowered by both / (both + 1), where both documents hold the two together, so that few
-joint occurrences count for little: one proves nothing, and an entity of two documents can have terms that hardly any
-other document holds. Where this exceeds GENERALISE the term is replaced by its kind, where it exceeds REMOVE it is
-removed, in every document that holds it, with the entity or without. An entity needs two unlike surroundings: copies of
-one passage are one piece of evidence.
+IC = -log2 p(entity). The documents that hold the two together are counted by unlike surroundings of the entity, so that
+copies and near copies of a passage are one piece of evidence, and less one, since a single one proves nothing. Where
+PMI / IC exceeds GENERALISE the term is replaced by its kind, where it exceeds REMOVE it is removed, in every document
+that holds it, with the entity or without. An entity of two unlike documents can thus have terms that few other hold.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 import xxhash
@@ -24,8 +24,8 @@ from meshquarry.llm.common import documents, lower_az, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 COUNTS = ["n_email", "n_ip", "n_card", "n_phone"]
-#: Words on either side of an entity that count as together with it, and as its surroundings; thresholds of the lowered share.
-WINDOW, AROUND, GENERALISE, REMOVE = 128, 6, 0.6, 0.8
+#: Words on either side of an entity that count as together with it, and as its surroundings; thresholds of PMI / IC.
+WINDOW, AROUND, GENERALISE, REMOVE = 128, 16, 0.8, 0.9
 #: Candidate terms up to this number of bytes are sent to all tasks before words are counted; more are joined after it.
 SENT = 16_000_000
 
@@ -103,15 +103,17 @@ def _outside(words: list[tuple[int, int, str]], spans: list[tuple[int, int, int]
     return [w for w in words if (i := bisect_right(starts, w[1] - 1)) == 0 or ends[i - 1] <= w[0]]
 
 
-def entities(text: str, spans: list[tuple[int, int, int]]) -> dict[str, tuple[int, int]]:
-    """The least and the largest hash of each entity's surroundings, by entity."""
+def entities(text: str, spans: list[tuple[int, int, int]]) -> dict[str, int]:
+    """Each entity with a sketch of its surroundings: the least hash of the pairs of adjacent words around all its places,
+    which near copies mostly share and other documents do not."""
     words = _outside(_terms(text), spans)
     starts, out = [w[0] for w in words], {}
     for s in spans:
         i = bisect_right(starts, s[0])
-        around = xxhash.xxh64_intdigest(" ".join(w[2] for w in words[max(0, i - AROUND) : i + AROUND])) >> 1
-        low, high = out.get(name := entity(text, s), (around, around))
-        out[name] = min(low, around), max(high, around)
+        near = [w[2] for w in words[max(0, i - AROUND) : i + AROUND]]
+        sketch = min((xxhash.xxh64_intdigest(f"{a} {b}") >> 1 for a, b in pairwise(("", *near))), default=0)
+        name = entity(text, s)
+        out[name] = min(sketch, out.get(name, sketch))
     return out
 
 
@@ -130,7 +132,7 @@ def base(docs: DataFrame) -> DataFrame:
     """(doc_id, row, n_email, n_ip, n_card, n_phone, base_spans, entities, held): what the patterns find in every row, and
     the text where they find anything (else null). row: xxhash64 of doc_id and text. Nulls count as empty."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    several = pa.list_(pa.struct([("entity", pa.string()), ("low", pa.int64()), ("high", pa.int64())]))
+    several = pa.list_(pa.struct([("entity", pa.string()), ("sketch", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -139,11 +141,11 @@ def base(docs: DataFrame) -> DataFrame:
                 texts = [t or "" for t in b.column(2).to_pylist()]
                 spans = [base_spans(t) for t in texts]
                 counts = [pa.array([sum(x[1] == k for x in s) for s in spans], pa.int64()) for k in range(4)]
-                found = [[{"entity": e, "low": lo, "high": hi} for e, (lo, hi) in entities(t, s).items()] if s else [] for t, s in zip(texts, spans, strict=True)]
+                found = [[{"entity": e, "sketch": h} for e, h in entities(t, s).items()] if s else [] for t, s in zip(texts, spans, strict=True)]
                 held = pa.array([t if s else None for t, s in zip(texts, spans, strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *counts, pa.array(map(spelled, spans), pa.string()), pa.array(found, several), held], names=["doc_id", "row", *COUNTS, "base_spans", "entities", "held"])
 
-    schema = f"doc_id {kind}, row long, {', '.join(c + ' long' for c in COUNTS)}, base_spans string, entities array<struct<entity:string,low:long,high:long>>, held string"
+    schema = f"doc_id {kind}, row long, {', '.join(c + ' long' for c in COUNTS)}, base_spans string, entities array<struct<entity:string,sketch:long>>, held string"
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(run, schema)
 
 
@@ -165,15 +167,15 @@ def term_counts(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
 
 
 def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(entity, term, share): the terms whose lowered share of an entity exceeds GENERALISE, over all of `docs`.
+    """(entity, term, share): the terms whose share PMI / IC of an entity exceeds GENERALISE, over all of `docs`.
 
-    All counts are of rows, combined before each shuffle. Pairs are formed only for entities that recur in unlike
-    surroundings, since no other can reach a threshold, and only within their windows.
+    All counts are of rows, or of the unlike surroundings among them, combined before each shuffle. Pairs are formed only
+    for entities with two unlike surroundings, since no other has evidence, and only within their windows.
     """
     n = F.lit(float(docs.count()))
     held = found.select("row", F.explode("entities").alias("e")).select("row", "e.*")
-    known = held.groupBy("entity").agg(F.count("*").alias("n_entity"), F.min("low").alias("low"), F.max("high").alias("high"))
-    known = stored(known.where("n_entity > 1 AND low <> high").select("entity", "n_entity"), "entities")
+    known = held.groupBy("entity").agg(F.count("*").alias("n_entity"), F.min("sketch").alias("low"), F.max("sketch").alias("high"))
+    known = stored(known.where("low <> high").select("entity", "n_entity"), "entities")
     wanted = held.select("row", "entity").distinct().join(known.select("entity"), "entity").groupBy("row").agg(F.collect_list("entity").alias("wanted"))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,21 +183,20 @@ def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
             for at in range(whole.num_rows):
                 b = whole.slice(at, 1)
                 held, wanted, e = (b.column(i)[0].as_py() for i in range(3))
-                low = {x["entity"]: (x["low"], x["high"]) for x in e}
+                sketch = {x["entity"]: x["sketch"] for x in e}
                 pairs = near_terms(held, base_spans(held), set(wanted))
                 for i in range(0, len(pairs), 50_000):
                     part = pairs[i : i + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.string()), pa.array([x[1] for x in part], pa.string()), pa.array([low[x[0]][0] for x in part], pa.int64()), pa.array([low[x[0]][1] for x in part], pa.int64())], names=["entity", "term", "low", "high"])
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.string()), pa.array([x[1] for x in part], pa.string()), pa.array([sketch[x[0]] for x in part], pa.int64())], names=["entity", "term", "sketch"])
 
-    pairs = found.join(wanted, "row").select("held", "wanted", "entities").mapInArrow(near, "entity string, term string, low long, high long")
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), F.min("low").alias("low"), F.max("high").alias("high"))
-    pairs = pairs.where("both > 1 AND low <> high").drop("low", "high")
-    lowered = F.col("both") / (F.col("both") + 1)
+    pairs = found.join(wanted, "row").select("held", "wanted", "entities").mapInArrow(near, "entity string, term string, sketch long")
+    pairs = pairs.groupBy("entity", "term", "sketch").agg(F.count("*").alias("rows")).groupBy("entity", "term").agg(F.count("*").alias("both"), F.sum("rows").alias("rows"))
+    # A term is in `rows` documents at least: pairs that can't exceed GENERALISE go before the corpus is counted.
     ic = F.log2(n / F.col("n_entity"))
-    pairs = stored(pairs.join(known, "entity").where(ic > 0), "pairs")
+    share = lambda n_term: F.log2((F.col("both") - 1) * n / (F.col(n_term) * F.col("n_entity"))) / ic
+    pairs = stored(pairs.where("both > 1").join(known, "entity").where((ic > 0) & (share("rows") > GENERALISE)), "pairs")
     counts = term_counts(docs, stored(pairs.select("term").distinct(), "terms"))
-    share = lowered * F.log2(F.col("both") * n / (F.col("n_term") * F.col("n_entity"))) / ic
-    return pairs.join(counts, "term").select("entity", "term", share.alias("share")).where(F.col("share") > GENERALISE)
+    return pairs.join(counts, "term").select("entity", "term", share("n_term").alias("share")).where(F.col("share") > GENERALISE)
 
 
 def term_spans(text: str, spans: list[tuple[int, int, int]], terms: set[str]) -> list[tuple[int, int, int]]:

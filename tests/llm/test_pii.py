@@ -1,8 +1,10 @@
+import itertools
 import math
 import random
 import re
 
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -36,10 +38,11 @@ def test_long_runs_take_linear_time():
 
 @pytest.fixture(scope="module")
 def revealing(spark):
-    """`widget` stands near one address in four unlike places and nowhere else; `common` stands in every text."""
-    rows = [(i, f"common words {i} unlike{i} Widget, mail joe@site.org about{i} it{i} now") for i in range(4)]
-    rows += [(i, f"common words about nothing {i} at all") for i in range(4, 60)]
-    rows += [(60, "common mail joe@site.org only"), (61, "copied tell-tale ann@site.org end"), (62, "copied tell-tale ann@site.org end"), (63, "copied tell-tale ann@site.org end"), (64, "copied tell-tale ann@site.org end"), (65, "widget alone")]
+    """`widget` stands near one address in four unlike places and once alone; `common` stands in every text."""
+    unlike = lambda i: " ".join(f"u{i}x{j}" for j in range(30))
+    rows = [(i, f"common words {unlike(i)} Widget, mail joe@site.org {unlike(-i - 1)} now") for i in range(4)]
+    rows += [(i, f"common words about nothing {i} mail now at all") for i in range(70, 600)]
+    rows += [(60, "common mail joe@site.org only"), (65, "widget alone"), *((i, "copied tell-tale ann@site.org end") for i in range(61, 65))]
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
@@ -49,10 +52,10 @@ def test_terms_that_reveal_an_entity(revealing):
     named = {i: [texts[i][a:b] for a, k, b in P._parsed(r.spans) if k == 4] for i, r in got.items()}
     assert all("Widget" in named[i] and "common" not in named[i] for i in range(4))
     assert named[65] == ["widget"] and got[65].base_spans == ""  # without the entity too
-    assert all(named[i] == [] for i in [*range(4, 60), *range(61, 65)])  # copies of one passage are one piece of evidence
+    assert all(named[i] == [] for i in [*range(70, 600), *range(60, 65)])  # copies of one passage are one piece of evidence
     assert all(set(r.base_spans.split(",")) <= set(r.spans.split(",")) for r in got.values() if r.base_spans)
     clean = {r.doc_id: r.text for r in P.sanitise(revealing).collect()}
-    assert "joe@" not in clean[0] and "[EMAIL]" in clean[0] and "Widget" not in clean[0] and clean[65] == "[TERM] alone" and clean[30] == texts[30]
+    assert "joe@" not in clean[0] and "[EMAIL]" in clean[0] and "Widget" not in clean[0] and clean[65] == "[TERM] alone" and clean[70] == texts[70]
 
 
 def test_an_entity_of_two_documents_has_terms(spark):
@@ -62,7 +65,7 @@ def test_an_entity_of_two_documents_has_terms(spark):
 
 
 def plain_terms(rows):
-    """term -> the largest lowered share of PMI, counted document by document."""
+    """term -> the largest PMI / IC, counted document by document."""
     n, holds, ents = len(rows), {}, {}
     for i, text in enumerate(rows):
         spans = P.base_spans(text)
@@ -71,19 +74,18 @@ def plain_terms(rows):
             holds.setdefault(w, set()).add(i)
         for s in spans:
             before, after = [w[2] for w in outside if w[0] < s[0]], [w[2] for w in outside if w[0] >= s[0]]
-            around = (*before[-P.AROUND :], *after[: P.AROUND])
-            ents.setdefault(P.entity(text, s), []).append((i, around, {*before[-P.WINDOW :], *after[: P.WINDOW]}))
+            pairs = [f"{a} {b}" for a, b in itertools.pairwise(["", *before[-P.AROUND :], *after[: P.AROUND]])]
+            ents.setdefault(P.entity(text, s), []).append((i, min((xxhash.xxh64_intdigest(x) >> 1 for x in pairs), default=0), {*before[-P.WINDOW :], *after[: P.WINDOW]}))
     out = {}
     for found in ents.values():
         n_e = len({i for i, *_ in found})
         if n_e < 2 or n_e == n:
             continue
-        around = {i: {a for j, a, _ in found if j == i} for i, *_ in found}
+        sketch = {i: min(h for j, h, _ in found if j == i) for i, *_ in found}
         for term in set().union(*(t for *_, t in found)):
-            with_it = {i for i, _, t in found if term in t}
-            if len(with_it) > 1 and len(set().union(*(around[i] for i in with_it))) > 1:
-                both = len(with_it)
-                share = both / (both + 1) * math.log2(both * n / (len(holds[term]) * n_e)) / math.log2(n / n_e)
+            both = len({sketch[i] for i, _, t in found if term in t})
+            if both > 1:
+                share = math.log2((both - 1) * n / (len(holds[term]) * n_e)) / math.log2(n / n_e)
                 out[term] = max(share, out.get(term, 0))
     return {t for t, v in out.items() if v > P.GENERALISE}
 
@@ -100,7 +102,7 @@ def test_terms_like_plain_counting(spark, monkeypatch, seed):
             words.insert(rng.randrange(len(words) + 1), f"of-{name[:2]}-{rng.randrange(3)}")
         rows.append(" ".join(words))
     want = plain_terms(rows)
-    assert len(want) > 5
+    assert len(want) > 3
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     for sent in (P.SENT, 0):
         monkeypatch.setattr(P, "SENT", sent)
