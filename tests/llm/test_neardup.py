@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline as C
 from meshquarry.llm import neardup as N
 from meshquarry.llm import simhash as S
@@ -46,6 +48,32 @@ def test_like_brute_force(spark):
     assert [got[i] for i in range(len(rows))] == want and 12 < len(set(want)) < len(rows) - 40
 
 
+def test_blocks_of_a_bucket(spark, monkeypatch):
+    """A bucket of many near copies around a text that isn't there: few are similar to the first, more to each other."""
+    rng = random.Random(5)
+    base, rows = [f"b{i}" for i in range(120)], []
+    for k in range(160):
+        ws = list(base)
+        for at in rng.sample(range(0, 120, 5), 1 + k % 4):
+            ws[at] = f"n{rng.randrange(40)}"
+        rows.append(" ".join(ws))
+    want = roots([naive(t) for t in rows])
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    for block, some in ((8, 1 << 20), (1024, 1000), (1024, 1 << 20)):
+        monkeypatch.setattr(N, "BLOCK", block), monkeypatch.setattr(N, "SHINGLES", some)
+        got = {r.doc_id: r.component_id for r in N.near_duplicates(df).collect()}
+        assert [got[i] for i in range(len(rows))] == want and len(set(want)) > 3
+
+
+def test_shared_counts(monkeypatch):
+    monkeypatch.setattr(N, "COLUMNS", 7)
+    rng = random.Random(2)
+    a, b = ([np.unique(np.array([rng.randrange(90) for _ in range(rng.randint(1, 60))], np.uint64)) for _ in range(n)] for n in (9, 5))
+    assert N.shared(a, b).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]
+    members = [(i, i, s) for i, s in enumerate(a + a[:3])]
+    assert sorted(N.forest(members, members)) == [(0, 9), (1, 10), (2, 11)] and N.forest(members[:2], []) == []
+
+
 def test_stage_drops_copies_beyond_three_bits(spark):
     rows = texts(random.Random(8))
     sets, fps = [naive(t) for t in rows], [S.simhash(t.encode()) for t in rows]
