@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshquarry.storage import cut
@@ -68,3 +69,87 @@ def tree_figures(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     by = nodes.join(children, ["tree", "node"], "left").groupBy("tree").agg(F.count("*").alias("nodes"), F.count_if(F.col("children") > 1).alias("branches"), F.count_if(F.col("children").isNull()).alias("ends"))
     cable = edges.groupBy("tree").agg(F.count("*").alias("edges"), F.sum("length").alias("cable"))
     return by.join(cable, "tree", "left").select("tree", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"), "branches", "ends", F.coalesce("cable", F.lit(0.0)).alias("cable"))
+
+
+def lifted(edges: DataFrame) -> list[DataFrame]:
+    """Of a forest (tree, child, parent, length), tables (tree, node, up, way): each node's ancestor 1, 2, 4, ... steps above it
+    and the length of the way there, as far as there is any. A table is the one before joined with itself, so a chain of a
+    million nodes takes twenty. Each ends in the shared folder. A node has one parent at most; cycles are refused, since the
+    tables would never end."""
+    table = cut(edges.select("tree", F.col("child").alias("node"), F.col("parent").alias("up"), F.col("length").alias("way")))
+    nodes, tables = table.count(), []
+    while not table.isEmpty():
+        if 1 << len(tables) > nodes:
+            raise ValueError("the edges hold a cycle")
+        tables.append(table)
+        on = table.select("tree", F.col("node").alias("up"), F.col("up").alias("__up"), F.col("way").alias("__way"))
+        table = cut(table.join(on, ["tree", "up"]).select("tree", "node", F.col("__up").alias("up"), (F.col("way") + F.col("__way")).alias("way")))
+    return tables
+
+
+def rooted(nodes: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """(tree, node, root, depth, way) of each node (tree, node): the end of its chain of parents, in steps and length. From the
+    longest leaps to the shortest."""
+    at = nodes.select("tree", "node").distinct().withColumns({"root": F.col("node"), "depth": F.lit(0).cast("long"), "way": F.lit(0.0)})
+    for k in reversed(range(len(tables))):
+        leap = tables[k].select("tree", F.col("node").alias("root"), F.col("up").alias("__up"), F.col("way").alias("__way"))
+        far = at.join(leap, ["tree", "root"], "left")
+        at = cut(far.select("tree", "node", F.coalesce("__up", "root").alias("root"), (F.col("depth") + F.when(F.col("__up").isNull(), 0).otherwise(1 << k)).alias("depth"), (F.col("way") + F.coalesce("__way", F.lit(0.0))).alias("way")))
+    return at
+
+
+def paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(tree, a, b, meet, steps, length) of each pair of nodes (tree, a, b): their lowest common ancestor and the way over it.
+    Pairs under different roots have none and are left out. In as many joins as the deepest chain has binary digits, twice."""
+    tables = lifted(edges)
+    deep = rooted(nodes, tables)
+    end = lambda p: deep.select("tree", F.col("node").alias(p), F.col("root").alias(f"{p}_root"), F.col("depth").alias(f"{p}_depth"), F.col("way").alias(f"{p}_way"))
+    rows = pairs.select("tree", "a", "b").distinct().join(end("a"), ["tree", "a"]).join(end("b"), ["tree", "b"]).where("a_root = b_root")
+    rows = cut(rows.withColumns({"__a": F.col("a"), "__b": F.col("b"), "__off": F.col("a_depth") - F.col("b_depth")}))
+
+    def leap(rows: DataFrame, side: str, k: int, when: Column) -> DataFrame:
+        """The ancestor 2^k above that side, where it's asked for."""
+        up = tables[k].select("tree", F.col("node").alias(f"__{side}"), F.col("up").alias(f"__{side}_up"))
+        return rows.withColumn(f"__{side}_go", when).join(up, ["tree", f"__{side}"], "left")
+
+    for k in reversed(range(len(tables))):  # the deeper one up to the other's depth
+        for side, sign in (("a", 1), ("b", -1)):
+            rows = leap(rows, side, k, sign * F.col("__off") >= 1 << k)
+            rows = rows.withColumns({f"__{side}": F.when(F.col(f"__{side}_go"), F.col(f"__{side}_up")).otherwise(F.col(f"__{side}")), "__off": F.col("__off") - F.when(F.col(f"__{side}_go"), sign * (1 << k)).otherwise(0)})
+            rows = rows.drop(f"__{side}_go", f"__{side}_up")
+        rows = cut(rows)
+    for k in reversed(range(len(tables))):  # both up as long as they don't meet
+        rows = leap(leap(rows, "a", k, F.lit(True)), "b", k, F.lit(True))
+        go = F.coalesce(F.col("__a_up") != F.col("__b_up"), F.lit(False))
+        rows = cut(rows.withColumns({"__a": F.when(go, F.col("__a_up")).otherwise(F.col("__a")), "__b": F.when(go, F.col("__b_up")).otherwise(F.col("__b"))}).drop("__a_go", "__b_go", "__a_up", "__b_up"))
+    if tables:
+        rows = leap(rows, "a", 0, F.lit(True)).withColumn("meet", F.when(F.col("__a") == F.col("__b"), F.col("__a")).otherwise(F.col("__a_up")))
+    else:
+        rows = rows.withColumn("meet", F.col("__a"))
+    top = deep.select("tree", F.col("node").alias("meet"), F.col("depth").alias("__depth"), F.col("way").alias("__way"))
+    rows = rows.select("tree", "a", "b", "meet", "a_depth", "b_depth", "a_way", "b_way").join(top, ["tree", "meet"])
+    return rows.select("tree", "a", "b", "meet", (F.col("a_depth") + F.col("b_depth") - 2 * F.col("__depth")).alias("steps"), (F.col("a_way") + F.col("b_way") - 2 * F.col("__way")).alias("length"))
+
+
+def leaf_pairs(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+    """(tree, a, b), a < b: pairs among the `most` smallest ends (nodes without a child) of each tree."""
+    ends = nodes.select("tree", "node").distinct().join(edges.select("tree", F.col("parent").alias("node")).distinct(), ["tree", "node"], "left_anti")
+    some = ends.withColumn("__n", F.row_number().over(W.partitionBy("tree").orderBy("node"))).where(F.col("__n") <= most)
+    return some.select("tree", F.col("node").alias("a")).join(some.select("tree", F.col("node").alias("b")), "tree").where("a < b")
+
+
+def tortuosity(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """paths() with straight, the distance between the two nodes (tree, node, z, y, x), and tortuosity, the way over it (null
+    where they are at one place)."""
+    at = lambda p: nodes.select("tree", F.col("node").alias(p), *(F.col(c).alias(f"{p}{c}") for c in "zyx"))
+    rows = paths(pairs, nodes, edges).join(at("a"), ["tree", "a"]).join(at("b"), ["tree", "b"])
+    straight = F.sqrt(sum(((F.col(f"a{c}") - F.col(f"b{c}")) * (F.col(f"a{c}") - F.col(f"b{c}")) for c in "yx"), (F.col("az") - F.col("bz")) * (F.col("az") - F.col("bz"))))
+    rows = rows.withColumn("straight", straight).drop(*(f"{p}{c}" for p in "ab" for c in "zyx"))
+    return rows.withColumn("tortuosity", F.when(F.col("straight") > 0, F.col("length") / F.col("straight")))
+
+
+def fork_ratios(edges: DataFrame, least: float) -> DataFrame:
+    """(tree, node, ratio): nodes at which three edges end, the longest at least `least` times the shortest."""
+    ends = edges.select("tree", F.explode(F.array("child", "parent")).alias("node"), "length")
+    by = ends.groupBy("tree", "node").agg(F.count("*").alias("degree"), F.max("length").alias("long"), F.min("length").alias("short"))
+    return by.where("degree = 3 AND short > 0").withColumn("ratio", F.col("long") / F.col("short")).where(F.col("ratio") >= least).select("tree", "node", "ratio")
