@@ -22,6 +22,8 @@ from meshquarry.llm.common import documents
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Code points, and characters as readers see them.
 CODE_POINTS, GRAPHEMES = r"(?s:.)", r"\X"
+#: Documents that are returned at once.
+ROWS = 500
 
 
 @dataclass(frozen=True)
@@ -71,6 +73,12 @@ def rebuilt(output: str, form: str) -> str:
     return two + middle + one if form == "spm" else one + middle + two
 
 
+def _pieces(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[tuple[pd.Series, pd.Series]]:
+    for a, b in batches:
+        for at in range(0, max(1, len(a)), ROWS):
+            yield a.iloc[at : at + ROWS], b.iloc[at : at + ROWS]
+
+
 def infill(doc_id: Column, text: Column, plan: Plan | None = None) -> Column:
     """A struct (n, form, prefix_chars, middle_chars, output, output_sha256) of each text."""
     plan = plan or Plan()
@@ -78,7 +86,7 @@ def infill(doc_id: Column, text: Column, plan: Plan | None = None) -> Column:
     @F.pandas_udf("n long, form string, prefix_chars long, middle_chars long, output string, output_sha256 string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         unit = regex.compile(plan.unit)
-        for ids, texts in batches:
+        for ids, texts in _pieces(batches):
             rows = [infilled(t or "", i, plan, unit) for i, t in zip(ids.tolist(), texts.tolist(), strict=True)]
             n, form, prefix, middle, output = zip(*rows, strict=True) if rows else [()] * 5
             columns = {"n": pd.Series(n, dtype="int64"), "form": form, "prefix_chars": pd.Series(prefix, dtype="Int64"), "middle_chars": pd.Series(middle, dtype="Int64"), "output": output}
@@ -92,7 +100,7 @@ def restore(output: Column, form: Column) -> Column:
 
     @F.pandas_udf("text string, text_sha256 string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for outputs, forms in batches:
+        for outputs, forms in _pieces(batches):
             texts = [rebuilt(o or "", f) for o, f in zip(outputs.tolist(), forms.tolist(), strict=True)]
             yield pd.DataFrame({"text": texts, "text_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in texts]})
 
