@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from meshquarry.llm.common import documents, stored, union_all
+from meshquarry.llm.common import documents, set_aside, stored, union_all
 
 SIMILARITY = 0.8
 #: Words of a segment, about; items of fewer than SHORT words allow no edit.
@@ -345,9 +345,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` into which no item leaks, with all their columns. A row goes by its own text, whatever other rows
     share its doc_id, null among them."""
+    docs, named = set_aside(docs, "__row", "__text")
     keys = {"__row": F.xxhash64("doc_id", "text"), "__text": F.xxhash64("text")}
     bad = stored(_leaks(docs.select("doc_id", "text", *(k.alias(c) for c, k in keys.items())), benchmark).select(*keys).distinct(), "leaking")  # its size is known then
-    return docs.withColumns(keys).join(bad, [*keys], "left_anti").select(*docs.columns)
+    return named(docs.withColumns(keys).join(bad, [*keys], "left_anti").select(*docs.columns))
 
 
 def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshquarry.llm.common import documents
+from meshquarry.llm.common import documents, set_aside
 
 ORDER = 3
 #: The model is fitted to at most about so many documents of each language, chosen by hash; of a longer one, to a piece of so
@@ -150,13 +150,13 @@ def build(langs: np.ndarray, code: np.ndarray, n: np.ndarray) -> Model:
 
 def fit(docs: DataFrame) -> Model | None:
     """From text and lang of rows with both that are not held out. The sample is bounded by TRAIN_DOCS documents of a
-    language, in expectation, and TRAIN_BYTES of each: a hash of the text picks a share of each language. None without rows."""
+    language, in expectation, and TRAIN_BYTES of each: a hash of text and doc_id picks a share of each language. None without rows."""
     rows = docs.where(F.col("text") != "").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     share = {r.lang: TRAIN_DOCS / r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
     if not share:
         return None
     chosen = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))[F.col("lang")]
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < chosen * 1_000_003)
+    sample = rows.where(F.pmod(F.xxhash64("text", "doc_id"), F.lit(1_000_003)) < chosen * 1_000_003)
     t = grams(sample).toArrow()  # bounded by the sample
     return build(np.array(t["lang"].to_pylist(), object), t["code"].to_numpy(), t["n"].to_numpy()) if t.num_rows else None
 
@@ -194,15 +194,17 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """All columns of `docs`, with lang_pred, score and bits_per_byte of its text (see language()) in place of such columns.
     Each row stands alone; an empty table gives an empty one."""
     names = ["lang_pred", "score", "bits_per_byte"]
-    rows = docs.drop(*names, "__found").withColumn("__found", language(F.col("text"), model, docs.sparkSession))
-    return rows.withColumns({c: F.col("__found")[c] for c in names}).drop("__found")
+    docs, named = set_aside(docs.drop(*names), "__found")
+    rows = docs.withColumn("__found", language(F.col("text"), model, docs.sparkSession))
+    return named(rows.withColumns({c: F.col("__found")[c] for c in names}).drop("__found"))
 
 
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of `docs` whose text is in a learned language: not `und`, and of at most MOST_BITS bits a byte, which text in
     none of them exceeds."""
+    docs, named = set_aside(docs, "__found")
     rows = docs.withColumn("__found", language(F.col("text"), model, docs.sparkSession))
-    return rows.where((F.col("__found.lang_pred") != "und") & (F.col("__found.bits_per_byte") <= MOST_BITS)).drop("__found")
+    return named(rows.where((F.col("__found.lang_pred") != "und") & (F.col("__found.bits_per_byte") <= MOST_BITS)).drop("__found"))
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

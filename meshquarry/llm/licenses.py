@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshquarry.llm.common import documents, lower_az
+from meshquarry.llm.common import documents, lower_az, set_aside
 from meshquarry.llm.license_rules import BASE, Rule, rules
 
 #: Runs of what is no word character: `[^\x00-\x2F\x3A-\x60\x7B-\x7F]` are words, after A-Z are lower-cased.
@@ -81,7 +81,8 @@ def scan(docs: DataFrame, table: list[Rule] | None = None) -> DataFrame:
 
     base = F.concat(*(fixed(*b) for b in BASE))
     gate = sorted({k for r in table for k in r.keywords} | {p.split()[0] for p, _ in BASE})
-    rows = docs.drop("n_words", "base", "detections").withColumn("__padded", F.concat(F.lit(" "), F.btrim(F.regexp_replace(lower_az(F.coalesce(F.col("text"), F.lit(""))), _BETWEEN, " ")), F.lit(" ")))
+    docs, named = set_aside(docs.drop("n_words", "base", "detections"), "__padded", "__words", "__found")
+    rows = docs.withColumn("__padded", F.concat(F.lit(" "), F.btrim(F.regexp_replace(lower_az(F.coalesce(F.col("text"), F.lit(""))), _BETWEEN, " ")), F.lit(" ")))
     rows = rows.withColumn("__words", F.array_intersect(F.split("__padded", " ", -1), F.array(*map(F.lit, gate))))
     gated = F.size("__words") > 0
     rows = rows.withColumns({
@@ -90,7 +91,7 @@ def scan(docs: DataFrame, table: list[Rule] | None = None) -> DataFrame:
         "__found": F.when(gated, _detections(padded, table)).otherwise(F.array().cast(_DETECTION)),
     })
     kept = F.when(F.size("__found") == 0, F.array().cast(_DETECTION)).otherwise(_unsuppressed(F.col("__found"), sorted({r.priority for r in table})))
-    return rows.withColumn("detections", kept).drop("__padded", "__words", "__found")
+    return named(rows.withColumn("detections", kept).drop("__padded", "__words", "__found"))
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meshquarry.llm.common import SPACES, cut, documents, lower_az
+from meshquarry.llm.common import SPACES, cut, documents, lower_az, set_aside
 
 LEAST_CHARS = 10
 #: Lines of one in so many documents are counted to find hot ones; a hot line has a share of HOT_SHARE or more of those, so
@@ -93,16 +93,17 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     document. Columns n_lines, n_dropped, kept_text and keep_runs of the input are replaced; an empty table gives an
     empty one.
     """
+    docs, named = set_aside(docs, "__text", "__row", "__id", "__hash")
     rows, out = _rows(docs), ["n_lines", "n_dropped", "kept_text", "keep_runs"]
     bits = keep_bitmaps(docs.select("doc_id", "text"), least_chars).select(F.col("doc_id").alias("__id"), F.col("row").alias("__hash"), F.col("runs").alias("keep_runs"))
     rows = rows.drop(*out).join(bits, (F.col("doc_id") == F.col("__id")) & (F.col("__row") == F.col("__hash")), "left")
     lines = F.split("__text", "\n", -1)
     dropped = F.aggregate(F.col("keep_runs"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("i")), lambda s, n: F.struct((s["n"] + F.when(s["i"] % 2 == 1, n).otherwise(0)).alias("n"), (s["i"] + 1).alias("i")), lambda s: s["n"])
-    return rows.withColumns({
+    return named(rows.withColumns({
         "n_lines": F.size(lines).cast("long"),
         "n_dropped": F.coalesce(dropped, F.lit(0)).cast("long"),
         "kept_text": F.when(F.col("keep_runs").isNull(), F.col("__text")).otherwise(F.array_join(kept_lines(lines, F.col("keep_runs")), "\n")),
-    }).drop("__text", "__row", "__id", "__hash")
+    }).drop("__text", "__row", "__id", "__hash"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshquarry.llm.common import documents, lower_az, stored
+from meshquarry.llm.common import documents, lower_az, set_aside, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 COUNTS = ["n_email", "n_ip", "n_card", "n_phone"]
@@ -269,10 +269,11 @@ def redact(text: str | None, spans: str | None, removed: list[str] | None) -> st
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """All columns of `docs` with `text` redacted. Texts without a finding, nulls among them, stay as they are."""
+    docs, named = set_aside(docs, "__key", "__row", "__spans", "__removed")
     data = personal_data(docs).where("spans <> ''").select(F.col("row").alias("__row"), "spans", "removed").dropDuplicates(["__row"])
     redacted = F.udf(redact, "string", useArrow=True)
     rows = docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(data.withColumnsRenamed({"spans": "__spans", "removed": "__removed"}), F.col("__key") == F.col("__row"), "left")
-    return rows.withColumn("text", redacted("text", "__spans", "__removed")).drop("__key", "__row", "__spans", "__removed")
+    return named(rows.withColumn("text", redacted("text", "__spans", "__removed")).drop("__key", "__row", "__spans", "__removed"))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

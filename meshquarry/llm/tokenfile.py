@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from meshquarry.llm import mixcoder
 from meshquarry.llm.common import documents, scratch
@@ -61,6 +62,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
     by text), to the folder `path`, which must not exist. doc_id is a whole number. Texts are shuffled once, by ranges of
     doc_id; a task holds TOGETHER blocks and the text it is at. A failed task is done anew whole, and its part is committed
     by Spark's writer."""
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id must be a whole number")
     tokenizer = tokenizer or public_path()
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = range_of(docs, n).cast("int")
