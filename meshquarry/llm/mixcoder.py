@@ -1,14 +1,16 @@
 """Blocks of token ids under an adaptive context-mixing range coder.
 
-A block is coded from a fresh model. An order-2 and an order-1 table predict the next id (the one that last followed the
-same two ids, or the same id), an order-0 count predicts all. How far each prediction is trusted is mixed from how often
-predictions of the same standing came true so far; an id goes through the highest order that predicts it, and through the
-order-0 counts otherwise. These shares drive a range coder with 62-bit state and 31-bit words.
+A block is coded from a fresh model. Order 0 counts every id; orders 1 and 2 hold, for the id before and the two ids before,
+small lists of the ids that followed and how often. The three distributions are mixed: the probability of an id is the sum of
+what each order gives it, times the order's weight, and the weights follow how much each contributed to the ids so far, apart
+for every standing of the two lists (how much they have seen, and whether it was always the same). The mixed
+probabilities drive a range coder with 62-bit state and 31-bit words. Everything is counted in whole numbers, so that the
+decoder comes to the same mixture.
 
 For speed in numpy a block is cut into STREAMS runs that are coded side by side, many blocks at once; each run has its own
 coder, all of a block share its model, and the model learns what was coded at the end of each short segment, in the decoder
 as in the encoder. Memory is bounded by the callers, who give blocks of bounded size, a bounded number at once: a block's
-model takes about a megabyte for 50,000 ids.
+model takes about two megabytes for 50,000 ids.
 """
 
 from __future__ import annotations
@@ -18,63 +20,126 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"CMR1"
+MAGIC = b"CMR2"
 STREAMS = 32
-SHARE_BITS, SLOTS, INCREMENT, LIMIT = 12, 1 << 16, 4, 1 << 18
+#: All weights add up to 1 << MIX_BITS; counts of order 0 to LIMIT at most, which is also the least weight of order 0.
+MIX_BITS, LIMIT, INCREMENT = 30, 1 << 21, 24
+#: Contexts of orders 1 and 2, by hash, and how many ids that followed each holds, how often at most.
+SLOTS, FOLLOW, MOST = (1 << 14, 1 << 16), 4, 255
+_STANDINGS = 64
 _WORD = np.uint64(31)
 _MASK = np.uint64((1 << 31) - 1)
 _LOW = np.uint64(1 << 31)
 
 
 class _Model:
-    """Of several blocks; lane i belongs to block i // STREAMS."""
+    """Of several blocks; lane i belongs to block i // STREAMS. An empty place of a list holds the id `size`, which never occurs,
+    with count 0."""
 
-    def __init__(self, blocks: int, size: int):
-        self.blocks, self.size = blocks, size
+    def __init__(self, blocks: int, size: int, orders: int = 2):
+        self.blocks, self.size, self.orders = blocks, size, orders
         self.block = np.repeat(np.arange(blocks), STREAMS)
         self.freq = np.ones((blocks, size), np.int32)
-        self.one, self.sure1 = np.full(blocks * size, -1, np.int32), np.zeros(blocks * size, np.uint8)
-        self.two, self.sure2 = np.full(blocks * SLOTS, -1, np.int32), np.zeros(blocks * SLOTS, np.uint8)
+        self.ids = [np.full((blocks * n, FOLLOW), size, np.int32) for n in SLOTS]
+        self.seen = [np.zeros((blocks * n, FOLLOW), np.uint8) for n in SLOTS]
         self.cum = np.zeros((blocks, size + 1), np.int32)
-        self.hits = np.ones((blocks * 16, 3), np.int64)
+        self.part = np.full((blocks * _STANDINGS, 3), 256, np.int64)
         self._settle()
 
     def _settle(self) -> None:
-        """What coding reads: cumulative counts, in a number range of its own for each block, and shares of the orders."""
+        """What coding reads: cumulative counts, in a number range of its own for each block, and the orders' weights."""
         self.cum[:, 0] = 0
         np.cumsum(self.freq, axis=1, out=self.cum[:, 1:])
         self.total = self.cum[:, -1].astype(np.int64)
         self.cum += (np.arange(self.blocks, dtype=np.int32) * (2 * LIMIT))[:, None]
         self.flat = self.cum.ravel()
-        h = self.hits.reshape(self.blocks, 4, 4, 3).astype(np.float64)
-        h[:, 0, :, 0] = 0  # no order-2 prediction
-        h[:, :, 0, 1] = 0  # no order-1 prediction
-        spare = (1 << SHARE_BITS) - 3
-        share = (h / h.sum(-1, keepdims=True) * spare).astype(np.int64) + 1
-        share[h == 0] = 0
-        self.share2 = share[..., 0].ravel()
-        self.share12 = share[..., :2].sum(-1).ravel()
-
-    def predict(self, before: np.ndarray, last: np.ndarray, block: np.ndarray) -> tuple:
-        """Slots, predictions and standing for ids that follow (before, last)."""
-        s2 = block * SLOTS + ((before * 40503 + last * 2654435761) >> 7) % SLOTS
-        s1 = block * self.size + last
-        p2, p1 = self.two[s2], self.one[s1]
-        standing = block * 16 + self.sure2[s2].astype(np.int64) * 4 + np.where(p1 == p2, 0, self.sure1[s1])
-        return s2, s1, p2, p1, standing
-
-    def learn(self, x: np.ndarray, block: np.ndarray, s2: np.ndarray, s1: np.ndarray, standing: np.ndarray, kind: np.ndarray) -> None:
+        spare = (1 << MIX_BITS) - LIMIT
+        one, two = (np.minimum(self.part[:, k] * spare // self.part.sum(1), spare) for k in (1, 2))
+        self.weight = np.stack([one, two], 1)
+
+    def lists(self, before: np.ndarray, last: np.ndarray, block: np.ndarray) -> tuple:
+        """Of contexts (before, last): their slots, the ids that followed (order 1, then order 2), how often, and the weights of the
+        orders; a list that is empty has none."""
+        slots = [block * SLOTS[0] + last % SLOTS[0], block * SLOTS[1] + ((before * 40503 + last * 2654435761) >> 7) % SLOTS[1]]
+        ids = np.concatenate([t[s] for t, s in zip(self.ids, slots, strict=True)], axis=-1)
+        seen = np.concatenate([t[s] for t, s in zip(self.seen, slots, strict=True)], axis=-1).astype(np.int32)
+        sums = np.stack([seen[..., :FOLLOW].sum(-1), seen[..., FOLLOW:].sum(-1)], -1)
+        alone = np.stack([seen[..., :FOLLOW].max(-1), seen[..., FOLLOW:].max(-1)], -1) == sums
+        level = np.where(sums == 0, 0, np.where(sums == 1, 1, np.where(sums < 5, 2, 3))) * 2 + alone
+        standing = block * _STANDINGS + level[..., 0] * 8 + level[..., 1]
+        weight = np.where(sums > 0, self.weight[standing], 0)
+        weight[..., self.orders :] = 0
+        return slots, ids, seen, np.maximum(sums, 1), standing, weight
+
+    def span(self, x: np.ndarray, block: np.ndarray, ids: np.ndarray, seen: np.ndarray, sums: np.ndarray, weight: np.ndarray) -> tuple:
+        """Where id x begins and ends in the mixture, and what of its width each order gave."""
+        place = block * (self.size + 1) + x
+        under, total = self.flat[place].astype(np.int64) - block * 2 * LIMIT, self.total[block]
+        rest = (1 << MIX_BITS) - weight.sum(-1)
+        lo = [rest * under // total]
+        hi = [rest * (under + self.flat[np.minimum(place + 1, len(self.flat) - 1)] - self.flat[place]) // total]
+        x = x.astype(np.int32)[..., None]
+        less, same = ids < x, ids == x
+        for k in (0, 1):
+            part = slice(k * FOLLOW, (k + 1) * FOLLOW)
+            a = (seen[..., part] * less[..., part]).sum(-1)
+            b = a + (seen[..., part] * same[..., part]).sum(-1)
+            lo.append(weight[..., k] * a // sums[..., k])
+            hi.append(weight[..., k] * b // sums[..., k])
+        return sum(lo), sum(hi), [q - p for p, q in zip(lo, hi, strict=True)]
+
+    def find(self, v: np.ndarray, block: np.ndarray, ids: np.ndarray, seen: np.ndarray, sums: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The id in whose span v lies. The ids of the lists are tried; between them only order 0 grows, and is searched."""
+        place = block[:, None] * (self.size + 1) + np.minimum(ids + 1, self.size)
+        total, rest = self.total[block], (1 << MIX_BITS) - weight.sum(-1)
+        hi = rest[:, None] * (self.flat[place].astype(np.int64) - (block * 2 * LIMIT)[:, None]) // total[:, None]
+        upto = (ids[:, None, :] <= ids[:, :, None]).astype(np.int32)
+        for k, part in ((0, slice(0, FOLLOW)), (1, slice(FOLLOW, None))):
+            hi += weight[:, k, None] * np.einsum("ijk,ik->ij", upto[..., part], seen[:, part]) // sums[:, k, None]
+        below = hi <= v[:, None]  # listed ids before the one sought
+        base = sum(weight[:, k] * (seen[:, p] * below[:, p]).sum(-1) // sums[:, k] for k, p in ((0, slice(0, FOLLOW)), (1, slice(FOLLOW, None))))
+        want = np.minimum(((v - base + 1) * total - 1) // rest, total - 1) + block * 2 * LIMIT
+        x = np.searchsorted(self.flat, want.astype(np.int32), side="right") - 1 - block * (self.size + 1)
+        # the first listed id whose span ends after v is the one, if it begins at or before v
+        next_ = np.where(below, self.size, ids).min(1)
+        return np.minimum(x, next_)
+
+    def learn(self, x: np.ndarray, block: np.ndarray, slots: list[np.ndarray], standing: np.ndarray, gave: list[np.ndarray]) -> None:
         np.add.at(self.freq.ravel(), block * self.size + x, np.int32(INCREMENT))
-        over = np.flatnonzero(self.freq.sum(axis=1) > LIMIT - 1)
+        over = np.flatnonzero(self.freq.sum(axis=1, dtype=np.int64) > LIMIT - 1)
         while len(over):
             self.freq[over] = (self.freq[over] + 1) // 2
-            over = over[self.freq[over].sum(axis=1) > LIMIT - 1]
-        for table, sure, s in ((self.two, self.sure2, s2), (self.one, self.sure1, s1)):
-            trust = np.where(table[s] == x, np.minimum(sure[s] + 1, 3), 1).astype(np.uint8)
-            table[s], sure[s] = x, trust  # of equal slots the last one stays
-        self.hits += np.bincount(standing * 3 + kind, minlength=self.hits.size).reshape(self.hits.shape)
+            over = over[self.freq[over].sum(axis=1, dtype=np.int64) > LIMIT - 1]
+        share = sum(gave)
+        for k in range(3):
+            self.part[:, k] += np.bincount(standing, (gave[k] * 32 // share), minlength=len(self.part)).astype(np.int64)
+        for table, count, s in zip(self.ids, self.seen, slots, strict=True):
+            self._follow(table, count, s, x)
         self._settle()
 
+    def _follow(self, table: np.ndarray, count: np.ndarray, slot: np.ndarray, x: np.ndarray) -> None:
+        """Counts of listed ids grow; of a slot's new ids the most frequent (of equal ones the smallest) takes the place of the
+        rarest listed one where it has come as often, and wears it down otherwise."""
+        key, n = np.unique(slot * self.size + x, return_counts=True)
+        slot, x = key // self.size, key % self.size
+        at = table[slot] == x[:, None]
+        known = at.any(1)
+        old, which = slot[known], at[known].argmax(1)
+        grown = count[old, which].astype(np.int64) + n[known]
+        count[old, which] = np.minimum(grown, MOST)
+        full = np.unique(old[grown > MOST - 64])
+        count[full] -= count[full] // 2
+        slot, x, n = slot[~known], x[~known], n[~known]
+        order = np.lexsort((x, -n, slot))
+        slot, x, n = slot[order], x[order], n[order]
+        first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if len(slot) else np.zeros(0, np.int64)
+        slot, x, n = slot[first], x[first], n[first]
+        rare = count[slot].argmin(1)
+        held = count[slot, rare].astype(np.int64)
+        takes = held <= n
+        count[slot, rare] = np.where(takes, np.minimum(n, MOST), held - 1)
+        table[slot[takes], rare[takes]] = x[takes]
+
 
 def _segments(steps: int) -> list[tuple[int, int]]:
     out, at = [], 0
@@ -92,8 +157,8 @@ def _layout(sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return starts, lengths
 
 
-def encode(blocks: list[np.ndarray], size: int) -> list[bytes]:
-    """The coded words of each block of ids below `size`, which is at most 2^17."""
+def encode(blocks: list[np.ndarray], size: int, orders: int = 2) -> list[bytes]:
+    """The coded words of each block of ids below `size`, which is at most 2^17; fewer orders than two are there to compare."""
     if not blocks:
         return []
     starts, lengths = _layout([len(b) for b in blocks])
@@ -101,33 +166,21 @@ def encode(blocks: list[np.ndarray], size: int) -> list[bytes]:
     data = np.zeros((lanes, steps + 2), np.int32)  # two zeros stand before each run
     for i, (s, n) in enumerate(zip(starts.tolist(), lengths.tolist(), strict=True)):
         data[i, 2 : 2 + n] = blocks[i // STREAMS][s : s + n]
-    model = _Model(len(blocks), size)
+    model = _Model(len(blocks), size, orders)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 62) - 1, np.uint64)
     out, carry, at = np.zeros((lanes, steps + 3), np.uint32), np.zeros((lanes, steps + 3), np.uint8), np.zeros(lanes, np.int64)
     for a, b in _segments(steps):
         live = np.flatnonzero(lengths > a)
-        x, last, before = (data[live, a + k : b + k].astype(np.int64) for k in (2, 1, 0))
-        block = np.broadcast_to(model.block[live][:, None], x.shape)
-        valid = np.arange(a, b)[None, :] < lengths[live][:, None]
-        s2, s1, p2, p1, standing = model.predict(before, last, block)
-        kind = np.where(x == p2, 0, np.where(x == p1, 1, 2))
-        share2, share12 = model.share2[standing], model.share12[standing]
-        base = np.choose(kind, (np.zeros_like(share2), share2, share12))
-        part = np.choose(kind, (share2, share12 - share2, (1 << SHARE_BITS) - share12))
-        place, literal = block * (size + 1) + x, kind == 2
-        under = model.flat[place].astype(np.int64)
-        base0 = np.where(literal, under - block * 2 * LIMIT, 0)
-        part0 = np.where(literal, model.flat[place + 1] - under, 1)
-        total0 = np.where(literal, model.total[block], 1)
-        columns = [np.ascontiguousarray(c.T).astype(np.uint64) for c in (base, part, base0, part0, total0)]
-        for t in range(b - a):
-            on = live if valid[:, t].all() else live[valid[:, t]]
-            rows = slice(None) if len(on) == len(live) else valid[:, t]
-            c_base, c_part, c_base0, c_part0, c_total0 = (c[t][rows] for c in columns)
-            unit = width[on] >> np.uint64(SHARE_BITS)
-            lo, w = low[on] + unit * c_base, unit * c_part
-            unit = w // c_total0
-            lo, w = lo + unit * c_base0, unit * c_part0
+        valid = np.arange(a, b)[:, None] < lengths[live][None, :]
+        before, last, x = (np.ascontiguousarray(data[live, a + k : b + k].T)[valid].astype(np.int64) for k in range(3))
+        block = np.broadcast_to(model.block[live], valid.shape)[valid]
+        slots, ids, seen, sums, standing, weight = model.lists(before, last, block)
+        base, end, gave = model.span(x, block, ids, seen, sums, weight)
+        ends = np.cumsum(valid.sum(1))
+        for t, (i, j) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)):
+            on = live if j - i == len(live) else live[valid[t]]
+            unit = width[on] >> np.uint64(MIX_BITS)
+            lo, w = low[on] + unit * base[i:j].astype(np.uint64), unit * (end[i:j] - base[i:j]).astype(np.uint64)
             full = np.flatnonzero(w < _LOW)
             lane = on[full]
             out[lane, at[lane]] = (lo[full] >> _WORD) & _MASK
@@ -136,8 +189,7 @@ def encode(blocks: list[np.ndarray], size: int) -> list[bytes]:
             lo[full] = (lo[full] & _MASK) << _WORD
             w[full] <<= _WORD
             low[on], width[on] = lo, w
-        flat = valid.ravel()
-        model.learn(*(np.ascontiguousarray(v).ravel()[flat] for v in (x, block, s2, s1, standing, kind)))
+        model.learn(x, block, slots, standing, gave)
     every = np.arange(lanes)
     for word, over in (((low >> _WORD) & _MASK, low >> np.uint64(62)), (low & _MASK, 0)):
         out[every, at], carry[every, at] = word, over
@@ -152,7 +204,7 @@ def encode(blocks: list[np.ndarray], size: int) -> list[bytes]:
     return [at[i : i + STREAMS].astype("<u4").tobytes() + np.concatenate(words[i : i + STREAMS]).tobytes() for i in range(0, lanes, STREAMS)]
 
 
-def decode(coded: list[bytes], sizes: list[int], size: int) -> list[np.ndarray]:
+def decode(coded: list[bytes], sizes: list[int], size: int, orders: int = 2) -> list[np.ndarray]:
     if not coded:
         return []
     starts, lengths = _layout(sizes)
@@ -165,37 +217,24 @@ def decode(coded: list[bytes], sizes: list[int], size: int) -> list[np.ndarray]:
     code, width = (words[at] << _WORD) | words[np.minimum(at + 1, len(words) - 1)], np.full(lanes, (1 << 62) - 1, np.uint64)
     at = at + 2
     data = np.zeros((lanes, steps + 2), np.int32)
-    model = _Model(len(coded), size)
+    model = _Model(len(coded), size, orders)
     for a, b in _segments(steps):
         live = np.flatnonzero(lengths > a)
-        shape = (b - a, len(live))
-        kept = [np.zeros(shape, np.int64) for _ in range(5)]
         valid = np.arange(a, b)[:, None] < lengths[live][None, :]
-        before, last = data[live, a].astype(np.int64), data[live, a + 1].astype(np.int64)
+        kept = []
         for t in range(b - a):
-            whole = valid[t].all()
-            rows = slice(None) if whole else np.flatnonzero(valid[t])
+            rows = slice(None) if valid[t].all() else np.flatnonzero(valid[t])
             on = live[rows]
+            before, last = (data[on, a + t + k].astype(np.int64) for k in range(2))
             block = model.block[on]
-            s2, s1, p2, p1, standing = model.predict(before[rows], last[rows], block)
-            share2, share12 = model.share2[standing], model.share12[standing]
-            w, c, top = width[on], code[on], 1 << SHARE_BITS
-            unit = w >> np.uint64(SHARE_BITS)
-            v = np.minimum(c // unit, np.uint64(top - 1)).astype(np.int64)
-            first, literal = v < share2, v >= share12
-            base = np.where(literal, share12, np.where(first, 0, share2))
-            part = np.where(literal, top, np.where(first, share2, share12)) - base
-            c, w = c - unit * base.astype(np.uint64), unit * part.astype(np.uint64)
-            x = np.where(first, p2, p1).astype(np.int64)
-            if len(lit := np.flatnonzero(literal)):
-                own = block[lit]
-                unit = w[lit] // model.total[own].astype(np.uint64)
-                v = np.minimum((c[lit] // unit).astype(np.int64), model.total[own] - 1) + own * 2 * LIMIT
-                place = np.searchsorted(model.flat, v.astype(np.int32), side="right") - 1  # of the table's type: else it is copied
-                lower = model.flat[place].astype(np.int64)
-                x[lit] = place - own * (size + 1)
-                c[lit] -= unit * (lower - own * 2 * LIMIT).astype(np.uint64)
-                w[lit] = unit * (model.flat[place + 1] - lower).astype(np.uint64)
+            slots, ids, seen, sums, standing, weight = model.lists(before, last, block)
+            w, c = width[on], code[on]
+            unit = w >> np.uint64(MIX_BITS)
+            v = np.minimum(c // unit, np.uint64((1 << MIX_BITS) - 1)).astype(np.int64)
+            x = model.find(v, block, ids, seen, sums, weight)
+            base, end, gave = model.span(x, block, ids, seen, sums, weight)
+            kept.append((x, block, *slots, standing, *gave))
+            c, w = c - unit * base.astype(np.uint64), unit * (end - base).astype(np.uint64)
             full = np.flatnonzero(w < _LOW)
             lane = on[full]
             c[full] = (c[full] << _WORD) | words[np.minimum(at[lane], len(words) - 1)]
@@ -203,12 +242,8 @@ def decode(coded: list[bytes], sizes: list[int], size: int) -> list[np.ndarray]:
             at[lane] += 1
             code[on], width[on] = c, w
             data[on, a + t + 2] = x
-            for k, v in zip(kept, (s2, s1, standing, np.where(first, 0, np.where(literal, 2, 1)), block), strict=True):
-                k[t, rows] = v
-            before, last = last, data[live, a + t + 2].astype(np.int64)
-        flat = np.ascontiguousarray(valid.T).ravel()
-        s2, s1, standing, kind, block = (np.ascontiguousarray(k.T).ravel()[flat] for k in kept)
-        model.learn(np.ascontiguousarray(data[live, a + 2 : b + 2]).ravel()[flat].astype(np.int64), block, s2, s1, standing, kind)
+        x, block, s1, s2, standing, *gave = (np.concatenate(k) for k in zip(*kept, strict=True))
+        model.learn(x, block, [s1, s2], standing, gave)
     return [np.concatenate([data[i + k, 2 : 2 + lengths[i + k]] for k in range(STREAMS)]) for i in range(0, lanes, STREAMS)]
 
 

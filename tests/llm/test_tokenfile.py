@@ -35,6 +35,29 @@ def test_higher_orders_pay(monkeypatch):
     assert with_orders < 0.6 * len(M.encode([np.array(ids)], 500)[0])
 
 
+def test_mixing_beats_order_0():
+    """On words of a few syllables, by a twentieth at least."""
+    enc = encoder(public_path())
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(["the", "an", "ing", "re", "tion", "ed"], rng.integers(1, 4))) for _ in range(400)]
+    text = " ".join(words[min(399, int(rng.exponential(60)))] for _ in range(40_000))
+    ids = np.frombuffer(enc.encode([text])[0], enc.kind).astype(np.int64)[:65_536]
+    size = {k: len(M.encode([ids], enc.size, k)[0]) for k in (0, 1, 2)}
+    assert size[1] < 0.95 * size[0] and size[2] < 0.95 * size[0]
+    for k in (0, 1, 2):
+        assert (M.decode(M.encode([ids[:5000]], enc.size, k), [5000], enc.size, k)[0] == ids[:5000]).all()
+
+
+def test_lists_of_followers_that_change(monkeypatch):
+    """Counts that reach their limit, slots that two contexts share, and order 0 at its limit."""
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(M, "SLOTS", (8, 16))
+    monkeypatch.setattr(M, "LIMIT", 1 << 13)
+    for n in (40, 5_000, 30_000):
+        ids = np.where(rng.random(n) < 0.7, np.arange(n) % 5, rng.integers(0, 300, n))
+        assert (M.decode(M.encode([ids, ids[: n // 2]], 300), [n, n // 2], 300)[0] == ids).all()
+
+
 def test_damage_is_noticed():
     ids = np.arange(300) % 17
     block = M.frame(M.encode([ids], 20)[0], ids, b"index")
