@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshquarry.operators.relational import running
+from meshquarry.storage import cut
 
 
 def contingency(df: DataFrame, truth: str, predicted: str, background: int = 0) -> DataFrame:
@@ -64,10 +66,37 @@ def quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:
     return by.agg(F.array(*out).alias("quantiles"))
 
 
-def summary(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Count, mean, population deviation and exact percentiles (linear between values)."""
-    q = lambda p: F.percentile(value, F.lit(p))
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"), q(0.01).alias("p01"), q(0.1).alias("p10"), q(0.5).alias("p50"), q(0.9).alias("p90"), q(0.99).alias("p99"))
+def quantiles_by(df: DataFrame, by: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """A row a group with exact percentiles (linear between values) under the names of `shares`. As quantiles(): values are counted
+    and the counts summed up by ranges of group and value, so that a large group is many tasks' work and no state holds its values.
+    Nulls are left out, a group of nulls alone too; a null in `by` is a group."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    rows = cut(counts.repartitionByRange(n, *by, "__v").withColumn("__range", F.spark_partition_id()))
+    sums = rows.groupBy(*by, "__range").agg(F.sum("__n").alias("__sum"))
+    before = F.sum("__sum").over(W.partitionBy(*by).orderBy("__range")) - F.col("__sum")
+    start = sums.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("__range").alias("__at"), before.alias("__before"), F.sum("__sum").over(W.partitionBy(*by)).alias("__total"))
+    own = rows.withColumn("__upto", F.sum("__n").over(W.partitionBy("__range", *by).orderBy("__v")))
+    same = [own[c].eqNullSafe(start[f"__{c}"]) for c in by]
+    own = own.join(start, [own["__range"] == start["__at"], *same]).withColumn("__upto", F.col("__upto") + F.col("__before"))
+    out = []
+    for name, p in shares.items():
+        at = (F.col("__total") - 1) * p
+        lo, hi = (F.min(F.when(F.col("__upto") > k, F.col("__v"))) for k in (F.floor(at), F.ceil(at)))
+        out.append((lo + (hi - lo) * (F.max(at) - F.floor(F.max(at)))).alias(name))
+    return own.groupBy(*by).agg(*out)
+
+
+def with_quantiles(figures: DataFrame, df: DataFrame, by: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """The groups' figures with their percentiles, null where a group has no value."""
+    q = quantiles_by(df, by, value, shares).withColumnsRenamed({c: f"__{c}" for c in by})
+    return figures.join(q, [figures[c].eqNullSafe(q[f"__{c}"]) for c in by], "left").drop(*(f"__{c}" for c in by))
+
+
+def summary(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """Count, mean, population deviation and exact percentiles (linear between values), a row a group."""
+    figures = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"))
+    return with_quantiles(figures, df, by, value, {"p01": 0.01, "p10": 0.1, "p50": 0.5, "p90": 0.9, "p99": 0.99})
 
 
 def saturation(df: DataFrame, value: str, by: tuple[str, ...], levels: tuple[float, ...] = (0.5, 0.9)) -> DataFrame:
@@ -107,8 +136,9 @@ def pooled(df: DataFrame, by: list[str], mean: str, n: str) -> DataFrame:
 
 
 def item_accuracy(df: DataFrame, item: str, truth: str, probability: str) -> DataFrame:
-    """(truth, items, mean, accuracy, margin): an item's probabilities are averaged first, so that each counts once."""
-    by = df.groupBy(item, truth).agg(F.avg(probability).alias("p"))
+    """(truth, items, mean, accuracy, margin): an item's probabilities are averaged first, so that each counts once;
+    to 9 digits, so that the order of a sum doesn't decide at a half."""
+    by = df.groupBy(item, truth).agg(F.round(F.avg(probability), 9).alias("p"))
     right = ((F.col("p") >= 0.5) == F.col(truth)).cast("double")
     return by.groupBy(truth).agg(F.count("*").alias("items"), F.avg("p").alias("mean"), F.avg(right).alias("accuracy"), F.avg(F.abs(F.col("p") - 0.5)).alias("margin"))
 

@@ -54,11 +54,8 @@ def resolve_links(links: DataFrame, pre: int = 15, post: int = 16) -> DataFrame:
     """Links (connector, node, relation) to one row a connector: distinct nodes on either side, and whether both have any."""
     return (
         links.groupBy("connector")
-        .agg(
-            F.array_sort(F.collect_set(F.when(F.col("relation") == pre, F.col("node")))).alias("pre_nodes"),
-            F.array_sort(F.collect_set(F.when(F.col("relation") == post, F.col("node")))).alias("post_nodes"),
-        )
-        .withColumn("resolved", (F.size("pre_nodes") > 0) & (F.size("post_nodes") > 0))
+        .agg(*(F.count_distinct(F.when(F.col("relation") == r, F.col("node"))).alias(c) for c, r in (("n_pre", pre), ("n_post", post))))
+        .withColumn("resolved", (F.col("n_pre") > 0) & (F.col("n_post") > 0))
     )
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from meshquarry.functions import boxes
 from meshquarry.functions.grid import morton, row_major, tile_of
+from meshquarry.operators.metrics import with_quantiles
 from meshquarry.storage import cut
 
 
@@ -178,8 +179,9 @@ def contacts(voxels: DataFrame, key: str, value: str) -> DataFrame:
 
 def contact_figures(rows: DataFrame, *by: str) -> DataFrame:
     """(by, n, mean, low, high, percentiles) of the values of contacts."""
-    q = {f"p{t}": F.percentile("value", F.lit(p)) for t, p in (("01", 0.01), ("05", 0.05), ("50", 0.5), ("95", 0.95), ("99", 0.99))}
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"), *(v.alias(c) for c, v in q.items()))
+    rows = cut(rows)
+    figures = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return with_quantiles(figures, rows, by, "value", {"p01": 0.01, "p05": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 def with_halo(grid: DataFrame, shape: tuple[int, int, int], size: tuple[int, int, int], halo: tuple[int, int, int]) -> DataFrame:

@@ -46,8 +46,7 @@ def connection_table(spark, sf_dir):
 
 @query(f"WITH {bind.LINKS} SELECT connector, count(DISTINCT node) FILTER (WHERE relation = 15) AS n_pre, count(DISTINCT node) FILTER (WHERE relation = 16) AS n_post, n_pre > 0 AND n_post > 0 AS resolved FROM links GROUP BY connector")
 def link_resolution(spark, sf_dir):
-    rows = relational.resolve_links(bind.links(spark, sf_dir))
-    return rows.select("connector", F.size("pre_nodes").cast("long").alias("n_pre"), F.size("post_nodes").cast("long").alias("n_post"), "resolved")
+    return relational.resolve_links(bind.links(spark, sf_dir))
 
 
 @query(f"WITH {bind.LINKS}, d AS (SELECT DISTINCT * FROM links) SELECT a.node AS pre, b.node AS post, count(*) AS n FROM d a JOIN d b ON a.connector = b.connector AND a.relation = 15 AND b.relation = 16 GROUP BY 1, 2")
@@ -246,27 +245,33 @@ def merge_pairs(spark, sf_dir):
     return metrics.merge_pairs(bind.sites(spark, sf_dir).where("pre IS NOT NULL"), "post", "pre")
 
 
-SHAPE, TILE = (100, 230, 310), (32, 64, 64)
-_GRID = """grid AS (
-  SELECT tile, iz, iy, ix, iz * 32 AS z0, least((iz + 1) * 32, 100) AS z1, iy * 64 AS y0, least((iy + 1) * 64, 230) AS y1, ix * 64 AS x0, least((ix + 1) * 64, 310) AS x1
-  FROM (SELECT tile, tile // 20 AS iz, tile // 5 % 4 AS iy, tile % 5 AS ix FROM range(80) t(tile))
+TILE = (32, 64, 64)
+_GRID = f"""{bind.PARTS}, shape AS (SELECT max(z1) AS nz, max(y1) AS ny, max(x1) AS nx, (max(z1) + 31) // 32 AS tz, (max(y1) + 63) // 64 AS ty, (max(x1) + 63) // 64 AS tx FROM parts),
+grid AS (
+  SELECT tile, iz, iy, ix, iz * 32 AS z0, least((iz + 1) * 32, nz) AS z1, iy * 64 AS y0, least((iy + 1) * 64, ny) AS y1, ix * 64 AS x0, least((ix + 1) * 64, nx) AS x1, nz, ny, nx, tz, ty, tx
+  FROM (SELECT tile, tile // (ty * tx) AS iz, tile // tx % ty AS iy, tile % tx AS ix, shape.* FROM (SELECT unnest(range(tz * ty * tx)) AS tile FROM shape), shape)
 )"""
 
 
+def part_shape(spark: SparkSession, sf_dir: str) -> tuple[int, int, int]:
+    """The extent that the parts' boxes need, three numbers of one aggregate."""
+    return tuple(int(v or 0) for v in bind.parts(spark, sf_dir).agg(F.max("z1"), F.max("y1"), F.max("x1")).first())
+
+
 @query(f"""WITH {_GRID} SELECT tile, iz, iy, ix, z0, z1, y0, y1, x0, x1, (z1 - z0) * (y1 - y0) * (x1 - x0) AS voxels,
   list_sum([((iz >> b) & 1) * (1 << (3 * b)) + ((iy >> b) & 1) * (1 << (3 * b + 1)) + ((ix >> b) & 1) * (1 << (3 * b + 2)) FOR b IN range(8)])::BIGINT AS morton FROM grid""")
 def tile_grid(spark, sf_dir):
-    return spatial.tiles(spark, SHAPE, TILE)
+    return spatial.tiles(spark, part_shape(spark, sf_dir), TILE)
 
 
 @query(f"WITH {_GRID} SELECT a.tile, b.tile AS neighbour FROM grid a JOIN grid b ON a.tile <> b.tile AND abs(a.iz - b.iz) <= 1 AND abs(a.iy - b.iy) <= 1 AND abs(a.ix - b.ix) <= 1")
 def tile_neighbours(spark, sf_dir):
-    return spatial.neighbours(spatial.tiles(spark, SHAPE, TILE))
+    return spatial.neighbours(spatial.tiles(spark, part_shape(spark, sf_dir), TILE))
 
 
-@query(f"WITH {_GRID}, {bind.PARTS} SELECT p.id, g.iz, g.iy, g.ix FROM parts p JOIN grid g ON p.z0 < g.iz * 32 + 32 AND g.iz * 32 < p.z1 AND p.y0 < g.iy * 64 + 64 AND g.iy * 64 < p.y1 AND p.x0 < g.ix * 64 + 64 AND g.ix * 64 < p.x1")
+@query(f"WITH {_GRID} SELECT p.id, g.iz, g.iy, g.ix FROM parts p JOIN grid g ON p.z0 < g.iz * 32 + 32 AND g.iz * 32 < p.z1 AND p.y0 < g.iy * 64 + 64 AND g.iy * 64 < p.y1 AND p.x0 < g.ix * 64 + 64 AND g.ix * 64 < p.x1")
 def box_tiles(spark, sf_dir):
-    return spatial.covered_tiles(bind.parts(spark, sf_dir), TILE).where("iz < 4 AND iy < 4 AND ix < 5").select("id", "iz", "iy", "ix")
+    return spatial.covered_tiles(bind.parts(spark, sf_dir), TILE).select("id", "iz", "iy", "ix")
 
 
 _PAIR = "least(a.z1, b.z1) - greatest(a.z0, b.z0)", "least(a.y1, b.y1) - greatest(a.y0, b.y0)", "least(a.x1, b.x1) - greatest(a.x0, b.x0)"
@@ -283,12 +288,12 @@ def split_buffer(spark, sf_dir):
     return spatial.buffer_violations(bind.parts(spark, sf_dir), TILE, 5)
 
 
-_STATUS = f"WITH {_GRID}, seen AS (SELECT o_custkey % 53 AS tile, max(o_orderstatus) AS status FROM orders GROUP BY 1), m AS (SELECT g.*, (z1 - z0) * (y1 - y0) * (x1 - x0) AS voxels, coalesce(status, 'absent') AS status FROM grid g LEFT JOIN seen USING (tile))"
+_STATUS = f"WITH {_GRID}, seen AS (SELECT o_custkey % 53 AS tile, max(o_orderstatus) AS status FROM orders GROUP BY 1), m AS (SELECT g.tile, (z1 - z0) * (y1 - y0) * (x1 - x0) AS voxels, coalesce(status, 'absent') AS status FROM grid g LEFT JOIN seen USING (tile))"
 
 
 def _status(spark, sf_dir):
     seen = bind.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 53).alias("tile"), "o_orderstatus").groupBy("tile").agg(F.max("o_orderstatus").alias("status"))
-    return spatial.missing_tiles(spatial.tiles(spark, SHAPE, TILE), seen)
+    return spatial.missing_tiles(spatial.tiles(spark, part_shape(spark, sf_dir), TILE), seen)
 
 
 @query(f"{_STATUS} SELECT tile, status FROM m")
@@ -328,7 +333,8 @@ def block_smoothing(spark, sf_dir):
     return spatial.unrolled(rows, "vec_id", "embedding", (4, 4, 4)).select(F.col("vec_id").alias("block"), "z", "y", "x", F.round("value", 6).alias("value"))
 
 
-@query()
+@query("""WITH c AS (SELECT o_custkey, least(2 * o_custkey, min(2 * o_orderkey + 1)) AS root FROM orders GROUP BY 1)
+SELECT 2 * o_custkey AS node, root FROM c UNION ALL SELECT 2 * o_orderkey + 1, root FROM orders JOIN c USING (o_custkey)""")
 def order_components(spark, sf_dir):
     """Orders and customers linked by who ordered, over the whole table."""
     edges_ = bind.table(spark, sf_dir, "orders").select((F.col("o_custkey") * 2).alias("a"), (F.col("o_orderkey") * 2 + 1).alias("b"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from meshquarry.functions import boxes, keys
 from meshquarry.operators import builds, gates, graph, metrics, ranking, relational, rules, spatial
 from meshquarry.plans import bind
-from meshquarry.plans.catalog import SHAPE, TILE, query
+from meshquarry.plans.catalog import _GRID, TILE, part_shape, query
 
 _KEY = "l_orderkey, l_linenumber"
 _STATUS_OF = {1: "clean", 2: "Uncertain ", 3: "ok", 4: "odd", 5: "partial", 6: "resolved"}
@@ -242,14 +242,14 @@ def unblinded_decisions(spark, sf_dir):
     return gates.unblinded(sealed, told, "k", ["z"])
 
 
-_TWO = "a AS (SELECT DISTINCT l_suppkey * 2 + CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END AS obj, l_orderkey AS m FROM lineitem WHERE l_linenumber <= 2), b AS (SELECT DISTINCT l_suppkey * 2 + 1000000 + CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE 0 END AS obj, l_orderkey AS m FROM lineitem WHERE l_linenumber <= 2)"
+_TWO = "a AS (SELECT DISTINCT l_suppkey * 2 + CASE WHEN l_linenumber <= 3 THEN 1 ELSE 0 END AS obj, l_orderkey AS m FROM lineitem), b AS (SELECT DISTINCT l_suppkey * 2 + 1000000 + CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE 0 END AS obj, l_orderkey AS m FROM lineitem)"
 _MATCH = f"""WITH {_TWO}, sa AS (SELECT obj, count(*) AS n FROM a GROUP BY 1), sb AS (SELECT obj, count(*) AS n FROM b GROUP BY 1), o AS (SELECT a.obj AS x, b.obj AS y, count(*) AS n FROM a JOIN b USING (m) GROUP BY 1, 2),
 m AS (SELECT x, y, round(o.n / (sa.n + sb.n - o.n), 6) AS overlap FROM o JOIN sa ON sa.obj = x JOIN sb ON sb.obj = y WHERE o.n / (sa.n + sb.n - o.n) >= 0.25)"""
 
 
 def _members(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    rows = bind.table(spark, sf_dir, "lineitem").where("l_linenumber <= 2")
-    a = rows.select((F.col("l_suppkey") * 2 + F.when(F.col("l_linenumber") == 1, 1).otherwise(0)).alias("object"), F.col("l_orderkey").alias("member"))
+    rows = bind.table(spark, sf_dir, "lineitem")
+    a = rows.select((F.col("l_suppkey") * 2 + F.when(F.col("l_linenumber") <= 3, 1).otherwise(0)).alias("object"), F.col("l_orderkey").alias("member"))
     b = rows.select((F.col("l_suppkey") * 2 + 1_000_000 + F.when(F.col("l_orderkey") % 3 == 0, 1).otherwise(0)).alias("object"), F.col("l_orderkey").alias("member"))
     return a, b
 
@@ -402,18 +402,18 @@ def exposure_by_source(spark, sf_dir):
     return rows.groupBy("source").agg(*(F.count_if(F.col("decision") == k).alias(k) for k in kinds))
 
 
-@query("""WITH r AS (SELECT l_orderkey, l_quantity / 50 AS p, l_returnflag = 'R' AS pos FROM lineitem), g AS (SELECT l_orderkey, pos, avg(p) AS p FROM r GROUP BY 1, 2)
+@query("""WITH r AS (SELECT l_orderkey, l_quantity / 50 AS p, l_returnflag = 'R' AS pos FROM lineitem), g AS (SELECT l_orderkey, pos, round(avg(p), 9) AS p FROM r GROUP BY 1, 2)
 SELECT pos, count(*) AS items, round(avg(p), 9) AS mean, round(avg(CAST((p >= 0.5) = pos AS INTEGER)), 9) AS accuracy, round(avg(abs(p - 0.5)), 9) AS margin FROM g GROUP BY 1""")
 def item_level_accuracy(spark, sf_dir):
     rows = bind.table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_quantity") / 50).alias("p"), (F.col("l_returnflag") == "R").alias("pos"))
     return rounded(metrics.item_accuracy(rows, "l_orderkey", "pos", "p"), "mean", "accuracy", "margin")
 
 
-@query("""WITH g AS (SELECT iz, iy, ix, iz * 20 + iy * 5 + ix AS tile, iz * 32 AS z0, least(iz * 32 + 32, 100) AS z1, iy * 64 AS y0, least(iy * 64 + 64, 230) AS y1, ix * 64 AS x0, least(ix * 64 + 64, 310) AS x1 FROM range(4) a(iz), range(4) b(iy), range(5) c(ix))
-SELECT tile, greatest(0, z0 - 4) AS rz0, least(100, z1 + 4) AS rz1, greatest(0, y0 - 8) AS ry0, least(230, y1 + 8) AS ry1, greatest(0, x0 - 8) AS rx0, least(310, x1 + 8) AS rx1,
- (iz > 0)::INTEGER + (iz < 3)::INTEGER + (iy > 0)::INTEGER + (iy < 3)::INTEGER + (ix > 0)::INTEGER + (ix < 4)::INTEGER AS faces FROM g""")
+@query(f"""WITH {_GRID} SELECT tile, greatest(0, z0 - 4) AS rz0, least(nz, z1 + 4) AS rz1, greatest(0, y0 - 8) AS ry0, least(ny, y1 + 8) AS ry1, greatest(0, x0 - 8) AS rx0, least(nx, x1 + 8) AS rx1,
+ (iz > 0)::INTEGER + (iz < tz - 1)::INTEGER + (iy > 0)::INTEGER + (iy < ty - 1)::INTEGER + (ix > 0)::INTEGER + (ix < tx - 1)::INTEGER AS faces FROM grid""")
 def halo_chunks(spark, sf_dir):
-    return spatial.with_halo(spatial.tiles(spark, SHAPE, TILE), SHAPE, TILE, (4, 8, 8)).select("tile", *(f"r{x}{k}" for x in boxes.AXES for k in (0, 1)), "faces")
+    shape = part_shape(spark, sf_dir)
+    return spatial.with_halo(spatial.tiles(spark, shape, TILE), shape, TILE, (4, 8, 8)).select("tile", *(f"r{x}{k}" for x in boxes.AXES for k in (0, 1)), "faces")
 
 
 @query(f"""WITH {bind.VOXELS}, b AS (SELECT block, least(255, CAST(floor(abs(value) * 256) AS BIGINT)) AS bin FROM voxels), c AS (SELECT block, bin, count(*) AS n FROM b GROUP BY 1, 2)

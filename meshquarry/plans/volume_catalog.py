@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshquarry.operators import blocks as B
-from meshquarry.operators import distance, graph, segments
+from meshquarry.operators import distance, graph, regression, seams, segments
 from meshquarry.plans.bind import table
 from meshquarry.plans.catalog import query
 from meshquarry.storage import stored
@@ -187,3 +187,85 @@ def tree_depths(spark, sf_dir):
 SELECT tree, node, round(max(length) / min(length), 9) AS ratio FROM e GROUP BY 1, 2 HAVING count(*) = 3 AND min(length) > 0 AND max(length) / min(length) >= 4""")
 def fork_ratios(spark, sf_dir):
     return graph.fork_ratios(deep_edges(deep_trees(spark, sf_dir)), 4.0).withColumn("ratio", F.round("ratio", 9))
+
+
+# Tiles of 20 layers, each labelled apart with 4 more on either side, and the seams between them.
+THICK, HALO = 20, 4
+_TILES = f"""{VOLUME}, tops AS (SELECT max(z) // 20 AS last FROM vol), tv AS (SELECT t, id, z, y, x, label FROM vol, (SELECT unnest(range(last + 1)) AS t FROM tops) WHERE label <> 0 AND z >= t * 20 - 4 AND z < t * 20 + 24),
+step AS (SELECT unnest([1, -1, 0, 0, 0, 0]) AS dz, unnest([0, 0, 1, -1, 0, 0]) AS dy, unnest([0, 0, 0, 0, 1, -1]) AS dx),
+link AS (SELECT a.t, a.id AS a, b.id AS b FROM (SELECT t, id, label, z + dz AS z, y + dy AS y, x + dx AS x FROM tv, step) a JOIN tv b USING (t, z, y, x, label)),
+reach(t, node, other) AS (SELECT t, id, id FROM tv UNION SELECT r.t, r.node, l.b FROM reach r JOIN link l ON r.t = l.t AND r.other = l.a),
+part AS (SELECT t, node AS id, min(other) + t * 512 + 257 AS label FROM reach GROUP BY 1, 2), lab AS (SELECT tv.t, z, y, x, part.label FROM tv JOIN part USING (t, id)),
+va AS (SELECT label, z, y, x FROM lab, tops WHERE t < last AND z >= t * 20 + 16), vb AS (SELECT label, z, y, x FROM lab WHERE t > 0 AND z < t * 20 + 4)"""
+
+
+def _face_sql(name: str, voxels: str) -> str:
+    """The face objects of one side, with their axes by the same closed form."""
+    cov = ", ".join(f"(sum({a} * {b}) * count(*) - sum({a}) * sum({b})) / (count(*) * count(*)) AS {a}{b}" for a, b in ("zz", "zy", "zx", "yy", "yx", "xx"))
+    row = {"z": ("zz", "zy", "zx"), "y": ("zy", "yy", "yx"), "x": ("zx", "yx", "xx")}
+    less = lambda k, i, j: f"({row[i]['zyx'.index(j)]}{' - ' + k if i == j else ''})"
+    product = {f"{i}{j}": " + ".join(f"{less('mid', i, k)} * {less('low', k, j)}" for k in "zyx") for i in "zyx" for j in "zyx"}
+    norm = {j: " + ".join(f"p{i}{j} * p{i}{j}" for i in "zyx") for j in "zyx"}
+    pick = lambda i: f"CASE longest WHEN nz THEN p{i}z WHEN ny THEN p{i}y ELSE p{i}x END / sqrt(longest)"
+    return f"""{name}0 AS (SELECT label, count(*) AS n, {", ".join(f"{f}({a}) AS {a}{k}" for a in "zyx" for f, k in (("min", 0), ("max", 1)))}, {", ".join(f"sum({a}) / count(*) AS c{a}" for a in "zyx")}, {cov} FROM {voxels} GROUP BY 1),
+{name}1 AS (SELECT *, (zz + yy + xx) / 3 AS m, sqrt(((zz - m) * (zz - m) + (yy - m) * (yy - m) + (xx - m) * (xx - m) + 2 * (zy * zy + zx * zx + yx * yx)) / 6) AS p FROM {name}0),
+{name}2 AS (SELECT *, CASE WHEN p > 0 THEN acos(greatest(-1, least(1, ((zz - m) / p * ((yy - m) / p * (xx - m) / p - yx / p * yx / p) - zy / p * (zy / p * (xx - m) / p - yx / p * zx / p) + zx / p * (zy / p * yx / p - (yy - m) / p * zx / p)) / 2))) / 3 END AS angle FROM {name}1),
+{name}3 AS (SELECT *, m + 2 * p * cos(angle) AS high, m + 2 * p * cos(angle + 2 * pi() / 3) AS low, 3 * m - high - low AS mid FROM {name}2),
+{name}4 AS (SELECT *, {", ".join(f"{v} AS p{k}" for k, v in product.items())} FROM {name}3),
+{name}5 AS (SELECT *, {", ".join(f"{v} AS n{j}" for j, v in norm.items())}, greatest(nz, ny, nx) AS longest FROM {name}4),
+{name} AS (SELECT label, n, {", ".join(f"{a}{k}" for a in "zyx" for k in (0, 1))}, cz, cy, cx, {", ".join(f"CASE WHEN high - mid > 1e-6 * 3 * m THEN {pick(i)} END AS a{i}" for i in "zyx")} FROM {name}5)"""
+
+
+_SEAMS = f"""WITH RECURSIVE {_TILES}, {_face_sql("fa", "va")}, {_face_sql("fb", "vb")},
+both_ AS (SELECT va.label AS a_id, vb.label AS b_id, count(*) AS shared FROM va JOIN vb USING (z, y, x) GROUP BY 1, 2),
+q AS (SELECT a.label AS a_id, b.label AS b_id, coalesce(s.shared, 0) AS shared, round(coalesce(s.shared, 0) / least(a.n, b.n), 9) AS overlap, round(least(a.n, b.n) / greatest(a.n, b.n), 9) AS ratio,
+  {" * ".join(f"greatest(0, least(a.{x}1, b.{x}1) - greatest(a.{x}0, b.{x}0) + 1)" for x in "zyx")} AS common, {" * ".join(f"(a.{x}1 - a.{x}0 + 1)" for x in "zyx")} AS boxa, {" * ".join(f"(b.{x}1 - b.{x}0 + 1)" for x in "zyx")} AS boxb,
+  round(common / (boxa + boxb - common), 9) AS iou, round(sqrt((a.cz - b.cz) ** 2 + (a.cy - b.cy) ** 2 + (a.cx - b.cx) ** 2), 9) AS distance, round(coalesce(least(1, abs(a.az * b.az + a.ay * b.ay + a.ax * b.ax)), 0), 9) AS direction
+  FROM fa a JOIN fb b ON greatest({", ".join(f"b.{x}0 - a.{x}1 - 1, a.{x}0 - b.{x}1 - 1" for x in "zyx")}) < 4 LEFT JOIN both_ s ON s.a_id = a.label AND s.b_id = b.label),
+u AS (SELECT *, round(0.5 * ratio + 0.5 * iou, 9) AS morph, round(least(1, greatest(0, 0.3 * overlap + 0.25 * direction + 0.25 * morph + 0.2 * exp(-distance / 8.0))), 9) AS confidence FROM q),
+r AS (SELECT a_id, b_id, shared, overlap, ratio, iou, distance, direction, confidence, CASE WHEN confidence >= 0.75 AND overlap >= 0.2 AND morph >= 0.5 THEN 'MATCH' WHEN confidence >= 0.6 AND overlap >= 0.35 AND ratio < 0.4 THEN 'MERGE'
+  WHEN overlap < 0.05 AND distance < 4 AND direction < 0.3 THEN 'SPLIT' WHEN confidence < 0.35 THEN 'HOLD' ELSE 'REVIEW' END AS action FROM u)"""
+
+
+def labelled_tiles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Voxels (label, z, y, x) within HALO of the seams, as the tile before each labels them, and the one after. Labels are components
+    of a tile and differ over all tiles."""
+    blocks, grid = volume(spark, sf_dir)
+    last = (grid.shape[0] - 1) // THICK
+    z, own = F.col("z"), F.expr(f"z div {THICK}")
+    tile = F.explode(F.filter(F.array(own - 1, own, own + 1), lambda t: (t >= 0) & (t <= last) & (z >= t * THICK - HALO) & (z < (t + 1) * THICK + HALO)))
+    voxels = B.as_voxels(blocks, grid, "label").select(tile.alias("volume"), "z", "y", "x", "label").withColumn("z", (z - F.col("volume") * THICK + HALO).cast("int"))
+    tiles = B.Grid((THICK + 2 * HALO, *grid.shape[1:]), (4, 4, 4))  # whole blocks, whatever part of a tile is there
+    labelled = segments.components(B.as_blocks(voxels, tiles, "label"), tiles, "label", dense=False)
+    rows = B.as_voxels(labelled, tiles, "component").where("component <> 0").select("volume", (z + F.col("volume") * THICK - HALO).alias("z"), "y", "x", F.col("component").alias("label"))
+    rows = stored(rows, "tiles")
+    start = F.col("volume") * THICK
+    before = seams.slab(rows, "z", start + THICK, HALO).where(F.col("volume") < last)
+    return before.drop("volume"), seams.slab(rows, "z", start, HALO).where(F.col("volume") > 0).drop("volume")
+
+
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seams.matches(*labelled_tiles(spark, sf_dir), HALO, (8, 8, 8))
+
+
+@query(f"{_SEAMS} SELECT * FROM r")
+def seam_matches(spark, sf_dir):
+    return _matches(spark, sf_dir)
+
+
+@query(f"""{_SEAMS}, e AS (SELECT *, ratio * (0.5 + 0.5 * direction) AS shape FROM r WHERE action = 'REVIEW'),
+s AS (SELECT *, CASE WHEN distance <= 5 THEN least(1, 1 - distance / 5) ELSE 0 END + CASE WHEN direction > 0.7 THEN direction ELSE 0 END + CASE WHEN ratio > 0.7 THEN ratio ELSE 0 END + CASE WHEN shape > 0.6 THEN shape ELSE 0 END + CASE WHEN iou > 0.55 THEN abs(iou - 0.5) * 2 ELSE 0 END + CASE WHEN confidence > 0.55 THEN abs(confidence - 0.5) * 2 ELSE 0 END AS mg,
+ CASE WHEN distance > 5 THEN least(1, (distance - 5) / 20) ELSE 0 END + CASE WHEN direction <= 0.7 THEN 1 - direction ELSE 0 END + CASE WHEN ratio <= 0.7 THEN 1 - ratio ELSE 0 END + CASE WHEN overlap < 0.6 THEN 1 - overlap ELSE 0 END + CASE WHEN shape <= 0.6 THEN 1 - shape ELSE 0 END + CASE WHEN iou <= 0.55 THEN abs(iou - 0.5) * 2 ELSE 0 END + CASE WHEN confidence <= 0.55 THEN abs(confidence - 0.5) * 2 ELSE 0 END AS sp FROM e),
+n AS (SELECT *, round(mg / greatest(mg + sp, 1e-6), 9) AS merge_share, round(sp / greatest(mg + sp, 1e-6), 9) AS split_share FROM s)
+SELECT a_id, b_id, merge_share, split_share, CASE WHEN abs(merge_share - split_share) < 0.15 OR overlap < 0.5 THEN 'REVIEW' WHEN merge_share >= 0.62 THEN 'MERGE' WHEN split_share >= 0.62 THEN 'SPLIT' ELSE 'REVIEW' END AS decision FROM n""")
+def seam_reviews(spark, sf_dir):
+    return seams.reviewed(_matches(spark, sf_dir)).select("a_id", "b_id", "merge_share", "split_share", "decision")
+
+
+@query()
+def quality_regression(spark, sf_dir):
+    """Labelled documents with the probability of quality 1 by length, lines and words, fitted to them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.log1p("n_chars").alias("chars"), F.log1p(F.size(F.split("text", "\n"))).alias("lines"), F.log1p(F.size(F.split("text", " "))).alias("words"))
+    rows = stored(docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id"), "features")
+    names = ["chars", "lines", "words"]
+    return rows.select("doc_id", "quality", regression.fit(rows, names, "quality").probability(names).alias("p"))

@@ -30,23 +30,11 @@ def per_window(events: DataFrame, width: str = "1 hour", delay: str = "10 minute
 
 def running_verdicts(events: DataFrame) -> DataFrame:
     """(item, n, first, verdict) after each batch that touches an item: how many events it has had, the first decision by time,
-    then event_id, and `mixed` where decisions differ. An event without a decision counts but decides nothing. State is one
-    small row an item."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, first, at, event, mixed = state.get if state.exists else (0, None, None, None, False)
-        for pdf in batches:
-            for ts, event_id, decision in pdf.sort_values(["ts", "event_id"])[["ts", "event_id", "decision"]].itertuples(index=False):
-                n += 1
-                if decision is None:
-                    continue
-                mixed = mixed or (first is not None and decision != first)
-                if first is None or (int(ts.value), event_id) < (at, event):
-                    first, at, event = decision, int(ts.value), int(event_id)
-        state.update((n, first, at, event, mixed))
-        yield pd.DataFrame({"item": [key[0]], "n": [n], "first": [first], "verdict": ["mixed" if mixed else first]})
-
-    return events.groupBy("item").applyInPandasWithState(step, "item long, n long, first string, verdict string", "n long, first string, at long, event long, mixed boolean", "update", GroupStateTimeout.NoTimeout)
+    then event_id, and `mixed` where decisions differ. An event without a decision counts but decides nothing. State is the
+    aggregates of an item, combined before they reach it."""
+    told = F.when(F.col("decision").isNotNull(), F.struct("ts", "event_id"))
+    by = events.groupBy("item").agg(F.count("*").alias("n"), F.min_by("decision", told).alias("first"), F.min("decision").alias("lo"), F.max("decision").alias("hi"))
+    return by.select("item", "n", "first", F.when(F.col("lo") != F.col("hi"), "mixed").otherwise(F.col("first")).alias("verdict"))
 
 
 def leases(beats: DataFrame, patience_s: int = 60) -> DataFrame:
