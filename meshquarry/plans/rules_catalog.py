@@ -273,12 +273,15 @@ def degree_changes(spark, sf_dir):
     return builds.changes(a, b, "node", "degree").join(loops, "node", "left_anti")
 
 
-@query("""WITH o AS (SELECT o_custkey AS id, avg(o_totalprice) FILTER (o_orderstatus = 'O') AS a, avg(o_totalprice) FILTER (o_orderstatus = 'F') AS b FROM orders GROUP BY 1)
-SELECT id, round(a, 4) AS a, round(b, 4) AS b, round(b - a, 4) AS delta FROM o WHERE a <> b""")
+@query("""WITH c AS (SELECT o_custkey AS id, o_orderstatus AS s, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) / count(*) / 100 AS v FROM orders GROUP BY 1, 2),
+o AS (SELECT id, max(v) FILTER (s = 'O') AS a, max(v) FILTER (s = 'F') AS b FROM c GROUP BY 1)
+SELECT id, round(a, 6) AS a, round(b, 6) AS b, round(b - a, 6) AS delta FROM o WHERE a <> b""")
 def confidence_changes(spark, sf_dir):
+    """Means of whole cents, whose sums don't depend on their order."""
     orders = bind.table(spark, sf_dir, "orders")
-    a, b = (orders.where(f"o_orderstatus = '{s}'").groupBy(F.col("o_custkey").alias("id")).agg(F.avg("o_totalprice").alias("v")) for s in "OF")
-    return rounded(builds.changes(a, b, "id", "v", shared=True), "a", "b", "delta", digits=4)
+    mean = F.sum(F.round(F.col("o_totalprice") * 100).cast("long")) / F.count("*") / 100
+    a, b = (orders.where(f"o_orderstatus = '{s}'").groupBy(F.col("o_custkey").alias("id")).agg(mean.alias("v")) for s in "OF")
+    return rounded(builds.changes(a, b, "id", "v", shared=True), "a", "b", "delta", digits=6)
 
 
 @query(f"""WITH {bind.PARTS}, m AS (SELECT id, (z0 + z1) / 2.0 AS z, (y0 + y1) / 2.0 AS y, (x0 + x1) / 2.0 AS x, (z0 + z1) / 2.0 + id % 3 AS z2, (x0 + x1) / 2.0 - id % 2 AS x2 FROM parts)
