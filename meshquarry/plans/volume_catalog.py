@@ -9,7 +9,8 @@ from meshquarry.operators import blocks as B
 from meshquarry.operators import distance, graph, regression, seams, segments
 from meshquarry.plans.bind import table
 from meshquarry.plans.catalog import query
-from meshquarry.storage import stored
+from meshquarry.sources import arrays, volumes
+from meshquarry.storage import scratch, stored
 
 SIZE = (25, 4, 4)
 
@@ -269,3 +270,15 @@ def quality_regression(spark, sf_dir):
     rows = stored(docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id"), "features")
     names = ["chars", "lines", "words"]
     return rows.select("doc_id", "quality", regression.fit(rows, names, "quality").probability(names).alias("p"))
+
+
+@query(f"""WITH {VOLUME}, f AS (SELECT 'v0_z' || z // 25 || '_y' || y // 4 || '_x' || x // 4 || '.npy' AS file, z % 25 AS z, y % 4 AS y, x % 4 AS x, label FROM vol)
+SELECT file, z, count(*) AS n, CAST(sum(label) AS BIGINT) AS total FROM f WHERE z BETWEEN 10 AND 22 AND x >= 1 GROUP BY file, z""")
+def volume_files(spark, sf_dir):
+    """The labels written as a file a block, and a box of each file read back in smaller blocks from the second layer on."""
+    blocks, grid = volume(spark, sf_dir)
+    folder = scratch(spark, "volumes")
+    stored(volumes.write_blocks(blocks, grid, "label", folder, "<i8"), "receipts")
+    read = volumes.read_blocks(spark, folder, (10, 3, 4), box=(2, 0, 1, 23, 4, 4), integers=True).where("iz >= 1")
+    by = arrays.voxels(read).groupBy(F.element_at(F.split("path", "/"), -1).alias("file"), "z")
+    return by.agg(F.count("*").alias("n"), F.sum("value").cast("long").alias("total"))
