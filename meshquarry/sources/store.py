@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshquarry.functions.canonical import canonical
 from meshquarry.sources.json_records import exists
 
 
@@ -18,6 +19,21 @@ def put_once(rows: DataFrame, path: str, payload: str = "payload") -> None:
     new.write.mode("append").parquet(path)
 
 
+def put_records(rows: DataFrame, path: str) -> DataFrame:
+    """Stores each row's canonical JSON, and gives the rows with its sha256 as their reference."""
+    held = rows.withColumn("__payload", canonical(F.struct(*(F.col(f"`{c}`") for c in rows.columns)), rows.schema))
+    put_once(held.select(F.col("__payload").alias("payload")), path)
+    return held.withColumn("sha256", F.sha2("__payload", 256)).drop("__payload")
+
+
+def get(refs: DataFrame, path: str) -> DataFrame:
+    """The payloads that references (sha256, ...) name, with a state: `intact`, `damaged` where the content no longer has that
+    digest, or `absent`."""
+    held = refs.sparkSession.read.parquet(path).select("sha256", "payload").dropDuplicates(["sha256"])
+    state = F.when(F.col("payload").isNull(), "absent").when(F.sha2("payload", 256) == F.col("sha256"), "intact").otherwise("damaged")
+    return refs.join(held, "sha256", "left").withColumn("state", state)
+
+
 def write_new(df: DataFrame, path: str) -> None:
     """Refuses to write over anything."""
     df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
