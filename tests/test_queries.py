@@ -8,7 +8,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from meshquarry.plans import audits_catalog, catalog, picks_catalog, rules_catalog, volume_catalog, work_catalog  # noqa: F401  adds its queries to the catalogue
+from meshquarry.plans import audits_catalog, catalog, picks_catalog, plans_catalog, rules_catalog, volume_catalog, work_catalog  # noqa: F401  adds its queries to the catalogue
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
