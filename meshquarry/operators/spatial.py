@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import product
 
 import numpy as np
@@ -47,23 +47,38 @@ def neighbours(grid: DataFrame, reach: int = 1) -> DataFrame:
     return moved.join(grid.select(F.col("tile").alias("neighbour"), "iz", "iy", "ix"), ["iz", "iy", "ix"]).select("tile", "neighbour")
 
 
-def box_pairs(a: DataFrame, b: DataFrame, cell: tuple[int, int, int], within: int = 0) -> DataFrame:
+def _cell(sides: DataFrame, most: tuple[int, int, int]) -> tuple[int, int, int]:
+    """Cells of the mean sides of boxes (dz, dy, dx), `most` at the most: of all sizes these give the fewest comparisons."""
+    means = sides.agg(*(F.avg(f"d{x}").alias(x) for x in boxes.AXES)).first()
+    return tuple(max(1, min(m, round(means[x] or m))) for x, m in zip(boxes.AXES, most, strict=True))
+
+
+def box_pairs(a: DataFrame, b: DataFrame, cell: tuple[int, int, int], within: int = 0, same: Sequence[str] = (), unlike: Sequence[str] = (), ordered: bool = False) -> DataFrame:
     """(a_id, b_id, volume, gap) of boxes (id, z0, z1, y0, y1, x0, x1) that overlap, or whose gap along the axes is below
     `within`. Boxes meet in the grid cells that both cover, widened by `within`, so only neighbours are compared; a pair that
-    meets in several cells is kept in the first of them. Cells of about the boxes' size keep both the copies and the
-    comparisons few. Empty boxes meet nothing."""
-    named = lambda df, p: df.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", *(f"{x}{k}" for x in boxes.AXES for k in (0, 1)))))
+    meets in several cells is kept in the first of them. Cells are of the boxes' mean size, and no larger than `cell`, which
+    keeps both the copies and the comparisons few. Empty boxes meet nothing.
+
+    Pairs may be held to equal columns `same` (then a key with the cell), to unequal ones `unlike`, and to a_id < b_id
+    (`ordered`, for boxes joined with themselves): what doesn't count is never a row."""
+    sides = [f"{x}{k}" for x in boxes.AXES for k in (0, 1)]
+    named = lambda df, p: df.select(*same, *(F.col(c).alias(f"{p}_{c}") for c in ("id", *sides, *unlike))).where(boxes.volume(f"{p}_") > 0)
     a, b = named(a, "a"), named(b, "b")
     wide = a.select("*", *(((F.col(f"a_{x}{k}") + (within if k else -within)).alias(f"w_{x}{k}")) for x in boxes.AXES for k in (0, 1)))
-    wide = wide.where(boxes.volume("a_") > 0)
-    left, right = covered_tiles(wide, cell, "w_"), covered_tiles(b, cell, "b_")
-    pairs = left.join(right, ["iz", "iy", "ix"])
-    first = None
+    size = lambda df, p: df.select(*((hi - lo).alias(f"d{x}") for x in boxes.AXES for lo, hi in [boxes.side(p, x)]))
+    cell = _cell(size(wide, "w_").unionByName(size(b, "b_")), cell)
+    # Boxes are small and their pairs many: the sizes of files say nothing of the work, so neither one task nor a broadcast.
+    n, keys = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*same, "iz", "iy", "ix"]
+    left, right = (covered_tiles(df.repartition(n, f"{p}_id"), cell, q).repartition(n, *keys) for df, p, q in ((wide, "a", "w_"), (b, "b", "b_")))
+    keep = boxes.overlaps("a_", "b_") if within == 0 else boxes.signed_gap("a_", "b_") < within
     for axis, step in zip(boxes.AXES, cell, strict=True):
-        here = F.col(f"i{axis}") == tile_of(F.greatest(F.col(f"w_{axis}0"), F.col(f"b_{axis}0")), step)
-        first = here if first is None else first & here
-    near = boxes.overlaps("a_", "b_") if within == 0 else boxes.signed_gap("a_", "b_") < within
-    return pairs.where(first & near).select("a_id", "b_id", boxes.overlap_volume("a_", "b_").alias("volume"), boxes.gap("a_", "b_").alias("gap"))
+        keep = keep & (F.col(f"i{axis}") == tile_of(F.greatest(F.col(f"w_{axis}0"), F.col(f"b_{axis}0")), step))
+    for c in unlike:
+        keep = keep & (F.col(f"a_{c}") != F.col(f"b_{c}"))
+    if ordered:
+        keep = (F.col("a_id") < F.col("b_id")) & keep
+    pairs = left.join(right.hint("merge"), keys).where(keep)
+    return pairs.select("a_id", "b_id", boxes.overlap_volume("a_", "b_").alias("volume"), boxes.gap("a_", "b_").alias("gap"))
 
 
 def buffer_violations(regions: DataFrame, cell: tuple[int, int, int], buffer: int) -> DataFrame:
