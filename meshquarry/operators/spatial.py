@@ -83,10 +83,7 @@ def box_pairs(a: DataFrame, b: DataFrame, cell: tuple[int, int, int], within: in
 
 def buffer_violations(regions: DataFrame, cell: tuple[int, int, int], buffer: int) -> DataFrame:
     """(a_id, b_id, gap): pairs of regions (id, split, box) of different splits with a gap below the buffer, a_id < b_id."""
-    pairs = box_pairs(regions, regions, cell, buffer).where("a_id < b_id")
-    split = regions.select(F.col("id"), F.col("split"))
-    pairs = pairs.join(split.toDF("a_id", "a_split"), "a_id").join(split.toDF("b_id", "b_split"), "b_id")
-    return pairs.where("a_split <> b_split").select("a_id", "b_id", "gap")
+    return box_pairs(regions, regions, cell, buffer, unlike=["split"], ordered=True).select("a_id", "b_id", "gap")
 
 
 def missing_tiles(grid: DataFrame, seen: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from meshquarry.functions import grid, keys
 from meshquarry.operators import gates, graph, metrics, ranking, relational, rules, spatial
@@ -98,3 +99,23 @@ def test_plan_violations_by_hand(spark):
     got = {tuple(r) for r in gates.plan_violations(df, spark.createDataFrame(parents, "parent string, dz int, dy int, dx int"), ["train", "test"], ["R"], (8, 8, 8)).collect()}
     assert got >= {("b", "repeated id"), ("b", "invalid split"), ("b", "exceeds parent"), ("c", "invalid bounds"), ("c", "missing parent"), ("d", "reserved parent"), ("a/b", "overlap across splits")}
     assert gates.plan_violations(df.limit(0), spark.createDataFrame(parents, "parent string, dz int, dy int, dx int"), ["train"], ["R"], (8, 8, 8)).collect() == []
+
+
+def test_box_pairs_are_dealt_out_and_equal_all_pairs(spark, tmp_path):
+    rng = random.Random(8)
+    rows = []
+    for i in range(240):
+        z, y, x = (rng.randrange(-20, 40) for _ in range(3))
+        rows.append((i - i % 40 // 39, "ab"[rng.randrange(2)], f"P{rng.randrange(2)}", z, z + rng.randrange(0, 9), y, y + rng.randrange(1, 9), x, x + (60 if i == 7 else rng.randrange(1, 9))))
+    names = ["id", "split", "parent", "z0", "z1", "y0", "y1", "x0", "x1"]
+    spark.createDataFrame(rows, names).coalesce(1).write.parquet(f"{tmp_path}/boxes")
+    df = spark.read.parquet(f"{tmp_path}/boxes")
+    gap = lambda a, b: max(max(b[k] - a[k + 1], a[k] - b[k + 1]) for k in (3, 5, 7))
+    real = [r for r in rows if r[4] > r[3]]
+    both = [(a, b) for a in real for b in real if a[0] < b[0]]
+    near = spatial.buffer_violations(df, (32, 64, 64), 5)
+    assert sorted((r.a_id, r.b_id, r.gap) for r in near.collect()) == sorted((a[0], b[0], max(0, gap(a, b))) for a, b in both if a[1] != b[1] and gap(a, b) < 5)
+    assert near.select(F.spark_partition_id()).distinct().count() > 1  # one file's boxes are not one task's pairs
+    rows_ = spatial.box_pairs(df, df, (32, 64, 64), same=["parent"], unlike=["split"], ordered=True)
+    assert sorted((r.a_id, r.b_id) for r in rows_.collect()) == sorted((a[0], b[0]) for a, b in both if a[1] != b[1] and a[2] == b[2] and gap(a, b) < 0)
+    assert spatial.box_pairs(df.limit(0), df, (32, 64, 64)).collect() == []
