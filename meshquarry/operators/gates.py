@@ -76,10 +76,8 @@ def plan_violations(crops: DataFrame, parents: DataFrame, splits: Sequence[str],
         "exceeds parent": reduce(Column.__or__, (F.col(f"{a}1") > F.col(f"d{a}") for a in axes)),
     }
     twice = crops.groupBy("id").count().where("count > 1").select(F.col("id").cast("string").alias("id"), F.lit("repeated id").alias("problem"))
-    pairs = box_pairs(crops, crops, cell).where("a_id < b_id")
-    at = crops.select("id", "parent", "split")
-    pairs = pairs.join(at.toDF("a_id", "a_parent", "a_split"), "a_id").join(at.toDF("b_id", "b_parent", "b_split"), "b_id")
-    across = pairs.where("a_parent = b_parent AND a_split <> b_split").select(F.concat_ws("/", "a_id", "b_id").alias("id"), F.lit("overlap across splits").alias("problem"))
+    pairs = box_pairs(crops, crops, cell, same=["parent"], unlike=["split"], ordered=True)
+    across = pairs.select(F.concat_ws("/", "a_id", "b_id").alias("id"), F.lit("overlap across splits").alias("problem"))
     return all_of([violations(known, F.col("id"), rules), twice, across])
 
 
