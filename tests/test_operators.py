@@ -119,3 +119,39 @@ def test_box_pairs_are_dealt_out_and_equal_all_pairs(spark, tmp_path):
     rows_ = spatial.box_pairs(df, df, (32, 64, 64), same=["parent"], unlike=["split"], ordered=True)
     assert sorted((r.a_id, r.b_id) for r in rows_.collect()) == sorted((a[0], b[0]) for a, b in both if a[1] != b[1] and a[2] == b[2] and gap(a, b) < 0)
     assert spatial.box_pairs(df.limit(0), df, (32, 64, 64)).collect() == []
+
+
+def test_paths_and_depths_over_small_chunks(spark, monkeypatch):
+    """Chains that leave chunks and come back to them, two roots, a pair within a chunk, and few nodes left to lift."""
+    monkeypatch.setattr(graph, "CHUNK", 7)
+    rng = random.Random(6)
+    parent = {i: max(0, i - rng.randrange(1, 4)) if i % 9 else rng.randrange(i) for i in range(1, 120)} | {i: rng.choice([j for j in range(120, i)][-3:]) for i in range(121, 150)}
+    edges = spark.createDataFrame([(1, c, p, c % 5 / 4) for c, p in parent.items()], "tree long, child long, parent long, length double")
+    nodes = spark.createDataFrame([(1, i) for i in range(150)], "tree long, node long")
+
+    def up(i):
+        out = [i]
+        while out[-1] in parent:
+            out.append(parent[out[-1]])
+        return out
+
+    way = lambda chain: sum(c % 5 / 4 for c in chain)
+    got = {r.node: (r.root, r.depth, r.way) for r in graph.depths(nodes, edges).collect()}
+    assert got == {i: (up(i)[-1], len(up(i)) - 1, way(up(i)[:-1])) for i in range(150)}
+    pairs = [(a, b) for a in range(0, 150, 3) for b in range(1, 150, 4)]
+    want = {}
+    for a, b in pairs:
+        one, two = up(a), up(b)
+        if one[-1] == two[-1]:
+            meet = next(x for x in one if x in two)
+            i, j = one.index(meet), two.index(meet)
+            want[a, b] = (meet, i + j, way(one[:i]) + way(two[:j]))
+    found = graph.paths(spark.createDataFrame([(1, a, b) for a, b in pairs], "tree long, a long, b long"), nodes, edges).collect()
+    assert {(r.a, r.b): (r.meet, r.steps, r.length) for r in found} == want and len(found) == len(want)
+    with pytest.raises(ValueError, match="cycle"):
+        graph.depths(nodes, spark.createDataFrame([(1, 1, 2, 1.0), (1, 2, 1, 1.0)], edges.schema))
+
+
+def test_near_parents_leave_little_to_lift(spark):
+    edges = spark.createDataFrame([(1, i, i - 1, 1.0) for i in range(1, 4000)], "tree long, child long, parent long, length double")
+    assert graph.contracted(edges).select("up").distinct().count() <= 4  # one for each task's chunk, not one for each node
