@@ -1,6 +1,8 @@
 """Near duplicates by similarity: the Jaccard index of two texts' sets of five-word shingles is 0.8 or more.
 
-Candidates are texts that agree on a band of ROWS minima of hashes (MinHash). A pair at the least similarity shares one of
+The nearest are found as `op2` finds them: fingerprints of the five-word shingles (SimHash) that differ in at most three bits, by
+the index of `simhash.links`; each of its links is compared exactly. Three bits reach few pairs at the least similarity, so what
+fingerprints have not joined is looked for further: candidates are texts that agree on a band of ROWS minima of hashes (MinHash). A pair at the least similarity shares one of
 BANDS bands with a chance of 1 - (1 - 0.8^4)^20, over 0.9999. In each bucket all members are compared to the first. Where that
 leaves more than one component, the bucket is cut into blocks of bounded size, and a task holds two of them at a time: it counts
 what their sets share by products of 0/1 matrices, which is exact, and returns a spanning forest of the links between
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from meshquarry.llm import simhash
 from meshquarry.llm.common import cut, set_aside
 from meshquarry.operators.graph import components
 
@@ -71,20 +74,20 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """(doc_id, id, n, bands) of (doc_id, id, text): the number of different shingles and the keys."""
+    """(doc_id, id, n, fp, bands) of (doc_id, id, text): the number of different shingles, the fingerprint and the keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, keys = [], []
+            sizes, fps, keys = [], [], []
             for t in b.column(2).cast(pa.binary()).to_pylist():
                 s = shingles(t)
-                sizes.append(len(s)), keys.append(bands(s).view(np.int64))
+                sizes.append(len(s)), fps.append(simhash.simhash(t, WIDTH)), keys.append(bands(s).view(np.int64))
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), flat)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), lists], names=["doc_id", "id", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), lists], names=["doc_id", "id", "n", "fp", "bands"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "id", "text").mapInArrow(run, f"doc_id {kind}, id long, n long, bands array<long>")
+    return rows.select("doc_id", "id", "text").mapInArrow(run, f"doc_id {kind}, id long, n long, fp long, bands array<long>")
 
 
 def shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -200,6 +203,17 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return cut(both.select("b", "a", "text").mapInArrow(run, "a long, b long"))
 
 
+def by_fingerprints(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links (a, b) of similar texts (id, fp) that share a fingerprint, with the first of them, or whose fingerprints the index of
+    simhash.links joins, between the first of each."""
+    first = cut(nodes.groupBy("fp").agg(F.min("id").alias("first")))
+    equal = nodes.join(first, "fp").where("id > first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    at = lambda p: first.select(F.col("fp").alias(p), F.col("first").alias(f"__{p}"))
+    near = simhash.links(first.select("fp")).join(at("a"), "a").join(at("b"), "b")
+    near = near.select(F.greatest("__a", "__b").alias("a"), F.least("__a", "__b").alias("b"))
+    return verified(cut(equal.unionByName(near).distinct()), rows)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id): component_id the smallest doc_id that links of similar texts reach. See classes()."""
     return classes(docs).select("doc_id", "component_id")
@@ -227,15 +241,19 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("id", F.xxhash64("text")).select("doc_id", "id", "text")
     held = cut(sketches(rows))
-    nodes = cut(held.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    nodes = cut(held.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    nearest = by_fingerprints(nodes.select("id", "fp"), rows)
+    known = cut(components(nearest))
     dealt = nodes.select("id", "n", F.explode("bands").alias("key"))
     leads = dealt.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead"), F.max("id").alias("last")).where("lead.id < last").select("key", "lead")
     members = cut(dealt.join(leads, "key"))
     # Sets whose sizes are further apart can't be similar.
     sized = lambda x, y: F.least(x, y) * WHOLE >= F.greatest(x, y) * PART
     stars = members.where((F.col("id") > F.col("lead.id")) & sized(F.col("n"), F.col("lead.n"))).select(F.col("id").alias("a"), F.col("lead.id").alias("b")).distinct()
-    stars = cut(stars)
-    links = verified(stars, rows)
+    for end in "ab":
+        stars = stars.join(known.select(F.col("node").alias(end), F.col("root").alias(f"__{end}")), end, "left").withColumn(f"__{end}", F.coalesce(f"__{end}", end))
+    stars = cut(stars.where("__a <> __b").select("a", "b"))
+    links = verified(stars, rows).unionByName(nearest)
     roots = components(links).select(F.col("node").alias("id"), "root")
     inside = cut(members.select("key", "id", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
     links = links.unionByName(across(inside, rows))

@@ -99,3 +99,21 @@ def test_one_row_of_each_group_stays(spark, odd, none):
     df = spark.createDataFrame(rows, "doc_id long, text string, id string")
     assert sorted((tuple(r) for r in N.representatives(df).collect()), key=repr) == sorted([(3, t, "b"), (None, u, "d"), (8, None, "e"), (7, "alone", "g")], key=repr)
     assert N.representatives(none).collect() == [] and N.representatives(odd).columns == odd.columns
+
+
+def test_fingerprints_find_the_nearest_and_are_compared_exactly(spark):
+    """The index of op2 gives links of its own, without the bands; a link of fingerprints alone is none."""
+    from pyspark.sql import functions as F
+
+    from meshquarry.llm import simhash as S
+
+    base = [" ".join(f"w{k}_{i}" for i in range(400)) for k in range(6)]
+    texts = base + [t + " more" for t in base] + ["", " ", "one two"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("id", F.xxhash64("text"))
+    nodes = N.sketches(rows).select("id", "fp").distinct()
+    assert {r.fp for r in nodes.collect()} == {int.from_bytes(S.simhash(t.encode(), 5).to_bytes(8, "big"), "big", signed=True) for t in texts}
+    got = {(r.a, r.b) for r in N.by_fingerprints(nodes, rows).collect()}
+    at = {r.id: r.text for r in rows.collect()}
+    assert len(got) >= 5 and all(N.similar(N.shingles(at[a].encode()), N.shingles(at[b].encode())) for a, b in got)
+    zero = nodes.withColumn("fp", F.lit(0).cast("long"))  # all alike: only similar texts stay linked
+    assert all(N.similar(N.shingles(at[a].encode()), N.shingles(at[b].encode())) for a, b in ((r.a, r.b) for r in N.by_fingerprints(zero, rows).collect()))
