@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshquarry.operators import rules, spatial
+from meshquarry.storage import cut
 
 #: A direction stands out where the largest variance exceeds the next one by this share of all.
 STANDS_OUT = 1e-6
@@ -61,11 +62,13 @@ def matches(a: DataFrame, b: DataFrame, halo: int, cell: tuple[int, int, int]) -
 
     overlap: shared voxels over the smaller object; ratio: the smaller size over the larger; direction: the absolute cosine
     of their axes, 0 where one has none. Boxes meet in grid cells of the size `cell`; others are never compared."""
-    oa, ob = face_objects(a), face_objects(b)
-    box = lambda df: df.select(F.col("label").alias("id"), *((F.col(f"{x}{k}") + k).cast("long").alias(f"{x}{k}") for x in "zyx" for k in (0, 1)))
-    near = spatial.box_pairs(box(oa), box(ob), cell, halo).select("a_id", "b_id")
-    side = lambda df, p: df.select(*(F.col(c).alias(f"{p}_{c}") for c in df.columns)).withColumnRenamed(f"{p}_label", f"{p}_id")
-    rows = near.join(side(oa, "a"), "a_id").join(side(ob, "b"), "b_id").join(shared_voxels(a, b), ["a_id", "b_id"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    # Pairs outnumber the objects by far: what is told of an object, voxels shared with others too, goes along with its box.
+    shared = shared_voxels(a, b).groupBy(F.col("a_id").alias("label")).agg(F.map_from_entries(F.collect_list(F.struct("b_id", "shared"))).alias("shared"))
+    oa, ob = cut(face_objects(a).join(shared, "label", "left")), cut(face_objects(b).withColumn("shared", F.lit(None).cast("map<bigint,bigint>")))
+    told = [c for c in ob.columns if c != "label"]
+    box = lambda df: df.select(F.col("label").alias("id"), *((F.col(f"{x}{k}") + k).cast("long").alias(f"{x}{k}") for x in "zyx" for k in (0, 1)), *(F.col(c).alias(f"o_{c}") for c in told))
+    near = spatial.box_pairs(box(oa), box(ob), cell, halo, carry=[f"o_{c}" for c in told])
+    rows = near.select("a_id", "b_id", *(F.col(f"{p}_o_{c}").alias(f"{p}_{c}") for p in "ab" for c in told)).withColumn("shared", F.coalesce(F.try_element_at("a_shared", F.col("b_id")), F.lit(0)))
     square = reduce(Column.__add__, ((F.col(f"a_c{x}") - F.col(f"b_c{x}")) * (F.col(f"a_c{x}") - F.col(f"b_c{x}")) for x in "zyx"))
     dot = reduce(Column.__add__, (F.get("a_axis", F.lit(i)) * F.get("b_axis", F.lit(i)) for i in range(3)))
     low, high = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")

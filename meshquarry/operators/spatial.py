@@ -53,16 +53,17 @@ def _cell(sides: DataFrame, most: tuple[int, int, int]) -> tuple[int, int, int]:
     return tuple(max(1, min(m, round(means[x] or m))) for x, m in zip(boxes.AXES, most, strict=True))
 
 
-def box_pairs(a: DataFrame, b: DataFrame, cell: tuple[int, int, int], within: int = 0, same: Sequence[str] = (), unlike: Sequence[str] = (), ordered: bool = False) -> DataFrame:
+def box_pairs(a: DataFrame, b: DataFrame, cell: tuple[int, int, int], within: int = 0, same: Sequence[str] = (), unlike: Sequence[str] = (), ordered: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """(a_id, b_id, volume, gap) of boxes (id, z0, z1, y0, y1, x0, x1) that overlap, or whose gap along the axes is below
     `within`. Boxes meet in the grid cells that both cover, widened by `within`, so only neighbours are compared; a pair that
     meets in several cells is kept in the first of them. Cells are of the boxes' mean size, and no larger than `cell`, which
     keeps both the copies and the comparisons few. Empty boxes meet nothing.
 
     Pairs may be held to equal columns `same` (then a key with the cell), to unequal ones `unlike`, and to a_id < b_id
-    (`ordered`, for boxes joined with themselves): what doesn't count is never a row."""
+    (`ordered`, for boxes joined with themselves): what doesn't count is never a row. Columns to `carry` travel with the boxes and
+    come with each pair as a_... and b_..., so that pairs, which are many, need no joins to get them."""
     sides = [f"{x}{k}" for x in boxes.AXES for k in (0, 1)]
-    named = lambda df, p: df.select(*same, *(F.col(c).alias(f"{p}_{c}") for c in ("id", *sides, *unlike))).where(boxes.volume(f"{p}_") > 0)
+    named = lambda df, p: df.select(*same, *(F.col(c).alias(f"{p}_{c}") for c in ("id", *sides, *unlike, *carry))).where(boxes.volume(f"{p}_") > 0)
     a, b = named(a, "a"), named(b, "b")
     wide = a.select("*", *(((F.col(f"a_{x}{k}") + (within if k else -within)).alias(f"w_{x}{k}")) for x in boxes.AXES for k in (0, 1)))
     size = lambda df, p: df.select(*((hi - lo).alias(f"d{x}") for x in boxes.AXES for lo, hi in [boxes.side(p, x)]))
@@ -78,7 +79,7 @@ def box_pairs(a: DataFrame, b: DataFrame, cell: tuple[int, int, int], within: in
     if ordered:
         keep = (F.col("a_id") < F.col("b_id")) & keep
     pairs = left.join(right.hint("merge"), keys).where(keep)
-    return pairs.select("a_id", "b_id", boxes.overlap_volume("a_", "b_").alias("volume"), boxes.gap("a_", "b_").alias("gap"))
+    return pairs.select("a_id", "b_id", boxes.overlap_volume("a_", "b_").alias("volume"), boxes.gap("a_", "b_").alias("gap"), *(f"{p}_{c}" for p in "ab" for c in carry))
 
 
 def buffer_violations(regions: DataFrame, cell: tuple[int, int, int], buffer: int) -> DataFrame:
