@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from meshquarry.functions import boxes
 from meshquarry.operators.ranking import top_each
-from meshquarry.operators.spatial import far_from, separated
+from meshquarry.operators.spatial import clear_of, far_from, separated
 from meshquarry.storage import cut
 
 #: Candidates of one queue that a round shows to its group's task.
@@ -83,24 +82,12 @@ def with_quotas(points: DataFrame, group: str, kind: str, kinds: Sequence[str],
             break
         going = stopped.select("__g")
         state = cut(picked.join(going, "__g", "left_semi").unionByName(stopped))
-        rest = cut(_clear(rest.join(going, "__g", "left_semi"), step.where("id IS NOT NULL"), radius))
+        rest = cut(clear_of(rest.join(going, "__g", "left_semi"), step.where("id IS NOT NULL"), radius))
     turn = picked.select("__g", F.col("id").alias("__id"), "turn")
     rows = whole.withColumns({"__g": own, "__id": F.col("id").cast("long")})
     return rows.join(turn, ["__g", "__id"]).select(*points.columns, "turn")
 
 
-def _clear(rows: DataFrame, picks: DataFrame, radius: float) -> DataFrame:
-    """The rows no closer than the radius to a pick of their group. They meet in cells of the radius's size, so a large group is
-    spread over its cells."""
-    cell = {f"__c{a}": F.floor(F.col(a) / radius).cast("long") for a in boxes.AXES}
-    reach = F.explode(F.array(*(F.struct(*(F.lit(d).alias(c) for c, d in zip(cell, s, strict=True))) for s in product((-1, 0, 1), repeat=3)))).alias("__d")
-    near = picks.withColumns(cell).select(F.col("__g").alias("__h"), *(F.col(a).alias(f"__{a}") for a in boxes.AXES), *cell, reach)
-    near = near.select("__h", *(f"__{a}" for a in boxes.AXES), *((F.col(c) + F.col(f"__d.{c}")).alias(c) for c in cell))
-    own = rows.withColumns(cell)
-    square = sum(((F.col(a) - F.col(f"__{a}")) * (F.col(a) - F.col(f"__{a}")) for a in ("y", "x")), (F.col("z") - F.col("__z")) * (F.col("z") - F.col("__z")))
-    return own.join(near, [own["__g"] == near["__h"], *(own[c] == near[c] for c in cell), square < radius * radius], "left_anti").drop(*cell)
-
-
 def raster_separated(points: DataFrame, group: str, radius: float) -> DataFrame:
     """Of points (group, id, z, y, x), by group, the ones kept by a walk in raster order (z, then y, then x, then id), each at least
     `radius` from all kept before. Places are whole numbers from 0 to 2,097,151 along each axis."""

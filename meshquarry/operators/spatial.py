@@ -98,39 +98,90 @@ def coverage(tiles_: DataFrame, done: tuple[str, ...]) -> DataFrame:
     return tiles_.agg(F.count("*").alias("tiles"), F.count_if(ok).alias("done"), F.avg(ok.cast("double")).alias("share_tiles"), (F.sum(F.when(ok, F.col("voxels")).otherwise(0)) / F.sum("voxels")).alias("share_voxels"))
 
 
-def separated(points: DataFrame, group: str, radius: float, limit: int | None = None) -> DataFrame:
+#: Points in order that a round shows to a block's task.
+HEAD = 1 << 16
+#: A block's side in cells of half the radius.
+SIDE = 16
+
+
+def _walked(pdf: pd.DataFrame, side: int, radius: float) -> np.ndarray:
+    """Places in the frame of the points that the walk surely keeps, of one block's first points (rank, cells from two before
+    the block on, z, y, x), in order of rank. A point of the block is sure once none is before it in the cells within reach; what is near it goes."""
+    wide = side + 4
+    flat = np.ravel_multi_index(tuple(pdf[f"__c{a}"].to_numpy(np.int64) for a in boxes.AXES), (wide,) * 3)
+    z, y, x = (pdf[a].to_numpy(np.float64) for a in boxes.AXES)
+    live, kept = np.arange(len(pdf)), []
+    while len(live):
+        best = np.full(wide**3, len(pdf))
+        best[flat[live[::-1]]] = live[::-1]  # of a cell's points the first in order is written last
+        best = most = best.reshape((wide,) * 3)
+        for axis in range(3):
+            most = np.min([np.take(most, range(i, i + most.shape[axis] - 4), axis) for i in range(5)], axis=0)
+        own = best[2:-2, 2:-2, 2:-2]
+        sure = own[(own == most) & (own < len(pdf))]
+        if not len(sure):
+            break
+        kept.append(sure)
+        for i in sure:
+            dz, dy, dx = z[live] - z[i], y[live] - y[i], x[live] - x[i]
+            live = live[dz * dz + dy * dy + dx * dx >= radius * radius]
+    return np.concatenate(kept) if kept else np.zeros(0, np.int64)
+
+
+def separated(points: DataFrame, group: str, radius: float, limit: int | None = None, side: int = SIDE, head: int = HEAD) -> DataFrame:
     """Of points (group, id, score, z, y, x), by group, the ones a greedy walk keeps: best score first, then the smallest id,
     each at least `radius` from all kept before; the first `limit` of them. Ids are numbers, unique within a group; points
     with a null have no place and are left out.
 
-    The walk goes in rounds over all groups at once. Cells have half the radius for a side, so two points of one cell are never
-    both kept: each cell puts up its best point, and it is kept if it is the best of all cells within reach, as nothing
-    undecided can stand before it. What lies near it goes, and the rest decides anew; the best of each group goes in every
-    round, so they end. No group or cell is collected, and a round costs in proportion to what is undecided.
+    The walk goes in rounds over all groups at once. A task has a block of `side` cells of half the radius, and two cells more
+    around it: there it takes all points that nothing undecided can stand before. What lies near them goes, and the rest decides
+    anew. So chains of points that wait for each other end within a block, and there are about as many rounds as such a chain
+    crosses borders. Of a crowded block a round shows the first `head` points: none of the others stands before these. The best
+    of each group goes in every round, so they end; no group is collected, and a round costs in proportion to what is undecided.
     """
-    cells, at = [f"__c{a}" for a in boxes.AXES], ["__g", *(f"__c{a}" for a in boxes.AXES)]
-    reach = F.explode(F.array(*(F.struct(*(F.lit(d).alias(c) for c, d in zip(cells, s, strict=True))) for s in product(range(-2, 3), repeat=3)))).alias("__d")
+    if side < 4 or head < 1:
+        raise ValueError("a block must have four cells or more, and its head a point")
+    cells = [f"__c{a}" for a in boxes.AXES]
+    rest = points.dropna(subset=["id", "score", *boxes.AXES]).withColumns({c: F.floor(F.col(a) / (radius / 2)).cast("long") for c, a in zip(cells, boxes.AXES, strict=True)})
+    rest = whole = cut(rest.withColumn("__g", F.coalesce(F.col(group).cast("string"), F.lit("\0"))))
+    at = ["__g", *(f"__b{a}" for a in boxes.AXES)]
+    order = W.partitionBy(*at).orderBy(F.desc("score"), F.asc("id"))
+    kind = f"__g string, id {points.schema['id'].dataType.simpleString()}, z double, y double, x double"
 
-    def around(df: DataFrame, *columns: str) -> DataFrame:
-        return df.select(*at, *columns, reach).select("__g", *columns, *((F.col(c) + F.col(f"__d.{c}")).alias(c) for c in cells))
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__r")
+        return pdf.iloc[_walked(pdf, side, radius)][["__g", "id", *boxes.AXES]]
 
-    rest = points.dropna(subset=["id", "score", *boxes.AXES]).withColumns({c: F.floor(F.col(a) / (radius / 2)).cast("long") for c, a in zip(cells, boxes.AXES, strict=True)})
-    rest, kept = cut(rest.withColumns({"__p": F.struct("score", -F.col("id")), "__g": F.coalesce(F.col(group).cast("string"), F.lit("\0"))})), None
+    picked = None
     while not rest.isEmpty():
-        best = rest.groupBy(*at).agg(F.max("__p").alias("__p"))
-        first = around(best, "__p").groupBy(*at).agg(F.max("__p").alias("__most"))
-        taken = cut(rest.join(best.join(first, at).where("__p = __most").select(*at, "__p"), [*at, "__p"]).select(*rest.columns))
-        kept = taken if kept is None else kept.unionByName(taken)
-        near = around(taken.select(*at, *(F.col(a).alias(f"__{a}") for a in boxes.AXES)), *(f"__{a}" for a in boxes.AXES))
-        square = sum(((rest[a] - near[f"__{a}"]) * (rest[a] - near[f"__{a}"]) for a in ("y", "x")), (rest["z"] - near["__z"]) * (rest["z"] - near["__z"]))
-        rest = cut(rest.join(near, [*(rest[c] == near[c] for c in at), square < radius * radius], "left_anti"))
-    kept = (points.limit(0) if kept is None else kept).select(*points.columns)
+        shown = rest.select("__g", "id", "score", *(F.col(a).cast("double").alias(a) for a in boxes.AXES), *cells)
+        for a, c in zip(boxes.AXES, cells, strict=True):
+            block = lambda d, c=c: F.floor((F.col(c) + d) / side).cast("long")
+            shown = shown.withColumn(f"__b{a}", F.explode(F.array_distinct(F.array(block(-2), block(2)))))
+        shown = shown.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= head).drop("score")
+        shown = shown.withColumns({c: F.col(c) - F.col(f"__b{a}") * side + 2 for a, c in zip(boxes.AXES, cells, strict=True)})
+        taken = cut(shown.groupBy(*at).applyInPandas(settle, kind))
+        picked = taken if picked is None else picked.unionByName(taken)
+        rest = cut(clear_of(rest, taken, radius))
+    kept = points.limit(0) if picked is None else whole.join(picked.select("__g", "id"), ["__g", "id"], "left_semi").select(*points.columns)
     if limit is None:
         return kept
     rank = F.row_number().over(W.partitionBy(group).orderBy(F.desc("score"), "id"))
     return kept.withColumn("__at", rank).where(F.col("__at") <= limit).drop("__at")
 
 
+def clear_of(rows: DataFrame, picks: DataFrame, radius: float) -> DataFrame:
+    """The rows no closer than the radius to a pick of their group __g. They meet in cells of the radius's size, so a large group is
+    spread over its cells."""
+    cell = {f"__k{a}": F.floor(F.col(a) / radius).cast("long") for a in boxes.AXES}
+    reach = F.explode(F.array(*(F.struct(*(F.lit(d).alias(c) for c, d in zip(cell, s, strict=True))) for s in product((-1, 0, 1), repeat=3)))).alias("__d")
+    near = picks.withColumns(cell).select(F.col("__g").alias("__h"), *(F.col(a).alias(f"__{a}") for a in boxes.AXES), *cell, reach)
+    near = near.select("__h", *(f"__{a}" for a in boxes.AXES), *((F.col(c) + F.col(f"__d.{c}")).alias(c) for c in cell))
+    own = rows.withColumns(cell)
+    square = sum(((F.col(a) - F.col(f"__{a}")) * (F.col(a) - F.col(f"__{a}")) for a in ("y", "x")), (F.col("z") - F.col("__z")) * (F.col("z") - F.col("__z")))
+    return own.join(near, [own["__g"] == near["__h"], *(own[c] == near[c] for c in cell), square < radius * radius], "left_anti").drop(*cell)
+
+
 def faces(voxels: DataFrame, *keys: str) -> DataFrame:
     """(keys, lo, hi, n): contacts of unlike labels across voxel faces; label 0 is background. voxels: (keys, z, y, x, label),
     whole within the keys. Three windows with lead(), one an axis, instead of self joins."""
