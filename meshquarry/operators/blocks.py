@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import product
+from math import prod
 
 import numpy as np
 import pandas as pd
@@ -127,6 +128,55 @@ def with_neighbours(blocks: DataFrame, grid: Grid, columns: Sequence[str], reach
     return spread(blocks).groupBy(*KEY).cogroup(sent.groupBy(*KEY)).applyInPandas(one, f"{_KEY}, {schema}")
 
 
+#: Voxels that a step of a task holds, where blocks are smaller: a call costs as much as thousands of voxels.
+BRICK = 1 << 15
+
+
+def coarse(grid: Grid) -> Grid:
+    """Whole blocks put together to bricks of at most BRICK voxels, as near to cubes as the volume lets them be."""
+    size = list(grid.size)
+    while (short := [a for a in range(3) if size[a] < grid.shape[a]]) and 2 * prod(size) <= BRICK:
+        size[min(short, key=lambda a: size[a])] *= 2
+    return Grid(grid.shape, tuple(size))
+
+
+def bricks(blocks: DataFrame, grid: Grid, columns: Sequence[str], run: Callable[[tuple, dict[str, np.ndarray], np.ndarray], dict], schema: str) -> tuple[DataFrame, Grid]:
+    """A row a brick: its key and what `run` says, given the key, the columns of the brick's blocks, zero where a block is absent, and
+    which voxels are known; and the bricks' grid. A task holds a brick at a time."""
+    wide = coarse(grid)
+    names = StructType.fromDDL(f"{_KEY}, {schema}").fieldNames()
+    factor = [w // s for w, s in zip(wide.size, grid.size, strict=True)]
+
+    def one(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        key = tuple(int(k) for k in key)
+        known, whole = np.zeros(wide.extent(key[1:]), bool), {}
+        first = wide.origin(key[1:])
+        for row in own.itertuples(index=False):
+            at = tuple(slice(o - f, o - f + e) for o, f, e in zip(grid.origin(row[1:4]), first, grid.extent(row[1:4]), strict=True))
+            known[at] = True
+            for c, v in zip(columns, row[4:], strict=False):
+                v = np.asarray(v)
+                if c not in whole:
+                    whole[c] = np.zeros(known.shape, v.dtype)
+                whole[c][at] = v.reshape(known[at].shape)
+        return pd.DataFrame([{**dict(zip(KEY, key, strict=True)), **run(key, whole, known)}], columns=names)
+
+    by = ["volume", *(F.floor(F.col(b) / f).cast("int").alias(f"__{b}") for b, f in zip(KEY[1:], factor, strict=True))]
+    n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.select(*KEY, *columns).repartition(n, *by).groupBy(*by).applyInPandas(one, f"{_KEY}, {schema}"), wide
+
+
+def cut_up(key: Sequence[int], wide: Grid, grid: Grid, known: np.ndarray, **columns: np.ndarray) -> pd.DataFrame:
+    """A brick's known blocks, with their voxels of the columns."""
+    first, d, out = wide.origin(key[1:]), wide.extent(key[1:]), []
+    known, columns = known.reshape(d), {c: v.reshape(d) for c, v in columns.items()}
+    for block in product(*(range(f // s, -(-(f + e) // s)) for f, e, s in zip(first, d, grid.size, strict=True))):
+        at = tuple(slice(o - f, o - f + e) for o, f, e in zip(grid.origin(block), first, grid.extent(block), strict=True))
+        if known[at].any():
+            out.append((key[0], *block, *(v[at].ravel() for v in columns.values())))
+    return pd.DataFrame(out, columns=[*KEY, *columns])
+
+
 def gaussian_kernel(sigma: float, truncate: float = 3.0) -> np.ndarray:
     r = int(truncate * sigma + 0.5)
     k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2) if sigma > 0 else np.ones(1)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshquarry.operators import graph
-from meshquarry.operators.blocks import _KEY, KEY, Grid, spread, with_neighbours
+from meshquarry.operators.blocks import _KEY, KEY, Grid, bricks, coarse, cut_up, spread, with_neighbours
 from meshquarry.operators.relational import numbered
 from meshquarry.storage import cut, stored
 
@@ -45,79 +45,60 @@ def block_components(labels: np.ndarray) -> np.ndarray:
     return np.where(labels.ravel() != 0, root, -1)
 
 
-def _parts(blocks: DataFrame, grid: Grid, column: str) -> DataFrame:
-    """Blocks with node, of each voxel the number of the first voxel of its component within the block, or -1."""
+def _parts(blocks: DataFrame, grid: Grid, column: str) -> tuple[DataFrame, Grid]:
+    """Bricks of blocks with node, of each voxel the number of the first voxel of its component within the brick, or -1; the
+    components' nodes, labels and sizes; labels and nodes of the two faces along each axis. And the bricks' grid."""
+    wide = coarse(grid)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            nodes = []
-            for row in pdf.itertuples(index=False):
-                own = block_components(np.asarray(row[4]).reshape(grid.extent(row[1:4])))
-                nodes.append(np.where(own >= 0, grid.voxels(row[0], row[1:4])[own], -1))
-            yield pdf.assign(node=nodes)
+    def run(key: tuple, whole: dict[str, np.ndarray], known: np.ndarray) -> dict:
+        label = whole["label"]
+        own = block_components(label)
+        node = np.where(own >= 0, wide.voxels(key[0], key[1:])[own], -1)
+        some = np.flatnonzero(own >= 0)
+        at, n = np.unique(own[some], return_counts=True)
+        faces = [[v.reshape(label.shape).take(side, axis).ravel() for axis in range(3) for side in (0, -1)] for v in (label, node)]
+        return {"known": known.ravel(), "node": node, "first": node[at], "label": label.ravel()[at], "n": n, "labels": faces[0], "nodes": faces[1]}
 
-    return blocks.select(*KEY, F.col(column).cast("array<bigint>").alias("label")).mapInPandas(run, f"{_KEY}, label array<bigint>, node array<bigint>")
+    rows = blocks.select(*KEY, F.col(column).cast("array<bigint>").alias("label"))
+    kinds = "known array<boolean>, node array<bigint>, first array<bigint>, label array<bigint>, n array<bigint>, labels array<array<bigint>>, nodes array<array<bigint>>"
+    return bricks(rows, grid, ["label"], run, kinds)
 
 
-def _face_links(parts: DataFrame, grid: Grid) -> DataFrame:
-    """(a, b): nodes of equal labels that meet where two blocks touch. Only the faces are shuffled."""
+def _face_links(parts: DataFrame) -> DataFrame:
+    """(a, b): nodes of equal labels that meet where two bricks touch. Only the faces are shuffled."""
 
-    def faces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                block, d = [int(i) for i in row[1:4]], grid.extent(row[1:4])
-                label, node = (np.asarray(v).reshape(d) for v in row[4:6])
-                for axis in range(3):
-                    far = [i + (k == axis) for k, i in enumerate(block)]
-                    out.append((row[0], *block, axis, 1, label.take(0, axis).ravel(), node.take(0, axis).ravel()))
-                    out.append((row[0], *far, axis, 0, label.take(-1, axis).ravel(), node.take(-1, axis).ravel()))
-            yield pd.DataFrame(out, columns=[*KEY, "axis", "side", "label", "node"])
+    def side(far: int, p: str) -> DataFrame:
+        found = None
+        for axis, b in enumerate(KEY[1:]):
+            face = parts.withColumn(b, F.col(b) + far).select(*KEY, F.lit(axis).alias("axis"), *(F.col(c)[2 * axis + far].alias(f"{p}{c}") for c in ("labels", "nodes")))
+            found = face if found is None else found.unionByName(face)
+        return found
 
-    rows = parts.mapInPandas(faces, f"{_KEY}, axis int, side int, label array<bigint>, node array<bigint>")
-    side = lambda s, p: rows.where(F.col("side") == s).select(*KEY, "axis", F.col("label").alias(f"{p}label"), F.col("node").alias(f"{p}node"))
-    both = side(0, "a").join(side(1, "b"), [*KEY, "axis"]).select("alabel", "anode", "blabel", "bnode")
+    both = side(1, "a").join(side(0, "b"), [*KEY, "axis"])
+    pairs = both.select(F.explode(F.arrays_zip("alabels", "anodes", "blabels", "bnodes")).alias("f")).select("f.*")
+    return pairs.where("alabels = blabels AND anodes >= 0 AND bnodes >= 0").select(F.col("anodes").alias("a"), F.col("bnodes").alias("b")).distinct()
 
-    def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for la, a, lb, b in pdf.itertuples(index=False):
-                a, b = np.asarray(a), np.asarray(b)
-                pairs = np.unique(np.stack([a, b], 1)[(np.asarray(la) == np.asarray(lb)) & (a >= 0) & (b >= 0)], axis=0)
-                if len(pairs):
-                    yield pd.DataFrame(pairs, columns=["a", "b"])
 
-    return both.mapInPandas(links, "a long, b long").distinct()
-
-
-def _members(parts: DataFrame, grid: Grid) -> DataFrame:
-    """(key, node, label, root, n): the components' parts in each block, with the component that they belong to, named by its first
+def _members(parts: DataFrame) -> DataFrame:
+    """(key, node, label, root, n): the components' parts in each brick, with the component that they belong to, named by its first
     voxel."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                node, first, n = np.unique(np.asarray(row[5]), return_index=True, return_counts=True)
-                some = node >= 0
-                out += [(*row[:4], *x) for x in zip(node[some].tolist(), np.asarray(row[4])[first[some]].tolist(), n[some].tolist(), strict=True)]
-            yield pd.DataFrame(out, columns=[*KEY, "node", "label", "n"])
-
-    rows = parts.mapInPandas(count, f"{_KEY}, node long, label long, n long")
-    return rows.join(graph.components(_face_links(parts, grid)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = parts.select(*KEY, F.explode(F.arrays_zip("first", "label", "n")).alias("p")).select(*KEY, F.col("p.first").alias("node"), "p.label", "p.n")
+    return rows.join(graph.components(_face_links(parts)), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def component_table(blocks: DataFrame, grid: Grid, column: str) -> DataFrame:
     """(volume, component, label, n): connected components of equal labels other than 0, across all blocks; faces connect.
-    A component is named by the number of its first voxel (Grid.voxels). No voxels are sent but those of block faces."""
-    rows = _members(stored(_parts(blocks, grid, column), "parts"), grid)
+    A component is named by the number of its first voxel (Grid.voxels). Blocks go into bricks, and after that no voxels are sent but those of the bricks' faces."""
+    rows = _members(stored(_parts(blocks, grid, column)[0], "parts"))
     return rows.groupBy("volume", F.col("root").alias("component")).agg(F.first("label").alias("label"), F.sum("n").alias("n"))
 
 
 def components(blocks: DataFrame, grid: Grid, column: str, least: int = 1, dense: bool = True) -> DataFrame:
     """(key, component): for each voxel its component, among those with at least `least` voxels; else 0. Dense numbers go from 1
     in order of the first voxels, over all volumes; otherwise a component is its first voxel's number plus one."""
-    parts = stored(_parts(blocks, grid, column), "parts")
-    members = stored(_members(parts, grid), "members")
+    parts, wide = _parts(blocks, grid, column)
+    parts = stored(parts, "parts")
+    members = stored(_members(parts), "members")
     kept = members.groupBy("root").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("root")
     kept = numbered(kept, ["root"], "component") if dense else kept.withColumn("component", F.col("root") + 1)
     named = members.join(kept, "root").select(*KEY, "node", "component")
@@ -132,9 +113,9 @@ def components(blocks: DataFrame, grid: Grid, column: str, least: int = 1, dense
         if len(known):
             at = np.minimum(np.searchsorted(known, node), len(known) - 1)
             out = np.where(known[at] == node, number[at], 0)
-        return own[KEY].assign(component=[out])
+        return cut_up([int(k) for k in own[KEY].iloc[0]], wide, grid, np.asarray(own["known"].iloc[0]), component=out)
 
-    return spread(parts).groupBy(*KEY).cogroup(named.groupBy(*KEY)).applyInPandas(paint, f"{_KEY}, component array<bigint>")
+    return spread(parts.select(*KEY, "known", "node")).groupBy(*KEY).cogroup(named.groupBy(*KEY)).applyInPandas(paint, f"{_KEY}, component array<bigint>")
 
 
 def label_pieces(blocks: DataFrame, grid: Grid, column: str) -> DataFrame:
@@ -212,8 +193,8 @@ def watershed(blocks: DataFrame, grid: Grid, level: str, marker: str) -> DataFra
     is never flooded). At a level, basins grow in steps over faces through all voxels of at most that level; where
     several arrive at a voxel in the same step, the smallest marker takes it. Voxels that no marker reaches are 0.
 
-    First the step at which each voxel is reached is settled, then who takes it, each in rounds: a block floods
-    itself, and sends its outermost voxels to its neighbours where they changed. There are about as many rounds as blocks on
+    First the step at which each voxel is reached is settled, then who takes it, each in rounds: a brick of blocks floods
+    itself, and sends its outermost voxels to its neighbours where they changed. There are about as many rounds as bricks on
     the longest way from a marker; the result is that of one block.
     """
     reach = (1, 1, 1)
@@ -229,9 +210,14 @@ def watershed(blocks: DataFrame, grid: Grid, level: str, marker: str) -> DataFra
         after = _flood(levels, cost, free)
         return {"level": row["level"], "marker": row["marker"], "cost": after[core].ravel(), "changed": bool((after[core] != cost[core]).any())}
 
-    first = F.transform(F.arrays_zip(F.col(level).alias("l"), F.col(marker).alias("m")), lambda v: F.when(v["m"] > 0, F.lit(0)).otherwise(F.lit(int(_NEVER))).cast("long"))
+    def begin(key: tuple, whole: dict[str, np.ndarray], known: np.ndarray) -> dict:
+        marker = np.where(known, np.maximum(whole["marker"], 0), -1)  # -1: of absent blocks, which nothing reaches
+        return {"level": np.where(known, whole["level"], -1).ravel(), "marker": marker.ravel(), "cost": np.where(marker > 0, 0, _NEVER).ravel(), "changed": True}
+
     kinds = "level array<bigint>, marker array<bigint>, cost array<bigint>, changed boolean"
-    state = stored(blocks.select(*KEY, F.col(level).cast("array<bigint>").alias("level"), F.col(marker).cast("array<bigint>").alias("marker"), first.alias("cost"), F.lit(True).alias("changed")), "levels")
+    rows = blocks.select(*KEY, F.col(level).cast("array<bigint>").alias("level"), F.col(marker).cast("array<bigint>").alias("marker"))
+    small, (state, grid) = grid, bricks(rows, grid, ["level", "marker"], begin, kinds)
+    state = stored(state, "levels")
     while True:
         state = stored(with_neighbours(state, grid, ["cost"], reach, settle, kinds, state.where("changed")), "levels")
         if state.where("changed").isEmpty():
@@ -247,14 +233,19 @@ def watershed(blocks: DataFrame, grid: Grid, level: str, marker: str) -> DataFra
         return {"level": row["level"], "cost": row["cost"], "basin": after[core].ravel(), "changed": bool((after[core] != padded["basin"][core]).any())}
 
     kinds = "level array<bigint>, cost array<bigint>, basin array<bigint>, changed boolean"
-    own = F.transform("marker", lambda m: F.when(m > 0, m).otherwise(F.lit(0)))
-    state = state.select(*KEY, "level", "cost", own.alias("basin"))
+    state = state.select(*KEY, "level", "cost", F.col("marker").alias("basin"))
     while True:
         state = stored(with_neighbours(state, grid, ["cost", "basin"], reach, claim, kinds), "basins")
         if state.where("changed").isEmpty():
-            return state.select(*KEY, "basin")
+            break
         state = state.drop("changed")
 
+    def back(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        basin = np.asarray(own["basin"].iloc[0])
+        return cut_up([int(k) for k in key], grid, small, basin >= 0, basin=basin)
+
+    return spread(state.select(*KEY, "basin")).groupBy(*KEY).applyInPandas(back, f"{_KEY}, basin array<bigint>")
+
 
 def log_odds(mean: Column, least: float = 1e-6) -> Column:
     """Of a mean affinity between 0 and 1; over 0 speaks for one object."""
@@ -290,7 +281,9 @@ def touching(blocks: DataFrame, grid: Grid, region: str, affinity: str) -> DataF
         np.add.at(total, at.ravel(), value)
         return {"faces": [dict(zip(("lo", "hi", "total", "n"), map(int, x), strict=True)) for x in zip(*pairs, total, n, strict=True)]}
 
-    rows = with_neighbours(blocks, grid, [region, affinity], (1, 1, 1), run, "faces array<struct<lo: long, hi: long, total: long, n: long>>")
+    whole = lambda key, columns, known: {c: v.ravel() for c, v in columns.items()}  # noqa: E731  absent: region 0
+    rows, grid = bricks(blocks.select(*KEY, F.col(region).cast("array<bigint>").alias(region), F.col(affinity).cast("array<double>").alias(affinity)), grid, [region, affinity], whole, f"{region} array<bigint>, {affinity} array<double>")
+    rows = with_neighbours(stored(rows, "regions"), grid, [region, affinity], (1, 1, 1), run, "faces array<struct<lo: long, hi: long, total: long, n: long>>")
     by = rows.select("volume", F.explode("faces").alias("f")).groupBy("volume", "f.lo", "f.hi")
     return by.agg(F.sum("f.total").alias("total"), F.sum("f.n").alias("n"))
 

@@ -319,3 +319,24 @@ def test_paths_up_a_long_chain_and_over_forks(spark):
     assert len(G.lifted(edges)) == 12
     with pytest.raises(ValueError, match="cycle"):
         G.lifted(spark.createDataFrame([(1, 1, 2, 1.0), (1, 2, 1, 1.0)], "tree long, child long, parent long, length double"))
+
+
+def test_bricks_do_not_change_results(spark, labels, monkeypatch):
+    """Bricks of two blocks, so that most borders are crossed by joins."""
+    monkeypatch.setattr(B, "BRICK", 150)
+    assert B.coarse(GRIDS[0]).size == (8, 4, 4) and B.coarse(GRIDS[2]).size == SHAPE
+    test_components_over_blocks(spark, labels, GRIDS[0])
+    test_watershed_does_not_depend_on_blocks(spark, GRIDS[0])
+
+
+def test_small_blocks_flood_together(spark, monkeypatch):
+    """A way through 24 small blocks is settled in one brick, not in a round a block."""
+    rounds, stored = [], S.stored
+    monkeypatch.setattr(S, "stored", lambda df, name: rounds.append(name) or stored(df, name))
+    grid = B.Grid((1, 4, 48), (1, 4, 2))
+    level, marker = np.zeros((1, 4, 48), np.int64), np.zeros((1, 4, 48), np.int64)
+    marker[0, 0, 0] = 7
+    df = table(spark, grid, 1, level=[level], marker=[marker]).where("bx <> 20")
+    found = whole(S.watershed(df, grid, "level", "marker"), grid, "basin")[0][0]
+    assert (found[:, :40] == 7).all() and (found[:, 40:42] == -9).all() and (found[:, 42:] == 0).all()
+    assert len(rounds) < 10
