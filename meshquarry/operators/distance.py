@@ -11,16 +11,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshquarry.operators import segments
-from meshquarry.operators.blocks import _KEY, KEY, Grid, as_voxels
+from meshquarry.operators.blocks import _KEY, KEY, Grid, as_voxels, bricks, cut_up, spread, with_neighbours
 from meshquarry.storage import stored
 
 #: Stands for no border on any line so far.
 FAR = np.int64(1 << 40)
+#: Stands for voxels that are not there.
+VOID = np.iinfo(np.int64).min
+#: How far around a brick its distances are looked for first.
+REACH = 8
 
 
 def envelope(labels: np.ndarray, f: np.ndarray) -> np.ndarray:
     """Of lines (rows are places, columns are lines) the least f[j] + (i - j)^2 over the j that the line reaches from i
-    within the same label; the first voxel of another label on either side counts as f = 0, the lines' ends do not.
+    within the same label; the first voxel of another label on either side counts as f = 0, the lines' ends and VOID do not.
 
     The lower envelope of the parabolas of each stretch (Felzenszwalb and Huttenlocher, 2012), all lines side by side.
     """
@@ -54,11 +58,12 @@ def envelope(labels: np.ndarray, f: np.ndarray) -> np.ndarray:
         if q:
             new = np.flatnonzero(labels[q] != labels[q - 1])
             if len(new):
-                push(new, q, np.zeros(len(new), np.int64))
+                met = new[(labels[q, new] != VOID) & (labels[q - 1, new] != VOID)]
+                push(met, q, np.zeros(len(met), np.int64))
                 for w in new:
                     last[begun[w] : q, w] = top[w]
                 base[new], begun[new] = top[new] + 1, q
-                push(new, q - 1, np.zeros(len(new), np.int64))
+                push(met, q - 1, np.zeros(len(met), np.int64))
         near = every[f[q] < FAR]
         push(near, q, f[q, near])
         first[q] = base
@@ -118,14 +123,60 @@ def _pass(rows: DataFrame, grid: Grid, axis: int) -> DataFrame:
     return worked.repartition(n, "volume", "p", "q", "at").groupBy("volume", "p", "q", "at").applyInPandas(put_back, f"{_KEY}, label array<bigint>, f array<bigint>")
 
 
+def _along_lines(rows: DataFrame, grid: Grid) -> DataFrame:
+    """(key, label, f): the distances over lines as long as the volume. One pass an axis, each with two shuffles; a task holds one
+    bundle of lines."""
+    rows = rows.withColumn("f", F.transform("label", lambda _: F.lit(int(FAR))))
+    for axis in (2, 1, 0):
+        rows = stored(_pass(rows, grid, axis), "distances")
+    return rows
+
+
+def _nearby(rows: DataFrame, grid: Grid, reach: int) -> tuple[DataFrame, Grid]:
+    """Bricks (key, label, known, f, settled) with the distances that lines of a brick, widened by `reach`, tell; and the bricks' grid.
+    The way to a nearest voxel of another label leaves no axis further than its distance, so what is found at most reach + 1 away
+    is exact."""
+    hold = lambda key, whole, known: {"label": whole["label"].ravel(), "known": known.ravel()}
+    rows, wide = bricks(rows, grid, ["label"], hold, "label array<bigint>, known array<boolean>")
+
+    def run(row: pd.Series, padded: dict[str, np.ndarray], known: np.ndarray) -> dict:
+        there = known & padded["known"]
+        label, f = np.where(there, padded["label"], VOID), np.full(there.shape, FAR)
+        inside = tuple(slice(int(p.min()), int(p.max()) + 1) for p in np.nonzero(there))
+        for axis in (2, 1, 0):
+            turned = [np.moveaxis(v[inside], axis, 0) for v in (label, f)]
+            done = envelope(*(v.reshape(len(v), -1) for v in turned))
+            f[inside] = np.moveaxis(done.reshape(turned[1].shape), 0, axis)
+        core = (slice(reach, -reach),) * 3
+        label, f, here = label[core], f[core], there[core]
+        at = [int(row[b]) for b in KEY[1:]]
+        whole = all(o <= reach and o + e + reach >= n for o, e, n in zip(wide.origin(at), wide.extent(at), wide.shape, strict=True))
+        sure = whole or bool((f[here & (label != 0)] <= (reach + 1) ** 2).all())
+        return {"label": row["label"], "known": row["known"], "f": f.ravel(), "settled": sure}
+
+    kinds = "label array<bigint>, known array<boolean>, f array<bigint>, settled boolean"
+    return with_neighbours(stored(rows, "bricks"), wide, ["label", "known"], (reach,) * 3, run, kinds), wide
+
+
 def squared_distances(blocks: DataFrame, grid: Grid, column: str) -> DataFrame:
     """(key, label, d2): of each voxel of a label other than 0 the squared distance to the nearest voxel of another label, exact,
     across all blocks; 0 on label 0, null where the volume has no other label in reach of its lines. The volume's ends and absent
-    blocks are no border. One pass an axis, each with two shuffles; a task holds one bundle of lines."""
+    blocks are no border.
+
+    A task works a brick of blocks off with REACH voxels around it. Where an object is so thick that this doesn't settle all,
+    the lines of the whole volume are worked off, a bundle a task."""
     rows = blocks.select(*KEY, F.col(column).cast("array<bigint>").alias("label"))
-    rows = rows.withColumn("f", F.transform("label", lambda _: F.lit(int(FAR))))
-    for axis in (2, 1, 0):
-        rows = stored(_pass(rows, grid, axis), "distances")
+    near, wide = _nearby(rows, grid, REACH)
+    near = stored(near, "distances")
+    if near.where("NOT settled").isEmpty():
+
+        def back(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+            known, label, f = (np.asarray(own[c].iloc[0]) for c in ("known", "label", "f"))
+            return cut_up([int(k) for k in key], wide, grid, known, label=label, f=f)
+
+        rows = spread(near.drop("settled")).groupBy(*KEY).applyInPandas(back, f"{_KEY}, label array<bigint>, f array<bigint>")
+    else:
+        rows = _along_lines(rows, grid)
     d2 = F.transform(F.arrays_zip("label", "f"), lambda v: F.when(v["label"] == 0, F.lit(0).cast("long")).when(v["f"] < int(FAR), v["f"]))
     return rows.select(*KEY, "label", d2.alias("d2"))
 

@@ -340,3 +340,20 @@ def test_small_blocks_flood_together(spark, monkeypatch):
     found = whole(S.watershed(df, grid, "level", "marker"), grid, "basin")[0][0]
     assert (found[:, :40] == 7).all() and (found[:, 40:42] == -9).all() and (found[:, 42:] == 0).all()
     assert len(rounds) < 10
+
+
+@pytest.mark.parametrize(("brick", "reach", "lines"), [(150, 6, False), (150, 1, True)])
+def test_distances_are_settled_nearby_or_along_lines(spark, monkeypatch, brick, reach, lines):
+    """Small objects need no lines as long as the volume; thick ones fall back to them. A block is absent."""
+    monkeypatch.setattr(B, "BRICK", brick)
+    monkeypatch.setattr(D, "REACH", reach)
+    used, along = [], D._along_lines
+    monkeypatch.setattr(D, "_along_lines", lambda *a: used.append(1) or along(*a))
+    rng, grid = np.random.default_rng(3), B.Grid((24, 5, 6), (3, 5, 3))
+    a = rng.choice(3, grid.shape, p=(0.1, 0.6, 0.3)).astype(np.int64)
+    a[8:14] = 2
+    df = table(spark, grid, 1, label=[a]).where("NOT (bz = 6 AND bx = 1)")
+    found = whole(D.squared_distances(df, grid, "label"), grid, "d2")[0]
+    want = whole(along(df, grid).withColumn("d2", B.F.transform("f", lambda f: B.F.when(f < int(D.FAR), f))), grid, "d2")[0]
+    want[(a == 0) & (found != -9)] = 0
+    assert (found == want).all() and (found == -9).sum() == 45 and bool(used) is lines
