@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 BLOCKS = "path string, iz int, iy int, ix int, z0 int, y0 int, x0 int, dz int, dy int, dx int, dtype string, payload binary"
 
+#: Voxels of small blocks that go to Spark at once.
+VOXELS = 1 << 16
+
 
 def read_npy(spark: SparkSession, path: str, block: tuple[int, int, int], member: str | None = None) -> DataFrame:
     """Blocks of the three-dimensional arrays in .npy or .npz files, in C order. Of an .npz the member of that name is read, or
@@ -43,9 +46,19 @@ def voxels(blocks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            out, held = [], 0
             for b in pdf.itertuples(index=False):
                 part = np.frombuffer(b.payload, np.dtype(b.dtype)).reshape(b.dz, b.dy, b.dx)
                 z, y, x = (a.ravel() for a in np.indices(part.shape))
-                yield pd.DataFrame({"path": b.path, "z": z + b.z0, "y": y + b.y0, "x": x + b.x0, "value": part.ravel().astype(np.float64)})
+                out.append((np.full(part.size, b.path, object), z + b.z0, y + b.y0, x + b.x0, part.ravel().astype(np.float64)))
+                held += part.size
+                if held >= VOXELS:
+                    yield together(out)
+                    out, held = [], 0
+            if out:
+                yield together(out)
+
+    def together(parts: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame({c: np.concatenate(v) for c, v in zip(("path", "z", "y", "x", "value"), zip(*parts, strict=True), strict=True)})
 
     return blocks.mapInPandas(run, "path string, z long, y long, x long, value double")

@@ -25,6 +25,10 @@ Triple = tuple[int, int, int]
 PREFERRED = ("segmentation", "labels", "seg")
 #: Bytes of whole blocks that a task reads.
 TASK_BYTES = 128 << 20
+#: Files that a task opens, one after the other.
+TASK_FILES = 256
+#: Blocks, and their bytes, that go to Spark at once.
+BATCH_ROWS, BATCH_BYTES = 256, 1 << 20
 _ARROW = pa.schema([(c.split()[0], {"string": pa.string(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]]) for c in BLOCKS.split(", ")])
 
 
@@ -75,6 +79,13 @@ class Part(D.InputPartition):
     last: int
 
 
+@dataclass
+class Parts(D.InputPartition):
+    """What one task reads: of small files, many."""
+
+    parts: list[Part]
+
+
 class VolumeReader(D.DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.member = options["path"], options.get("member")
@@ -82,7 +93,7 @@ class VolumeReader(D.DataSourceReader):
         self.box = tuple(int(v) for v in options["box"].split(",")) if "box" in options else None
         self.integers, self.task_bytes = str(options.get("integers", "false")).lower() == "true", int(options.get("task_bytes", TASK_BYTES))
 
-    def partitions(self) -> list[Part]:
+    def partitions(self) -> list[Parts]:
         out = []
         for path in _files(self.path):
             part = _described(path, self.member)
@@ -100,9 +111,29 @@ class VolumeReader(D.DataSourceReader):
             n = prod(max(0, h - l) for l, h in zip(lo, hi, strict=True))
             each = n if part.at < 0 else max(1, self.task_bytes // (prod(self.block) * dtype.itemsize))
             out += [replace(part, lo=tuple(lo), hi=tuple(hi), first=i, last=min(n, i + each)) for i in range(0, n, max(each, 1))]
-        return out
-
-    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+        bundles, room = [], 0
+        for part in out:
+            wanted = (part.last - part.first) * prod(self.block) * np.dtype(part.dtype).itemsize
+            if wanted > room or len(bundles[-1].parts) == TASK_FILES:
+                bundles.append(Parts([]))
+                room = self.task_bytes
+            bundles[-1].parts.append(part)
+            room -= wanted
+        return bundles
+
+    def read(self, bundle: Parts) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for part in bundle.parts:
+            for row in self.rows(part):
+                rows.append(row)
+                held += len(row[-1])
+                if held >= BATCH_BYTES or len(rows) == BATCH_ROWS:
+                    yield _batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield _batch(rows)
+
+    def rows(self, part: Part) -> Iterator[list]:
         system, name = _located(part.path)
         dtype = np.dtype(part.dtype)
         whole = None
@@ -123,8 +154,11 @@ class VolumeReader(D.DataSourceReader):
                     got = _read(f, part.at, part.shape[::-1], dtype, lo[::-1], hi[::-1]).transpose()
                 else:
                     got = _read(f, part.at, part.shape, dtype, lo, hi)
-                row = [part.path, *b, *lo, *got.shape, dtype.str, np.ascontiguousarray(got).tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(row, _ARROW, strict=True)], schema=_ARROW)
+                yield [part.path, *b, *lo, *got.shape, dtype.str, np.ascontiguousarray(got).tobytes()]
+
+
+def _batch(rows: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
 def _read(f: pa.NativeFile, at: int, shape: Triple, dtype: np.dtype, lo: list[int], hi: list[int]) -> np.ndarray:

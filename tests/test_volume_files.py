@@ -68,3 +68,11 @@ def test_like_the_other_reader(spark, tmp_path):
     key = lambda r: (r.iz, r.iy, r.ix)
     one = sorted(volumes.read_blocks(spark, str(tmp_path / "v.npy"), (2, 3, 2)).drop("path").collect(), key=key)
     assert one == sorted(arrays.read_npy(spark, str(tmp_path / "v.npy"), (2, 3, 2)).drop("path").collect(), key=key)
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    for i in range(40):
+        np.save(tmp_path / f"{i:02}.npy", np.full((2, 2, 2), i, np.int64))
+    got = volumes.read_blocks(spark, str(tmp_path), (1, 2, 2))
+    assert got.rdd.getNumPartitions() == 1 and got.count() == 80
+    assert sorted({(r.path[-6:-4], r.value) for r in arrays.voxels(got).collect()}) == [(f"{i:02}", float(i)) for i in range(40)]
