@@ -7,14 +7,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Rows of (object, member) that a task of overlaps() is dealt, about; more rows make more tasks, not larger ones.
+ROWS_A_TASK = 500_000
+
+
 def overlaps(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     """(source, target, overlap) of objects (object, member) of two builds whose member sets have a Jaccard index of `least` or
-    more. Only objects that share a member meet; pairs are counted before the shuffle."""
-    a, b = a.select("object", "member").distinct(), b.select("object", "member").distinct()
-    size = lambda df, name: df.groupBy(F.col("object").alias(name)).agg(F.count("*").alias(f"n_{name}"))
-    both = a.withColumnRenamed("object", "source").join(b.withColumnRenamed("object", "target"), "member").groupBy("source", "target").agg(F.count("*").alias("n"))
-    both = both.join(size(a, "source"), "source").join(size(b, "target"), "target")
-    return both.select("source", "target", (F.col("n") / (F.col("n_source") + F.col("n_target") - F.col("n"))).alias("overlap")).where(F.col("overlap") >= least)
+    more. Only objects that share a member meet. Rows are dealt out by members once; there each member of a source takes along
+    the targets that hold it, so that a row a member, not a row a pair, goes on to the source's task. Pairs are counted within it,
+    and only those that share enough of the source's members to come to `least` leave it. Rows are counted first, to deal them."""
+    a, b = a.select("object", "member"), b.select("object", "member")
+    rows = max(a.count(), b.count())
+    n = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_TASK))
+    a, b = (df.repartition(n, "member").distinct() for df in (a, b))
+    held = b.groupBy("member").agg(F.collect_list("object").alias("targets"))
+    of = a.withColumnRenamed("object", "source").join(held, "member", "left").select("source", "targets").repartition(n, "source")
+    of = of.withColumn("n_source", F.count("*").over(W.partitionBy("source")))
+    near = of.select("source", "n_source", F.explode("targets").alias("target")).groupBy("source", "n_source", "target").agg(F.count("*").alias("n"))
+    near = near.where((F.col("n") / F.col("n_source") >= least) & F.col("source").isNotNull())
+    near = near.join(b.groupBy(F.col("object").alias("target")).agg(F.count("*").alias("n_target")), "target")
+    return near.select("source", "target", (F.col("n") / (F.col("n_source") + F.col("n_target") - F.col("n"))).alias("overlap")).where(F.col("overlap") >= least)
 
 
 def _several(pairs: DataFrame, key: str) -> DataFrame:
