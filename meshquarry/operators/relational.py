@@ -1,4 +1,4 @@
-"""Joins, integrity rules and groupings over record tables. All are lazy and return DataFrames."""
+"""Joins, integrity rules and groupings over record tables. All return DataFrames and are lazy, but for the count of dealt()."""
 
 from __future__ import annotations
 
@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 
 from meshquarry.storage import cut
 
+#: Rows that dealt() gives a task, about.
+ROWS_A_TASK = 500_000
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt out by keys, over as many tasks as give each about ROWS_A_TASK, so that what a task holds of them does not
+    grow with the table. Counts them first. Groups of these keys need no further shuffle, nor a table of groups before this one; that
+    pays where groups are small. The rows of one key are one task's."""
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS_A_TASK))
+    return rows.repartition(n, *keys)
+
 
 def connections(sites: DataFrame, accepted: Sequence[str]) -> DataFrame:
     """Directed edges (pre, post) from sites (id, pre, post, evidence, verified, review): number of sites, number of distinct

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meshquarry.functions import canonical
-from meshquarry.operators import plans, spatial
+from meshquarry.operators import plans, relational, spatial
 from meshquarry.plans import bind, catalog
 from meshquarry.plans.bind import table
 from meshquarry.plans.catalog import _GRID, _STATUS, TILE, part_shape, query
@@ -91,8 +91,12 @@ def path_gate(spark, sf_dir):
 _GRAPH = "WITH e AS (SELECT l_suppkey AS pre, l_partkey AS post, count(*) AS n FROM lineitem GROUP BY 1, 2), nodes AS (SELECT pre AS id FROM e UNION SELECT post FROM e)"
 
 
+def _links(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("pre"), F.col("l_partkey").alias("post"), F.lit(1).alias("n"))
+
+
 def _graph(spark, sf_dir):
-    edges = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("pre"), F.col("l_partkey").alias("post")).agg(F.count("*").alias("n")).withColumn("id", F.concat_ws("-", "pre", "post"))
+    edges = relational.dealt(_links(spark, sf_dir), "pre", "post").groupBy("pre", "post").agg(F.sum("n").alias("n")).withColumn("id", F.concat_ws("-", "pre", "post"))
     return edges.select(F.explode(F.array("pre", "post")).alias("id")).distinct(), edges
 
 
@@ -105,4 +109,4 @@ def graph_lines(spark, sf_dir):
 
 @query(f"{_GRAPH} SELECT pre || ',' || post || ',' || n AS line FROM e UNION ALL SELECT 'pre,post,n'")
 def adjacency_lines(spark, sf_dir):
-    return exports.adjacency(_graph(spark, sf_dir)[1]).select("line")
+    return exports.adjacency(_links(spark, sf_dir)).select("line")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshquarry.operators import relational
+
 
 def _escaped(text: Column) -> Column:
     out = text.cast("string")
@@ -28,9 +30,10 @@ def graphml(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def adjacency(edges: DataFrame) -> DataFrame:
     """(part, key, line) of the matrix of counts of edges (pre, post, n) as CSV: a head, then a line `pre,post,n` a cell that holds
-    something, parallel edges added up. There is no line for an empty cell, and no row of a matrix in one piece."""
+    something, parallel edges added up. There is no line for an empty cell, and no row of a matrix in one piece. Edges are dealt out by
+    cells, as they are, so that a task adds up a bounded number of them."""
     head = edges.sparkSession.createDataFrame([(0, "", "pre,post,n")], "part int, key string, line string")
-    cells = edges.dropna(subset=["pre", "post"]).groupBy("pre", "post").agg(F.sum("n").alias("n"))
+    cells = relational.dealt(edges.dropna(subset=["pre", "post"]).select("pre", "post", "n"), "pre", "post").groupBy("pre", "post").agg(F.sum("n").alias("n"))
     key = F.concat_ws(",", *(F.col(c).cast("string") for c in ("pre", "post")))
     return head.unionByName(cells.select(F.lit(1).alias("part"), key.alias("key"), F.concat_ws(",", key, F.col("n").cast("string")).alias("line")))
 

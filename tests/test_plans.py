@@ -3,7 +3,8 @@
 import xml.etree.ElementTree as ET
 from pathlib import Path
 
-from meshquarry.operators import plans, spatial
+from meshquarry.operators import plans, relational, spatial
+from meshquarry.plans import plans_catalog
 from meshquarry.sources import exports
 
 PLACE = ["z", "y", "x"]
@@ -59,3 +60,18 @@ def test_graphs_are_read_back(spark, tmp_path):
     assert {n.get("id") for n in root.iter(f"{ns}node")} == {r.id for r in nodes.collect()}
     assert {(e.get("id"), e.get("source"), e.get("target"), int(e[0].text)) for e in root.iter(f"{ns}edge")} == {tuple(r) for r in edges.collect()}
     assert [r.line for r in exports.adjacency(edges).where("key = 'n3,n21' OR part = 0").orderBy("part").collect()] == ["pre,post,n", "n3,n21,8"]
+
+
+def test_cells_are_added_up_once_by_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(relational, "ROWS_A_TASK", 10)
+    edges = spark.createDataFrame([(i % 7, i % 5, 1) for i in range(300)] + [(None, 1, 1), (1, None, 1)], "pre int, post int, n long")
+    lines = exports.adjacency(edges)
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(pre" in plan and ", 30), REPARTITION_BY_NUM" in plan and plan.count("Exchange") == 1
+    assert sorted(r.line for r in lines.where("part = 1").collect()) == sorted(f"{p},{q},{len([i for i in range(300) if (i % 7, i % 5) == (p, q)])}" for p in range(7) for q in range(5))
+
+
+def test_links_are_counted_in_one_place(spark):
+    """The query gives the export its rows as they are, not groups to group again."""
+    plan = plans_catalog.adjacency_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate") <= 2 and plan.count("Exchange") == 1
