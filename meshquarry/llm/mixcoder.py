@@ -27,12 +27,12 @@ STREAMS = 128
 MIX_BITS, LIMIT, LEAST, SLACK = 30, 1 << 20, 1 << 22, 1 << 12
 #: Contexts of orders 1 and 2, by hash (powers of two), and how many ids that followed each holds, how often at most.
 SLOTS, FOLLOW, MOST = (1 << 14, 1 << 16), 4, 255
+_FOLLOW_BITS = FOLLOW.bit_length() - 1
 #: An entry of a list: an id, the share that order 0 gave it when it last came (four bits of exponent, three of mantissa), its count.
 _ID, _HELD, _SHARE = 15, 255, 127 << 8
 #: What makes the bits of a share, 20 to the left, those of a float32 from 2^-16 to 1.
 _BIAS = 111 << 23
 _STANDINGS, _TIMES = 64, 22
-_NONE = np.float32(0)
 _WORD, _UNIT = np.uint64(31), np.uint64(MIX_BITS)
 _MASK = np.uint64((1 << 31) - 1)
 _LOW = np.uint64(1 << 31)
@@ -81,7 +81,7 @@ class _Model:
         runs = []
         for b in range(self.blocks):
             seen = self.seen[b]
-            ids = np.flatnonzero(seen != 0)
+            ids = (seen != 0).nonzero()[0]
             n = seen[ids]
             if n.sum() >= LIMIT:
                 n = (n + 1) // 2
@@ -133,10 +133,10 @@ class _Model:
         one[...], two[...] = count[0], count[1]
         one *= scale[0]
         two *= scale[1]
-        same = ids[0] == ids[1][:, None]
-        both[...] = np.where(same[0], two[0], _NONE)
-        for k in range(1, FOLLOW):
-            both += np.where(same[k], two[k], _NONE)
+        same = ids[0] == ids[1][:, None]  # what both lists hold counts with the first
+        np.add.reduce(same.view(np.int8).astype(np.float32) * two[:, None], out=both)
+        once = np.bitwise_or.reduce(same, axis=1)
+        np.logical_not(once, out=once)
         np.bitwise_and(entry, _SHARE, out=entry)
         entry <<= 12
         entry += _BIAS
@@ -147,12 +147,7 @@ class _Model:
         share[0] += one
         share[0] += both
         share[1] += two
-        for k in range(FOLLOW):  # what both lists hold counts with the first
-            once = same[k, 0] | same[k, 1]
-            for j in range(2, FOLLOW):
-                once |= same[k, j]
-            np.logical_not(once, out=once)
-            share[1, k] *= once.view(np.int8).astype(np.float32)
+        share[1] *= once.view(np.int8).astype(np.float32)
         wide[:_LISTED] = share.reshape(_LISTED, n)
         for k in range(_LISTED):
             np.add(begin[k], wide[k], out=begin[k + 1])
@@ -167,8 +162,8 @@ class _Model:
     def span(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where id x begins in the mixture and how wide it is; the lanes whose id wasn't met before."""
         self.hit = self.ids == x.astype(np.int32)
-        self.k = _LISTED - (self.hit.view(np.uint8).reshape(_LISTED, -1) * _RANK).max(0).astype(np.int64)
-        out = np.flatnonzero(self.k == _LISTED)
+        self.k = _LISTED - np.maximum.reduce(self.hit.view(np.uint8).reshape(_LISTED, -1) * _RANK).astype(np.int64)
+        out = (self.k == _LISTED).nonzero()[0]
         place = self.first[out] + x[out]
         return self.settled(out, place)
 
@@ -194,8 +189,8 @@ class _Model:
 
     def find(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The id in whose span v lies, and the same as span() of it; an id not met before isn't known yet."""
-        self.k = (self.begin[1:] <= v).view(np.uint8).sum(0, dtype=np.uint8).astype(np.int64)
-        out = np.flatnonzero(self.k == _LISTED)
+        self.k = np.add.reduce((self.begin[1:] <= v).view(np.uint8), dtype=np.uint8).astype(np.int64)
+        out = (self.k == _LISTED).nonzero()[0]
         at = np.minimum(self.k, _LISTED - 1) * self.n + self.lane[: self.n]
         x = self.ids.ravel().take(at)
         block = self.block[out]
@@ -220,14 +215,14 @@ class _Model:
         low = np.minimum(mark[:, 0], mark[:, 1])
         for k in range(2, FOLLOW):
             np.minimum(low, mark[:, k], out=low)
-        known, held = low < 0, (low & ((1 << 20) - 1)) // FOLLOW
+        known, held = low < 0, (low & ((1 << 20) - 1)) >> _FOLLOW_BITS
         at = (low & (FOLLOW - 1)).astype(np.int64)
         self.slot *= FOLLOW
         at += self.slot
         place = x + self.first[:n]
-        entry = held * known
-        entry += (x << _ID) + self.share.ravel().take(place) + np.int32(1)
-        at, entry, worn = at.ravel(), entry.ravel(), np.flatnonzero((held > 1) > known)
+        entry = held & (low >> 31)
+        entry += (x << _ID) + (self.share.ravel().take(place).astype(np.int32) + 1)
+        at, entry, worn = at.ravel(), entry.ravel(), ((held > 1) > known).ravel().nonzero()[0]
         entry[worn] = self.entries[at[worn]] - 1
         self.entries[at] = entry
         if held.max() >= MOST - 1:
@@ -287,7 +282,7 @@ def encode(blocks: list[np.ndarray], size: int, orders: int = 2) -> list[bytes]:
     def put(on, begin: np.ndarray, wide: np.ndarray) -> None:
         unit = width[on] >> _UNIT
         lo, w = low[on] + unit * begin.astype(np.uint64), unit * wide.astype(np.uint64)
-        full = np.flatnonzero(w < _LOW)
+        full = (w < _LOW).nonzero()[0]
         lane, some = full if isinstance(on, slice) else on[full], lo[full]
         out[at[lane], lane] = some >> _WORD
         at[lane] += 1
@@ -317,7 +312,7 @@ def encode(blocks: list[np.ndarray], size: int, orders: int = 2) -> list[bytes]:
     out &= np.uint32((1 << 31) - 1)
     at[lengths[order] == 0] = 0
     place = np.argsort(order)
-    words, counts = np.ascontiguousarray(out[: at.max()].T).astype("<u4"), at.tolist()
+    words, counts = np.ascontiguousarray(out[: at.max()].T, "<u4"), at.tolist()
     coded = [np.concatenate([words[j, : counts[j]] for j in place[i : i + STREAMS].tolist()]) for i in range(0, lanes, STREAMS)]
     return [at[place[i : i + STREAMS]].astype("<u2").tobytes() + c.tobytes() for i, c in zip(range(0, lanes, STREAMS), coded, strict=True)]
 
@@ -351,7 +346,7 @@ def decode(coded: list[bytes], sizes: list[int], size: int, orders: int = 2) ->
 
     def take(on, unit: np.ndarray, begin: np.ndarray, wide: np.ndarray) -> None:
         c, w = code[on] - unit * begin.astype(np.uint64), unit * wide.astype(np.uint64)
-        full = np.flatnonzero(w < _LOW)
+        full = (w < _LOW).nonzero()[0]
         c[full] = (c[full] << _WORD) | word(full if isinstance(on, slice) else on[full])
         w[full] <<= _WORD
         code[on], width[on] = c, w
