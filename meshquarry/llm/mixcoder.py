@@ -2,8 +2,8 @@
 
 A block is coded from a fresh model. Order 0 counts every id; orders 1 and 2 hold, for the id before and the two ids before,
 small lists of the ids that followed and how often. The three distributions are mixed: the probability of a listed id is the sum
-of what each order gives it, times the order's weight, and an id that neither list holds has its share of order 0 in what the
-listed ids leave. The weights follow how much each order contributed to the ids so far, apart for every standing of the two
+of what each order gives it, times the order's weight (its share of order 0 is noted when it comes), and an id that neither list
+holds has its share of order 0 in what the listed ids leave. The weights follow how much each order contributed to the ids so far, apart for every standing of the two
 lists (how much they have seen, and whether it was always the same). Order 0 gives ids not met before as much as ids met once
 have; which of them it is takes a second step, in which all are alike. The mixed probabilities drive a range coder with 62-bit
 state and 31-bit words. Shares are rounded to whole numbers before they are used, by steps that the decoder does alike.
@@ -254,8 +254,8 @@ def _segments(steps: int) -> list[int]:
 
 
 def _layout(sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Block, start within it and length of each lane, the longest lanes first, so that those not at their end are the first ones; and
-    of each lane of each block its place in that order."""
+    """Start within its block and length of each lane, and the order in which they are coded: the longest first, so that those not at
+    their end are always the first ones."""
     per = np.array([-(-n // STREAMS) for n in sizes], np.int64)
     starts = (np.arange(STREAMS)[None, :] * per[:, None]).ravel()
     lengths = np.clip(np.repeat(np.array(sizes, np.int64), STREAMS) - starts, 0, np.repeat(per, STREAMS))

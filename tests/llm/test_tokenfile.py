@@ -69,6 +69,16 @@ def test_order_0_that_turns():
         M.encode([ids], 1 << 17)
 
 
+def test_blocks_beside_each_other():
+    """Readers may put other blocks together than the writer did, short ones alone too."""
+    rng = np.random.default_rng(7)
+    sizes = [1, 2, 127, 128, 129, 300, 1_000, 5_000, 20_000, 3]
+    blocks = [np.minimum(rng.zipf(1.3, n), 999) for n in sizes]
+    coded = M.encode(blocks, 1000)
+    for b, c, n in zip(blocks, coded, sizes, strict=True):
+        assert M.encode([b], 1000) == [c] and (M.decode([c], [n], 1000)[0] == b).all()
+
+
 def test_coding_is_cheap():
     """Both ways together, measured by what sorting the same ids takes (before: 78 times that)."""
     rng = np.random.default_rng(6)
